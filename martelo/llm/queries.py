@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import licences, pii, sharding
 from .common import table
 
 
@@ -13,4 +13,17 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_slots(rows).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {"op2_jump_sharding": op2_jump_sharding}
+def op5_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_licence_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.find_notices(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+QUERIES = {
+    "op2_jump_sharding": op2_jump_sharding,
+    "op5_semi_markov_pii": op5_semi_markov_pii,
+    "op8_licence_notices": op8_licence_notices,
+}
