@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, pii, sharding
+from . import licences, minhash, pii, sharding
 from .common import table
 
 
@@ -22,8 +22,13 @@ def op8_licence_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op9_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op2_jump_sharding": op2_jump_sharding,
     "op5_semi_markov_pii": op5_semi_markov_pii,
     "op8_licence_notices": op8_licence_notices,
+    "op9_minhash_fingerprints": op9_minhash_fingerprints,
 }
