@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, minhash, pii, sharding
+from . import licences, minhash, packing, pii, sharding
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op5_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.cut(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_licence_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.find_notices(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -29,6 +33,7 @@ def op9_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_jump_sharding": op2_jump_sharding,
     "op5_semi_markov_pii": op5_semi_markov_pii,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op8_licence_notices": op8_licence_notices,
     "op9_minhash_fingerprints": op9_minhash_fingerprints,
 }
