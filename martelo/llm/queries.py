@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, minhash, packing, pii, sharding
+from . import licences, minhash, neardup, packing, pii, sharding
 from .common import table
 
 
@@ -30,10 +30,15 @@ def op9_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_probminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 QUERIES = {
     "op2_jump_sharding": op2_jump_sharding,
     "op5_semi_markov_pii": op5_semi_markov_pii,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_licence_notices": op8_licence_notices,
     "op9_minhash_fingerprints": op9_minhash_fingerprints,
+    "op10_probminhash_neardup": op10_probminhash_neardup,
 }
