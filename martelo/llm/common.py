@@ -6,14 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows that a Python worker unpacks at once; longer batches are cut into slices of this many.
-SLICE_ROWS = 256
+#: Rows, and bytes of text, that a Python worker unpacks at once; a longer text is a slice of its own.
+SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,6 +39,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most SLICE_ROWS rows and about SLICE_BYTES of text."""
+    size = np.ones(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    total, start = np.cumsum(size), 0
+    while start < batch.num_rows:
+        before = total[start - 1] if start else 0
+        end = max(start + 1, min(start + SLICE_ROWS, int(np.searchsorted(total, before + SLICE_BYTES, "right"))))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str | T.StructType, make: Callable[[], Callable]) -> DataFrame:
     """Run make()'s function over slices of the named columns, as lists, in Arrow batches.
 
@@ -49,8 +65,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str | T.StructType, make
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
+            for part in slices(batch):
                 made = f(*(c.to_pylist() for c in part.columns))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(made, arrow, strict=True)], schema=arrow)
 

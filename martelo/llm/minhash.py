@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SLICE_ROWS
+from .common import slices
 from .shingles import U, counted, mix
 
 PERMUTATIONS = 128
@@ -120,8 +120,8 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", blocks:
                 yield keys[i], len(texts[i]), hashlib.sha256(changed[n].encode("utf-8", "surrogatepass")).hexdigest(), hexed(sigs[i]), hexed(new[n]), float(likeness(sigs[i], new[n])), float(likeness(sigs[i], sigs[i + 1]))
 
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                keys, texts, ats = (c.to_pylist() for c in batch.slice(start, SLICE_ROWS).columns)
+            for part in slices(batch):
+                keys, texts, ats = (c.to_pylist() for c in part.columns)
                 sigs = signatures(texts)
                 if held:
                     keys, texts, ats, sigs = [held[0], *keys], [held[1], *texts], [held[2], *ats], np.vstack([held[3], sigs])

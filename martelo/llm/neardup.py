@@ -24,14 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import SLICE_BYTES, map_rows, stored
 from .shingles import U, counted, mix
 
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: Texts whose arrivals are drawn together.
-GROUP = 256
 #: Side of a block in the search through mixed buckets.
 BLOCK = 128
 #: Below this share of equal registers a likeness of 0.8 is out of the question (four deviations).
@@ -90,10 +88,30 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float((1.0 / ((only_p + after[at]) / ps + (only_q + before[at]) / qs)).sum())
 
 
+def by_size(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in runs of about SLICE_BYTES letters, which bounds the arrays made from a run."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t or "") > SLICE_BYTES:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t or "")
+    if run:
+        yield run
+
+
 def sets_of(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    docs, hashes, weights = counted(texts)
-    cuts = np.searchsorted(docs, np.arange(1, len(texts)))
-    return list(zip(np.split(hashes, cuts), np.split(weights, cuts), strict=True))
+    out = []
+    for run in by_size(texts):
+        docs, hashes, weights = counted(run)
+        cuts = np.concatenate(([0], np.searchsorted(docs, np.arange(1, len(run) + 1))))
+        out += [(hashes[a:b].copy(), weights[a:b].astype(np.int32)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return out
+
+
+def signatures_of(texts: list[str | None]) -> np.ndarray:
+    return np.vstack([signatures(*counted(run), len(run)) for run in by_size(texts)])
 
 
 def digests(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -172,8 +190,7 @@ def _mixed_links(members: DataFrame, labels: DataFrame, texts: DataFrame, thresh
         nodes = block.drop_duplicates("node")
         index = {n: i for i, n in enumerate(nodes["node"])}
         sets = sets_of(nodes["text"].tolist())
-        docs = np.repeat(np.arange(len(sets)), [len(s[0]) for s in sets])
-        sig = signatures(docs, np.concatenate([s[0] for s in sets]), np.concatenate([s[1] for s in sets]), len(sets))
+        sig = signatures_of(nodes["text"].tolist())
         root = dict(zip(nodes["label"], nodes["label"], strict=True))
 
         def find(x):

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import SLICE_ROWS, stored
+from .common import slices, stored
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -107,8 +107,8 @@ def cut(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in batches:
-            for begin in range(0, batch.num_rows, SLICE_ROWS):
-                keys, texts = (c.to_pylist() for c in batch.slice(begin, SLICE_ROWS).columns)
+            for part_of in slices(batch):
+                keys, texts = (c.to_pylist() for c in part_of.columns)
                 rows = []
                 for k, ids in zip(keys, own.encode(texts), strict=True):
                     ids += end
