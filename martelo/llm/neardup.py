@@ -176,17 +176,19 @@ def _mixed_links(members: DataFrame, labels: DataFrame, texts: DataFrame, thresh
     held = stored(members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")))
     sizes = held.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
     # a bucket of two was settled with its hub
-    mixed = stored(sizes.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.max("n").alias("most"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("labels")).filter("labels > 1 and total > 2"))
+    mixed = stored(sizes.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("labels")).filter("labels > 1 and total > 2"))
     if mixed.isEmpty():
         return None
-    rows = held.join(mixed, "band").withColumn("all", F.ceil(F.col("total") / BLOCK).cast("int")).withColumn("odd", F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int"))
+    # buckets with the same largest class are searched as one, so that a pair that shares many bands meets once
+    found = stored(held.join(mixed.select("band", "main"), "band").select("main", "node", "label").distinct())
+    count = found.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("all"), F.ceil(F.count_if(F.col("label") != F.col("main")) / BLOCK).cast("int").alias("odd"))
+    rows = found.join(count, "main")
     spread = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
-    every = rows.select("band", "node", "label", F.lit(False).alias("minor"), (spread % F.col("all")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("odd") - 1)).alias("i"))
-    minor = rows.filter("label != main").select("band", "node", "label", F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), (spread % F.col("odd")).alias("i"))
+    every = rows.select("main", "node", "label", F.lit(False).alias("minor"), (spread % F.col("all")).alias("j"), F.explode(F.sequence(F.lit(0), F.col("odd") - 1)).alias("i"))
+    minor = rows.filter("label != main").select("main", "node", "label", F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), (spread % F.col("odd")).alias("i"))
     filled = every.unionByName(minor).join(texts, "node")
 
     def search(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.drop_duplicates(["node", "minor"])
         nodes = block.drop_duplicates("node")
         index = {n: i for i, n in enumerate(nodes["node"])}
         sets = sets_of(nodes["text"].tolist())
@@ -216,7 +218,7 @@ def _mixed_links(members: DataFrame, labels: DataFrame, texts: DataFrame, thresh
                     found.append((min(n, m), max(n, m), x))
         return pd.DataFrame(found, columns=["a", "b", "likeness"])
 
-    return filled.groupBy("band", "i", "j").applyInPandas(search, "a long, b long, likeness double")
+    return filled.groupBy("main", "i", "j").applyInPandas(search, "a long, b long, likeness double")
 
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
