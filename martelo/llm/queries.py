@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences, minhash, neardup, packing, pii, quality, sharding, toxicity
+from . import decontamination, licences, minhash, neardup, packing, pii, quality, sharding, toxicity
 from .common import table
 
 
@@ -31,6 +31,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with an item that it holds, by id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "edits", "likeness")
+
+
 def op8_licence_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.find_notices(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -50,6 +56,7 @@ QUERIES = {
     "op2_jump_sharding": op2_jump_sharding,
     "op5_semi_markov_pii": op5_semi_markov_pii,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_pigeonhole_decontamination": op7_pigeonhole_decontamination,
     "op8_licence_notices": op8_licence_notices,
     "op9_minhash_fingerprints": op9_minhash_fingerprints,
     "op10_probminhash_neardup": op10_probminhash_neardup,
