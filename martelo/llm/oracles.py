@@ -2,4 +2,41 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_JUMP = """
+    SELECT i, doc_id, {shards} AS shards, CAST(0 AS BIGINT) AS at_, CAST(0 AS BIGINT) AS next_, CAST(coalesce(doc_id, 0) AS HUGEINT) AS x
+"""
+
+OP2 = """
+WITH RECURSIVE ids AS (
+  SELECT DISTINCT coalesce(doc_id, 0) AS k, n FROM documents, (VALUES (16), (17)) AS t(n)
+), walk(k, n, x, at_, next_) AS (
+  SELECT k, n, CAST(k AS HUGEINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM ids
+  UNION ALL
+  SELECT k, n, x2, next_, CAST(floor((next_ + 1) * (2147483648.0::DOUBLE / CAST(x2 // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT k, n, next_, (x * 2862933555777941757 + 1) % 18446744073709551616 AS x2 FROM walk WHERE next_ < n) AS s
+), shard AS (
+  SELECT k, n, max(at_) AS s FROM walk GROUP BY k, n
+)
+SELECT d.doc_id, CAST(octet_length(encode(coalesce(d.text, ''))) + 1 AS BIGINT) AS size, a.s AS shard, b.s AS grown_shard
+FROM documents d
+JOIN shard a ON a.k = coalesce(d.doc_id, 0) AND a.n = 16
+JOIN shard b ON b.k = coalesce(d.doc_id, 0) AND b.n = 17
+"""
+
+OP3 = """
+WITH kept AS (
+  SELECT doc_id, source, lang, coalesce(text, '') AS text
+  FROM (SELECT *, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents) AS d
+  WHERE doc_id = first
+), lines AS (
+  SELECT source, lang, array_to_string(list_distinct(string_split(text, chr(10))), chr(10)) AS text FROM kept
+), counts AS (
+  SELECT source, lang, 'words-1' AS tokenizer, len(regexp_extract_all(text, '[^ \\t\\n\\r]+')) AS tokens FROM lines
+  UNION ALL
+  SELECT source, lang, 'marks-2', len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9 \\t\\n\\r]')) FROM lines
+)
+SELECT source, lang, tokenizer, CAST(count(*) AS BIGINT) AS docs, CAST(sum(tokens) AS BIGINT) AS tokens
+FROM counts GROUP BY source, lang, tokenizer
+"""
+
+ORACLES: dict[str, str] = {"op3_token_rollup": OP3}

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, licences, minhash, neardup, packing, pii, quality, sharding, toxicity
-from .common import table
+from . import decontamination, licences, minhash, neardup, packing, pii, quality, rollups, sharding, toxicity
+from .common import shared_folder, stored, table
 
 
 def op1_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +21,27 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_slots(rows).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents come in, later copies of a text go, and counts are revised to
+    what is left when repeated lines of a text are dropped. The second batch is sent twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    lines = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
+    keys = docs.select("doc_id", "source", "lang", F.md5("text").alias("same"), "text", lines.alias("lines"))
+    counts = F.array(*(F.struct(F.lit(n).alias("tokenizer"), f(F.col("text")).cast("long").alias("before"), f(F.col("lines")).cast("long").alias("after")) for n, f in rollups.TOKENIZERS.items()))
+    each = keys.select("doc_id", "source", "lang", "same", F.inline(counts))
+    each = stored(each)
+    first = each.groupBy("same").agg(F.min("doc_id").alias("first"))
+    marked = each.join(first, "same").withColumn("copy", F.col("doc_id") != F.col("first"))
+    old = marked.withColumn("tokens", F.col("before"))
+    rollup = rollups.Rollup(spark, f"{shared_folder(spark)}/rollups/{uuid.uuid4().hex}")
+    rollup.commit("1-load", rollups.signed(each.withColumn("tokens", F.col("before")), 1))
+    for _ in range(2):
+        rollup.commit("2-copies", rollups.signed(old.filter("copy"), -1))
+    changed = marked.filter("not copy and before <> after")
+    rollup.commit("3-lines", rollups.revised(changed.withColumn("tokens", F.col("before")), changed.withColumn("tokens", F.col("after"))))
+    return rollup.totals()
+
+
 def op4_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.scores(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -52,6 +76,7 @@ def op10_probminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_rule_ensemble_quality": op1_rule_ensemble_quality,
+    "op3_token_rollup": op3_token_rollup,
     "op4_kneser_ney_toxicity": op4_kneser_ney_toxicity,
     "op2_jump_sharding": op2_jump_sharding,
     "op5_semi_markov_pii": op5_semi_markov_pii,
