@@ -12,12 +12,14 @@ from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import held_out, map_rows, stored
+from .common import held_out, map_rows, slices, stored
 from .labelled import ROWS_PER_CLASS, training_rows
 from .shingles import word_hashes
 
@@ -77,13 +79,27 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return map_rows(df, [key, text], f"`{key}` {kind}, " + ", ".join(f"{n} double" for n in STATISTICS), make)
 
 
+def with_statistics(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
+    """df plus the statistics of each row's text, under prefixed names; every row and column passes."""
+    schema = T.StructType([*df.schema, *(T.StructField(prefix + n, T.DoubleType()) for n in STATISTICS)])
+    at, names = df.columns.index(text), schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                made = np.array([statistics_of(t) for t in part.column(at).to_pylist()]).reshape(-1, len(STATISTICS))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(made[:, i]) for i in range(len(STATISTICS)))], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
 class Test(NamedTuple):
     statistic: str
     above: bool
     threshold: float
 
-    def column(self) -> Column:
-        c = F.col(self.statistic)
+    def column(self, prefix: str = "") -> Column:
+        c = F.col(prefix + self.statistic)
         return c > self.threshold if self.above else c <= self.threshold
 
 
@@ -94,14 +110,14 @@ class RuleEnsemble(NamedTuple):
     intercept: float
     rules: tuple[tuple[Rule, float], ...]
 
-    def score(self) -> Column:
+    def score(self, prefix: str = "") -> Column:
         """The ensemble as one expression over columns named after the statistics."""
-        terms = [F.when(holds(rule), F.lit(weight)).otherwise(0.0) for rule, weight in self.rules]
+        terms = [F.when(holds(rule, prefix), F.lit(weight)).otherwise(0.0) for rule, weight in self.rules]
         return 1 / (1 + F.exp(-reduce(lambda a, b: a + b, terms, F.lit(self.intercept))))
 
 
-def holds(rule: Rule) -> Column:
-    return reduce(lambda a, b: a & b, (t.column() for t in rule))
+def holds(rule: Rule, prefix: str = "") -> Column:
+    return reduce(lambda a, b: a & b, (t.column(prefix) for t in rule))
 
 
 def paths(node, so_far: Rule = ()) -> Iterator[Rule]:
@@ -150,3 +166,16 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     ensemble = fit_rules(stored(measured.join(F.broadcast(known), key)))
     scored = measured.withColumn("score", ensemble.score())
     return scored.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *STATISTICS)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3, rows_per_class: int = ROWS_PER_CLASS) -> DataFrame:
+    """The rows of docs whose score is at least the threshold; their columns and repeated rows stay as they are.
+
+    Only the labelled rows are measured to fit the rules; then each text is measured once and never shuffled.
+    Without labelled rows every score is 0.5. Null and empty texts have zero statistics and so a score.
+    """
+    known = F.broadcast(training_rows(labels, label, key, rows_per_class).withColumnRenamed(key, "__key"))
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(known, "__key").select("text", "y")
+    ensemble = fit_rules(stored(with_statistics(rows).drop("text")))
+    prefix = "__stat_"
+    return with_statistics(docs, text, prefix).filter(ensemble.score(prefix) >= threshold).select(docs.columns)
