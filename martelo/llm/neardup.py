@@ -138,13 +138,13 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the least label about and then the label's own label; both are equi-joins, and each round is
     a table in the shared folder, so a lost executor costs at most a round.
     """
-    both = stored(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
+    both = links.select("a", "b").union(links.select("b", "a"))
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), narrow=True)
     while True:
         around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         nearer = labels.join(around, labels["node"] == around["a"]).select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         own = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        jumped = stored(nearer.join(own, "label").select("node", F.least("label", "next").alias("label"), "old"))
+        jumped = stored(nearer.join(own, "label").select("node", F.least("label", "next").alias("label"), "old"), narrow=True)
         labels = jumped.select("node", "label")
         if jumped.filter(F.col("label") != F.col("old")).isEmpty():
             return labels
@@ -173,14 +173,14 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 def _mixed_links(members: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
     """Links found by searching buckets whose members have different labels; None if there are no such buckets."""
-    held = stored(members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")))
+    held = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     sizes = held.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
     # a bucket of two was settled with its hub
-    mixed = stored(sizes.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("labels")).filter("labels > 1 and total > 2"))
+    mixed = stored(sizes.groupBy("band").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("labels")).filter("labels > 1 and total > 2"), narrow=True)
     if mixed.isEmpty():
         return None
     # buckets with the same largest class are searched as one, so that a pair that shares many bands meets once
-    found = stored(held.join(mixed.select("band", "main"), "band").select("main", "node", "label").distinct())
+    found = stored(held.join(mixed.select("band", "main"), "band").select("main", "node", "label").distinct(), narrow=True)
     count = found.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("all"), F.ceil(F.count_if(F.col("label") != F.col("main")) / BLOCK).cast("int").alias("odd"))
     rows = found.join(count, "main")
     spread = F.pmod(F.xxhash64("node"), F.lit(1 << 30)).cast("int")
@@ -236,31 +236,31 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     nodes = stored(ordered.select(F.monotonically_increasing_id().alias("node"), "same", "id", "hash", "bands"))
     banded = nodes.select("node", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stored(banded.join(hubs.select("band", "hub"), "band"))
-    near = stored(nodes.select("node", "id", "hash").join(members.select("node").distinct(), "node", "left_semi"))
+    members = stored(banded.join(hubs.select("band", "hub"), "band"), narrow=True)
+    near = stored(nodes.select("node", "id", "hash").join(members.select("node").distinct(), "node", "left_semi"), narrow=True)
     few = F.broadcast(near) if near.count() <= BROADCAST_NODES else near
     whole = df.select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
     same_row = whole["id"].eqNullSafe(near["id"]) & (whole["hash"] == near["hash"])
     texts = stored(whole.join(few, same_row).select("node", whole["text"]).dropDuplicates(["node"]))
 
-    spokes = stored(members.filter("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n")))
+    spokes = members.filter("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
     best = spokes.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
-    tried = stored(best.select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    links = stored(verified(tried, texts, threshold))
+    tried = best.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    links = stored(verified(tried, texts, threshold), narrow=True)
     labels = components(links)
     own = labels.select(F.col("node").alias("a"), F.col("label").alias("p"))
     other = labels.select(F.col("node").alias("b"), F.col("label").alias("q"))
     rest = spokes.select(F.col("hub").alias("a"), F.col("node").alias("b")).join(tried, ["a", "b"], "left_anti").join(own, "a", "left").join(other, "b", "left")
-    more = stored(verified(rest.filter(F.coalesce("p", "a") != F.coalesce("q", "b")), texts, threshold))
+    more = stored(verified(rest.filter(F.coalesce("p", "a") != F.coalesce("q", "b")), texts, threshold), narrow=True)
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
     mixed = _mixed_links(members, labels, texts, threshold)
-    if mixed is not None and not (mixed := stored(mixed)).isEmpty():
+    if mixed is not None and not (mixed := stored(mixed, narrow=True)).isEmpty():
         labels = components(links.unionByName(mixed))
     heads = nodes.select(F.col("node").alias("label"), F.col("id").alias("class_id"), F.col("hash").alias("class_hash"))
     named = nodes.select("node", "same").join(labels, "node", "left").select("same", F.coalesce("label", "node").alias("label"))
-    found = stored(named.join(heads, "label").select("same", "class_id", "class_hash"))
+    found = stored(named.join(heads, "label").select("same", "class_id", "class_hash"), narrow=True)
     return rows.select("id", "hash", "same").join(found, "same").select(F.col("id").alias(key), "class_id", "hash", "class_hash")
 
 

@@ -199,10 +199,9 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     known = F.broadcast(training_rows(labels, label, key, rows_per_class))
     rows = stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known.withColumnRenamed(key, "key"), "key").select("text", "y", "part"))
-    counts = stored(_counts(rows.filter("part > 0")))
+    counts = stored(_counts(rows.filter("part > 0")), narrow=True)
     wanted = counts.select("short_context").distinct()
-    shared = _continuations(docs, text).join(wanted, "short_context", "left_semi")
-    shared = stored(shared)
+    shared = stored(_continuations(docs, text).join(wanted, "short_context", "left_semi"), narrow=True)
     kinds = shared.groupBy("short_context").agg(F.sum("before").alias("total"), F.count(F.lit(1)).alias("kinds"))
     backoff = (F.greatest(F.coalesce("before", F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.coalesce("kinds", F.lit(1)) / 256) / F.coalesce("total", F.lit(1))
     model = counts.join(shared.select("short_gram", "before"), "short_gram", "left").join(kinds, "short_context", "left").select("gram", "context", "one", "zero", backoff.alias("backoff"))

@@ -1,6 +1,669 @@
-"""Every registered query of the library and the SQL it is held against."""
+"""Every registered query of the library and the DuckDB SQL it is held against.
+
+A query applies operators to whole tables. Limits occur only where a page, an agenda or an alert has them.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import parse, present, text
+from ..operators import agenda, alerts, events, extract, facets, identity, market, outputs, score, search, terms
+from ..sources import files, html
+from ..streaming import windows
+from .lots import AS_OF, LOTS, SESSIONS, in_duckdb, lots, sessions, stated
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+WITH_LOTS = f"WITH lots AS ({in_duckdb(LOTS)}), sessions AS ({in_duckdb(SESSIONS)})"
+PLAIN = f"trim(regexp_replace(lower(translate({{}}, '{text.ACCENTED}', '{text.UNACCENTED}')), '[ \\t\\n\\r\\f]+', ' ', 'g'))"
+
+
+def query(oracle: str | None = None, with_lots: bool = False):
+    """Register a function as the query of its name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = f"{WITH_LOTS} {oracle}" if with_lots else oracle
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dbl(*names: str):
+    return [F.col(n).cast("double").alias(n) for n in names]
+
+
+# ---- search ----
+
+PAGE = search.LotFilter(asset=("IMOVEL", "VEICULO"), least_price=5000, most_price=60000, words="Brand#1", page=2, size=25)
+
+
+@query("""SELECT lot_id, title, status, CAST(coalesce(second_min, first_min) AS DOUBLE) AS price, score FROM lots
+WHERE status = 'ABERTO' AND asset IN ('IMOVEL', 'VEICULO') AND coalesce(second_min, first_min) BETWEEN 5000 AND 60000 AND contains(lower(title || ' ' || description), 'brand#1')
+ORDER BY coalesce(score, -1) DESC, lot_id LIMIT 25 OFFSET 25""", with_lots=True)
+def search_page(spark, sf_dir):
+    """A page of open lots by score."""
+    found = search.matching(lots(spark, sf_dir), PAGE)
+    return search.page(search.ordered(found, PAGE.order), PAGE.page, PAGE.size).select("lot_id", "title", "status", search.price().cast("double").alias("price"), "score")
+
+
+@query("""SELECT count(*) AS total, greatest(1, CAST(ceil(count(*) / 25.0) AS BIGINT)) AS pages FROM lots
+WHERE status = 'ABERTO' AND asset IN ('IMOVEL', 'VEICULO') AND coalesce(second_min, first_min) BETWEEN 5000 AND 60000 AND contains(lower(title || ' ' || description), 'brand#1')""", with_lots=True)
+def search_count(spark, sf_dir):
+    return search.counted_pages(search.matching(lots(spark, sf_dir), PAGE), PAGE.size)
+
+
+@query("""SELECT lot_id, CAST(coalesce(nullif(second_min, 0), nullif(first_min, 0)) AS DOUBLE) AS price FROM lots WHERE status = 'SUSPENSO' AND occupied IS FALSE AND (liens_text IS NULL OR liens_text = '')""", with_lots=True)
+def search_vacant_unburdened(spark, sf_dir):
+    """Vacant lots without liens, at the price that orders sort by."""
+    wanted = search.LotFilter(status=("SUSPENSO",), vacant_only=True, without_liens=True)
+    return search.matching(lots(spark, sf_dir), wanted).select("lot_id", search.truthy_price().cast("double").alias("price"))
+
+
+@query("""SELECT lot_id FROM lots WHERE status = 'ABERTO' AND """ + PLAIN.format("coalesce(district, '')") + """ IN ('jardim sao 3', 'jardim sao 5') AND score >= 50 AND discount >= 10""", with_lots=True)
+def search_district_accents(spark, sf_dir):
+    """places compare without accents and case; missing scores don't qualify."""
+    wanted = search.LotFilter(districts=("JARDIM SAO 3", "jardim são 5"), least_score=50, least_discount=10)
+    return search.matching(lots(spark, sf_dir), wanted).select("lot_id")
+
+
+@query("""SELECT lot_id FROM lots l WHERE status = 'ABERTO' AND EXISTS (SELECT 1 FROM sessions s WHERE s.lot_id = l.lot_id AND s.at BETWEEN TIMESTAMP '1998-06-01 12:00:00' AND TIMESTAMP '1998-07-01 12:00:00')""", with_lots=True)
+def search_days_ahead(spark, sf_dir):
+    """An event within thirty days, as a semi-join with a range."""
+    return search.matching(lots(spark, sf_dir), search.LotFilter(days_ahead=30), events=sessions(spark, sf_dir), as_of=AS_OF).select("lot_id")
+
+
+@query("""SELECT lot_id, row_number() OVER (ORDER BY coalesce(nullif(discount, 0), -1) DESC, lot_id) AS by_discount, row_number() OVER (ORDER BY coalesce(nullif(second_min, 0), nullif(first_min, 0), 1000000000000), lot_id) AS by_price FROM lots WHERE status = 'DESERTO'""", with_lots=True)
+def zero_vs_null_sort(spark, sf_dir):
+    """A zero discount or price sorts with the missing ones."""
+    from pyspark.sql import Window
+
+    found = search.matching(lots(spark, sf_dir), search.LotFilter(status=("DESERTO",)))
+    one = Window.orderBy(F.coalesce(F.nullif("discount", F.lit(0)), F.lit(-1)).desc(), "lot_id")
+    two = Window.orderBy(F.coalesce(search.truthy_price(), F.lit(10**12)), "lot_id")
+    return found.select("lot_id", F.row_number().over(one).cast("long").alias("by_discount"), F.row_number().over(two).cast("long").alias("by_price"))
+
+
+@query("""SELECT l.lot_id, min(s.at) AS next_at FROM lots l LEFT JOIN sessions s ON s.lot_id = l.lot_id AND s.at >= TIMESTAMP '1998-06-01 12:00:00' WHERE l.status = 'ABERTO' GROUP BY l.lot_id ORDER BY next_at NULLS LAST, l.lot_id LIMIT 50""", with_lots=True)
+def search_by_next_event(spark, sf_dir):
+    """Open lots by their next event, none last."""
+    open_lots = search.matching(lots(spark, sf_dir), search.LotFilter())
+    found = open_lots.join(search.next_event(sessions(spark, sf_dir), AS_OF), "lot_id", "left")
+    return search.page(search.ordered(found, "event"), 1, 50).select("lot_id", "next_at")
+
+
+# ---- facets and counts ----
+
+
+@query("""SELECT 'place' AS facet, uf || '/' || city AS value, count(*) AS n FROM lots GROUP BY 2
+UNION ALL SELECT 'asset', asset, count(*) FROM lots GROUP BY 2 UNION ALL SELECT 'sphere', sphere, count(*) FROM lots GROUP BY 2 UNION ALL SELECT 'status', status, count(*) FROM lots GROUP BY 2
+UNION ALL SELECT 'category', c.v, count(l.lot_id) FROM (VALUES ('imovel_rural'), ('imovel_urbano'), ('imovel_indefinido'), ('movel'), ('indefinido')) AS c(v) LEFT JOIN (SELECT lot_id, CASE WHEN nature = 'IMOVEL' AND zone = 'RURAL' THEN 'imovel_rural' WHEN nature = 'IMOVEL' AND zone = 'URBANA' THEN 'imovel_urbano' WHEN nature = 'IMOVEL' THEN 'imovel_indefinido' WHEN nature = 'MOVEL' THEN 'movel' ELSE 'indefinido' END AS v FROM lots) l ON l.v = c.v GROUP BY 2""", with_lots=True)
+def facets_grouping_sets(spark, sf_dir):
+    """A2, F16: all facets in one pass, empty categories included."""
+    return facets.facets(lots(spark, sf_dir))
+
+
+@query("SELECT CAST(min(p) AS DOUBLE) AS least, CAST(max(p) AS DOUBLE) AS most FROM (SELECT coalesce(nullif(second_min, 0), nullif(first_min, 0)) AS p FROM lots)", with_lots=True)
+def price_range(spark, sf_dir):
+    return facets.price_range(lots(spark, sf_dir)).select(*dbl("least", "most"))
+
+
+RUNS = "SELECT event_id AS run_id, CASE WHEN event_type IN ('click', 'view') THEN 'web' ELSE event_type END AS source, ts AS started_at, event_type = 'error' AND value > 20 AS failed, value > 90 AS blocked, CAST(value AS BIGINT) % 5 AS warnings FROM {events}"
+
+
+@query(f"""WITH runs AS (SELECT *, CASE WHEN blocked THEN 'BLOQUEADA' WHEN failed THEN 'FALHA' WHEN warnings > 0 THEN 'PARCIAL' ELSE 'SUCESSO' END AS s FROM ({RUNS.replace('{events}', 'events').replace('CAST(value AS BIGINT)', 'CAST(floor(value) AS BIGINT)')}))
+SELECT source, max(started_at) AS last_at, arg_max(s, (started_at, run_id)) AS last_status, count(*) FILTER (started_at >= TIMESTAMP '2024-01-23 00:00:00') AS runs, count(*) FILTER (started_at >= TIMESTAMP '2024-01-23 00:00:00' AND s = 'FALHA') AS failures FROM runs GROUP BY source""")
+def source_health(spark, sf_dir):
+    """Each source's latest run and the last seven days."""
+    runs = facets.run_status(stated(spark, sf_dir, RUNS.replace("CAST(value AS BIGINT)", "CAST(floor(value) AS BIGINT)")))
+    return facets.source_health(runs.select("source").distinct(), runs, "2024-01-30 00:00:00")
+
+
+@query("""SELECT auctioneer_id, count(*) FILTER (status IN ('ARREMATADO', 'DESERTO', 'SUSPENSO')) AS closed, count(*) FILTER (status IN ('DESERTO', 'SUSPENSO')) AS bad FROM lots GROUP BY auctioneer_id""", with_lots=True)
+def auctioneer_history(spark, sf_dir):
+    return score.history(lots(spark, sf_dir)).select("auctioneer_id", "closed", "bad")
+
+
+@query("""SELECT uf, city, count(*) AS members, max(CASE WHEN score >= 80 THEN 4 WHEN score >= 60 THEN 3 WHEN score >= 40 THEN 2 ELSE 1 END) AS best FROM lots GROUP BY uf, city""", with_lots=True)
+def map_clusters(spark, sf_dir):
+    found = facets.map_clusters(lots(spark, sf_dir).withColumn("band", score.band(F.col("score"))))
+    return found.select("uf", "city", "members", F.array_position(F.array(*map(F.lit, facets.BANDS)), F.col("best_band")).cast("int").alias("best"))
+
+
+@query("SELECT strftime(at - INTERVAL 3 HOUR, '%Y-%m') AS month, count(*) AS n FROM sessions WHERE at IS NOT NULL GROUP BY 1", with_lots=True)
+def events_by_month(spark, sf_dir):
+    return facets.by_month(sessions(spark, sf_dir).filter("at is not null"))
+
+
+# ---- text and parsing ----
+
+
+@query(f"SELECT doc_id, {PLAIN.format('text')} AS plain, length({PLAIN.format('text')}) AS n FROM documents")
+def text_norm(spark, sf_dir):
+    """The comparison form of every text."""
+    c = text.comparable(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", c.alias("plain"), F.length(c).cast("long").alias("n"))
+
+
+@query(f"SELECT doc_id FROM documents WHERE contains({PLAIN.format('text')}, 'and') AND contains({PLAIN.format('text')}, 'the') AND contains({PLAIN.format('text')}, 'ation')")
+def text_terms_and(spark, sf_dir):
+    return read(spark, sf_dir, "documents").filter(text.holds_all(text.comparable(F.col("text")), ["and", "the", "ation"])).select("doc_id")
+
+
+@query("SELECT p_partkey, substr(trim(regexp_replace(lower(p_name || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80) AS slug, sha256(p_name || '|' || p_brand || '|' || '' || '|' || CAST(p_size AS VARCHAR)) AS key FROM part")
+def slug_and_key(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", text.slug(F.concat_ws(" / ", "p_name", "p_brand")).alias("slug"), text.content_key(F.col("p_name"), F.col("p_brand"), F.lit(None), F.col("p_size")).alias("key"))
+
+
+
+
+def _written(cents):
+    """Cents as 'R$ 1.234.567,89'."""
+    return F.concat(F.lit("R$ "), F.translate(F.format_number(cents / 100, 2), ",.", ".,"))
+
+
+@query("SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS DOUBLE) AS amount, CAST(CAST(floor(o_totalprice / 1000) AS BIGINT) * 1000 AS DOUBLE) AS thousands FROM orders")
+def money_roundtrip(spark, sf_dir):
+    """Prices written out in reais, and in thousands, and read back."""
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    rows = read(spark, sf_dir, "orders")
+    return rows.select("o_orderkey", parse.money(F.concat(F.lit("lance de "), _written(cents))).cast("double").alias("amount"), parse.money(F.concat(F.floor(F.col("o_totalprice") / 1000).cast("string"), F.lit(" mil"))).cast("double").alias("thousands"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CAST(round(l_tax * 100) AS DOUBLE) AS share, l_quantity + 0.25 AS area FROM lineitem")
+def percent_area_roundtrip(spark, sf_dir):
+    """X7, X8."""
+    share = parse.percent(F.concat(F.lit("comissao de "), F.round(F.col("l_tax") * 100).cast("int").cast("string"), F.lit(",00 %")))
+    area = parse.area(F.concat(F.lit("area total de "), F.col("l_quantity").cast("int").cast("string"), F.lit(",25 m²")))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", share.cast("double").alias("share"), area.cast("double").alias("area"))
+
+
+@query("SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS numeric_day, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS written_day, CAST(o_orderdate AS TIMESTAMP) + to_minutes(CAST(o_orderkey % 1440 AS BIGINT)) + INTERVAL 3 HOUR AS at FROM orders")
+def date_roundtrip(spark, sf_dir):
+    """Days and times written three ways and read back, local time to UTC."""
+    d, minute = F.col("o_orderdate"), F.col("o_orderkey") % 1440
+    month = F.get(F.array(*map(F.lit, parse.MONTHS)), F.month(d) - 1)
+    numeric = F.date_format(d, "dd/MM/yyyy")
+    written = F.concat(F.lit("Dia "), F.dayofmonth(d).cast("string"), F.lit(" de "), F.when(F.month(d) == 3, "Março").otherwise(month), F.lit(" de "), F.year(d).cast("string"))
+    moment = F.concat(numeric, F.lit(" às "), F.lpad(F.floor(minute / 60).cast("string"), 2, "0"), F.lit("h"), F.lpad((minute % 60).cast("string"), 2, "0"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", parse.day(numeric).cast("string").alias("numeric_day"), parse.day(written).cast("string").alias("written_day"), parse.moment(moment).alias("at"))
+
+
+CASE_SQL = """SELECT o_orderkey, s, CAST(98 - (CAST(lpad(CAST(o_orderkey % 10000000 AS VARCHAR), 7, '0') || CAST(year(o_orderdate) AS VARCHAR) || '8' || lpad(CAST(o_custkey % 30 AS VARCHAR), 2, '0') || '0001' || '00' AS HUGEINT) % 97) AS INTEGER) AS dv FROM orders, (SELECT 1 AS s)"""
+
+
+@query(f"""SELECT o.o_orderkey, lpad(CAST(o.o_orderkey % 10000000 AS VARCHAR), 7, '0') || '-' || lpad(CAST(c.dv AS VARCHAR), 2, '0') || '.' || CAST(year(o.o_orderdate) AS VARCHAR) || '.8.' || lpad(CAST(o.o_custkey % 30 AS VARCHAR), 2, '0') || '.0001' AS number, TRUE AS valid, FALSE AS other_valid,
+CASE o.o_custkey % 30 WHEN 2 THEN 'TJAL' WHEN 5 THEN 'TJBA' WHEN 17 THEN 'TJPE' WHEN 25 THEN 'TJSE' END AS court FROM orders o JOIN ({CASE_SQL}) c ON c.o_orderkey = o.o_orderkey""")
+def case_numbers(spark, sf_dir):
+    """Case numbers written, found in a text, checked and traced to a court."""
+    rows = read(spark, sf_dir, "orders")
+    number = parse.written_case((F.col("o_orderkey") % 10_000_000).cast("string"), F.year("o_orderdate").cast("string"), F.lit("8"), (F.col("o_custkey") % 30).cast("string"), F.lit("1"))
+    found = parse.case_number(F.concat(F.lit("autos nº"), F.regexp_replace(number, "[-.]", ""), F.lit(", em tramite")))
+    wrong = F.concat(F.substring(number, 1, 8), F.lpad(((F.substring(number, 9, 2).cast("int") + 1) % 100).cast("string"), 2, "0"), F.substring(number, 11, 15))
+    return rows.select("o_orderkey", found.alias("number"), parse.case_is_valid(found).alias("valid"), parse.case_is_valid(wrong).alias("other_valid"), parse.case_court(found).alias("court"))
+
+
+@query("SELECT s_suppkey, 'ABC' || CAST(s_suppkey % 10 AS VARCHAR) || '**' || CAST((s_suppkey // 10) % 10 AS VARCHAR) AS plate, 'CPF [CPF removido] de ' || s_name AS redacted FROM supplier")
+def plate_and_cpf(spark, sf_dir):
+    """X17, X18."""
+    k = F.col("s_suppkey")
+    plate = F.concat(F.lit("placa abc-"), (k % 10).cast("string"), F.lit("d1"), (F.floor(k / 10) % 10).cast("string"))
+    cpf = F.concat(F.lit("CPF 123.456."), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("-09 de "), F.col("s_name"))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", text.masked_plate(plate).alias("plate"), text.without_cpf(cpf).alias("redacted"))
+
+
+@query("""SELECT lot_id, 'R$ ' || translate(format('{:,.2f}', CAST(appraisal AS DOUBLE)), ',.', '.,') AS money, CAST(CAST(collected_at - INTERVAL 3 HOUR AS DATE) AS VARCHAR) AS local_day FROM lots""", with_lots=True)
+def written_money_local_day(spark, sf_dir):
+    """X11, X32."""
+    return lots(spark, sf_dir).select("lot_id", text.brazilian_money(F.col("appraisal")).alias("money"), parse.local_day(F.col("collected_at")).cast("string").alias("local_day"))
+
+
+@query("""SELECT lot_id, d AS days, CASE WHEN at IS NULL THEN 'indefinida' WHEN d < 0 THEN 'passada' WHEN d <= 1 THEN 'alta' WHEN d <= 7 THEN 'media' ELSE 'baixa' END AS urgency FROM (SELECT lot_id, at, CAST(floor((epoch_us(at) - epoch_us(TIMESTAMP '1998-06-01 12:00:00')) / 86400000000) AS BIGINT) AS d FROM sessions WHERE ordinal = 1)""", with_lots=True)
+def time_left(spark, sf_dir):
+    """X33."""
+    left = present.time_left(F.col("at"), F.lit(AS_OF).cast("timestamp_ntz"))
+    return sessions(spark, sf_dir).filter("ordinal = 1").select("lot_id", left["days"].alias("days"), left["urgency"].alias("urgency"))
+
+
+# ---- sessions, agenda, calendar ----
+
+CURRENT_SQL = """current_session AS (SELECT lot_id, coalesce(no, lo) AS ordinal, coalesce(na, la) AS at, no IS NULL AS passed FROM (
+SELECT lot_id, arg_min(ordinal, ordinal) FILTER (at > TIMESTAMP '1998-06-01 12:00:00') AS no, arg_min(at, ordinal) FILTER (at > TIMESTAMP '1998-06-01 12:00:00') AS na, arg_max(ordinal, (at, -ordinal)) AS lo, max(at) AS la FROM sessions WHERE at IS NOT NULL GROUP BY lot_id))"""
+
+
+@query(f""", {CURRENT_SQL} SELECT c.lot_id, c.ordinal, c.at, CAST(CASE c.ordinal WHEN 1 THEN l.first_min ELSE l.second_min END AS DOUBLE) AS minimum, c.passed FROM current_session c JOIN lots l ON l.lot_id = c.lot_id""", with_lots=True)
+def current_session(spark, sf_dir):
+    """The session a buyer faces now."""
+    found = agenda.current_session(lots(spark, sf_dir), sessions(spark, sf_dir), AS_OF)
+    return found.select("lot_id", "ordinal", "at", F.col("minimum").cast("double").alias("minimum"), "passed")
+
+
+EVENTS_SQL = """all_events AS (SELECT s.lot_id, CASE WHEN c.n = 1 AND s.ordinal = 1 THEN 'PRACA_UNICA' WHEN s.ordinal = 1 THEN 'PRACA_PRIMEIRA' ELSE 'PRACA_SEGUNDA' END AS kind, s.at, FALSE AS estimated FROM sessions s JOIN (SELECT lot_id, count(*) AS n FROM sessions GROUP BY lot_id) c ON c.lot_id = s.lot_id WHERE s.at IS NOT NULL
+UNION ALL SELECT lot_id, 'PRAZO_HABILITACAO', arg_min(at, ordinal) - INTERVAL 3 DAY, TRUE FROM sessions WHERE at IS NOT NULL GROUP BY lot_id),
+wanted AS (SELECT e.*, CASE l.status WHEN 'SUSPENSO' THEN 'SUSPENSO' WHEN 'ABERTO' THEN 'CONFIRMADO' ELSE 'REALIZADO' END AS target FROM all_events e JOIN lots l ON l.lot_id = e.lot_id)"""
+
+
+@query(f", {EVENTS_SQL} SELECT lot_id, kind, at, estimated, target FROM wanted", with_lots=True)
+def wanted_events(spark, sf_dir):
+    """The events that sessions and statuses ask for."""
+    return events.wanted(sessions(spark, sf_dir), lots(spark, sf_dir))
+
+
+def _stored_events(asked):
+    """An earlier state of the events: some moved, some missing, some no longer asked for."""
+    k = F.col("lot_id")
+    kept = asked.filter(k % 5 != 0).select("lot_id", "kind", F.when(k % 5 == 1, F.col("at") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("at")).alias("at"), F.lit("CONFIRMADO").alias("event_status"))
+    gone = asked.filter(k % 5 == 2).select("lot_id", F.concat("kind", F.lit("_X")).alias("kind"), "at", F.when(k % 2 == 0, "CANCELADO").otherwise("CONFIRMADO").alias("event_status"))
+    return kept.unionByName(gone)
+
+
+STORED_SQL = """stored AS (SELECT lot_id, kind, CASE WHEN lot_id % 5 = 1 THEN at - INTERVAL 1 DAY ELSE at END AS at, 'CONFIRMADO' AS event_status FROM wanted WHERE lot_id % 5 <> 0
+UNION ALL SELECT lot_id, kind || '_X', at, CASE WHEN lot_id % 2 = 0 THEN 'CANCELADO' ELSE 'CONFIRMADO' END FROM wanted WHERE lot_id % 5 = 2)"""
+DIFF_SQL = """diff AS (SELECT * FROM (SELECT coalesce(s.lot_id, w.lot_id) AS lot_id, coalesce(s.kind, w.kind) AS kind, CASE WHEN s.lot_id IS NULL THEN 'criado' WHEN w.lot_id IS NULL AND s.event_status <> 'CANCELADO' THEN 'cancelado' WHEN w.lot_id IS NULL THEN NULL WHEN s.at <> w.at THEN 'remarcado' WHEN s.event_status <> w.target AND w.target <> 'CONFIRMADO' THEN 'status' END AS change, s.at AS old_at, coalesce(w.at, s.at) AS new_at, w.target FROM stored s FULL JOIN wanted w ON s.lot_id = w.lot_id AND s.kind = w.kind) WHERE change IS NOT NULL)"""
+
+
+@query(f", {EVENTS_SQL}, {STORED_SQL}, {DIFF_SQL} SELECT lot_id, kind, change, old_at, new_at, CASE change WHEN 'cancelado' THEN 'CANCELADO' WHEN 'remarcado' THEN 'REMARCADO' ELSE target END AS new_status FROM diff", with_lots=True)
+def event_diff(spark, sf_dir):
+    """Created, moved, changed and cancelled events by one full outer join."""
+    asked = events.wanted(sessions(spark, sf_dir), lots(spark, sf_dir))
+    return events.difference(_stored_events(asked), asked).select("lot_id", "kind", "change", "old_at", "new_at", "new_status")
+
+
+@query(f", {EVENTS_SQL}, {STORED_SQL}, {DIFF_SQL} SELECT lot_id, count(*) FILTER (change = 'remarcado') AS reschedules FROM diff GROUP BY lot_id", with_lots=True)
+def reschedule_count(spark, sf_dir):
+    asked = events.wanted(sessions(spark, sf_dir), lots(spark, sf_dir))
+    return events.reschedules(events.difference(_stored_events(asked), asked))
+
+
+def _events(spark, sf_dir):
+    return events.wanted(sessions(spark, sf_dir), lots(spark, sf_dir)).withColumnRenamed("target", "event_status")
+
+
+AGENDA_SQL = f""", {EVENTS_SQL}, items AS (SELECT w.*, l.title, CAST(w.at - INTERVAL 3 HOUR AS DATE) AS day, CASE WHEN nature = 'IMOVEL' AND zone = 'RURAL' THEN 'imovel_rural' WHEN nature = 'IMOVEL' AND zone = 'URBANA' THEN 'imovel_urbano' WHEN nature = 'IMOVEL' THEN 'imovel_indefinido' WHEN nature = 'MOVEL' THEN 'movel' ELSE 'indefinido' END AS category FROM wanted w JOIN lots l ON l.lot_id = w.lot_id
+WHERE w.at BETWEEN TIMESTAMP '1998-06-01 12:00:00' AND TIMESTAMP '1998-07-31 12:00:00' AND w.kind LIKE 'PRACA_%' AND l.sphere IN ('ESTADUAL', 'FEDERAL') ORDER BY w.at, w.lot_id, w.kind LIMIT 500)"""
+
+
+def _agenda(spark, sf_dir):
+    return agenda.items(_events(spark, sf_dir), lots(spark, sf_dir).drop("status"), AS_OF, sphere=("ESTADUAL", "FEDERAL"))
+
+
+@query(f"{AGENDA_SQL} SELECT CAST(day AS VARCHAR) AS day, count(*) AS n, string_agg(CAST(lot_id AS VARCHAR), ',' ORDER BY at, lot_id, kind) AS lots FROM items GROUP BY day", with_lots=True)
+def agenda_days(spark, sf_dir):
+    """The agenda by local day."""
+    found = agenda.days(_agenda(spark, sf_dir))
+    return found.select(F.col("day").cast("string").alias("day"), "n", F.array_join(F.transform("items", lambda x: x["lot_id"].cast("string")), ",").alias("lots"))
+
+
+@query(f"{AGENDA_SQL} SELECT c.v AS category, count(i.lot_id) AS n FROM (VALUES ('imovel_rural'), ('imovel_urbano'), ('imovel_indefinido'), ('movel'), ('indefinido')) AS c(v) LEFT JOIN items i ON i.category = c.v GROUP BY c.v", with_lots=True)
+def agenda_category_counts(spark, sf_dir):
+    return agenda.by_category(_agenda(spark, sf_dir))
+
+
+@query(f""", {EVENTS_SQL}, due AS (SELECT * FROM wanted WHERE at BETWEEN TIMESTAMP '1998-06-01 12:00:00' AND TIMESTAMP '1998-09-01 00:00:00' ORDER BY at, lot_id, kind LIMIT 1000) SELECT d.lot_id, d.kind, d.at FROM due d JOIN lots l ON l.lot_id = d.lot_id WHERE l.asset = 'VEICULO'""", with_lots=True)
+def calendar_limit_first(spark, sf_dir):
+    """The calendar limits before it filters by lot."""
+    return agenda.calendar(_events(spark, sf_dir), lots(spark, sf_dir), AS_OF, "1998-09-01 00:00:00", asset=("VEICULO",)).select("lot_id", "kind", "at")
+
+
+@query(f", {EVENTS_SQL} SELECT lot_id, coalesce(min(at) FILTER (at >= TIMESTAMP '1998-06-01 12:00:00'), max(at)) AS next_at FROM wanted WHERE kind LIKE 'PRACA_%' GROUP BY lot_id", with_lots=True)
+def next_session(spark, sf_dir):
+    """W11."""
+    return agenda.next_session(_events(spark, sf_dir), AS_OF)
+
+
+@query("SELECT user_id AS lot_id, arg_min(event_id, (ts, event_id)) AS publication_id, CAST(CAST(min(ts) AS DATE) AS VARCHAR) AS published_on FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY user_id")
+def first_seen(spark, sf_dir):
+    """The first detected publication of each lot."""
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("lot_id"), F.col("event_id").alias("publication_id"), F.col("ts").alias("published_on"), F.col("event_type").isin("purchase", "signup").alias("detected"))
+    return agenda.first_publication(rows).select("lot_id", "publication_id", F.to_date("published_on").cast("string").alias("published_on"))
+
+
+# ---- market ----
+
+
+def _vehicles(spark, sf_dir):
+    return lots(spark, sf_dir).filter("asset = 'VEICULO'")
+
+
+def _table(spark, sf_dir):
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ref_id"), F.upper("p_brand").alias("brand"), F.concat_ws(" ", "p_name", "p_type").alias("model"), (2000 + F.col("p_size") % 25).alias("year"), F.col("p_retailprice").cast("decimal(14,2)").alias("value"), (F.col("p_size") % 9 == 0).alias("demo"))
+
+
+MATCH_SQL = """ref AS (SELECT p_partkey AS ref_id, upper(p_brand) AS brand, 2000 + p_size % 25 AS year, CAST(p_retailprice AS DECIMAL(14,2)) AS value, p_size % 9 = 0 AS demo, list_distinct(list_filter(regexp_split_to_array(lower(p_brand || ' ' || p_name || ' ' || p_type), '[^a-z0-9.]+'), x -> length(x) > 1)) AS r FROM part),
+veh AS (SELECT lot_id AS id, upper(brand) AS brand, model_year AS year, list_distinct(list_filter(regexp_split_to_array(lower(brand || ' ' || model), '[^a-z0-9.]+'), x -> length(x) > 1)) AS t FROM lots WHERE asset = 'VEICULO'),
+blk AS (SELECT DISTINCT brand, year FROM ref),
+pairs AS (SELECT v.id, r.ref_id, CASE WHEN v.year <> r.year THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END * (len(list_intersect(v.t, r.r))::DOUBLE / (len(v.t) + len(r.r) - len(list_intersect(v.t, r.r)))) AS likeness FROM veh v LEFT JOIN blk b ON b.brand = v.brand AND b.year = v.year JOIN ref r ON (b.brand IS NULL OR (r.brand = v.brand AND r.year = v.year))),
+matched AS (SELECT id, arg_max(ref_id, (likeness, -ref_id)) AS ref_id, max(likeness) AS likeness FROM pairs GROUP BY id HAVING max(likeness) >= 0.34)"""
+
+
+@query(f", {MATCH_SQL} SELECT id, ref_id, round(likeness, 3) AS likeness FROM matched", with_lots=True)
+def jaccard_match(spark, sf_dir):
+    """Each vehicle's closest row of the price table, by tokens, in its brand and year or else anywhere."""
+    v = _vehicles(spark, sf_dir).select(F.col("lot_id").alias("id"), "brand", "model", F.col("model_year").alias("year"))
+    return market.match_models(v, _table(spark, sf_dir))
+
+
+INDEX_SQL = """SELECT r_name AS uf, n_name AS city, CASE WHEN g.k = 0 THEN NULL ELSE 'JARDIM SAO ' || CAST(g.k AS STRING) END AS district, strftime(o_orderdate, '%Y-%m') AS month, CAST(max(o_totalprice) / 100 AS DECIMAL(14,2)) AS value_m2 FROM {orders} JOIN {customer} ON c_custkey = o_custkey JOIN {nation} ON n_nationkey = c_nationkey JOIN {region} ON r_regionkey = n_regionkey JOIN (SELECT 0 AS k UNION ALL SELECT 2 UNION ALL SELECT 4) g ON g.k = 0 OR o_orderkey % 7 = g.k GROUP BY r_name, n_name, g.k, strftime(o_orderdate, '%Y-%m')"""
+
+
+def _index(spark, sf_dir):
+    return stated(spark, sf_dir, INDEX_SQL.replace("strftime(o_orderdate, '%Y-%m')", "date_format(o_orderdate, 'yyyy-MM')"))
+
+
+INDEXED_SQL = f"""idx AS ({in_duckdb(INDEX_SQL)}), latest AS (SELECT uf, city, max(month) AS month FROM idx GROUP BY uf, city),
+valued AS (SELECT l.*, coalesce(d.value_m2, c.value_m2) AS value_m2, coalesce(d.month, c.month) AS month, CASE WHEN d.value_m2 IS NOT NULL THEN 'BAIRRO' WHEN c.value_m2 IS NOT NULL THEN 'CIDADE' END AS precision FROM lots l LEFT JOIN latest t ON t.uf = l.uf AND t.city = l.city
+LEFT JOIN idx d ON d.uf = l.uf AND d.city = l.city AND d.month = t.month AND lower(d.district) = {PLAIN.format("l.district")} LEFT JOIN idx c ON c.uf = l.uf AND c.city = l.city AND c.month = t.month AND c.district IS NULL)"""
+
+
+@query(f", {INDEXED_SQL} SELECT lot_id, CAST(value_m2 AS DOUBLE) AS value_m2, month, precision FROM valued", with_lots=True)
+def degrading_lookup(spark, sf_dir):
+    """The latest month's value of the district, or else of the city."""
+    return market.index_value(lots(spark, sf_dir), _index(spark, sf_dir)).select("lot_id", F.col("value_m2").cast("double").alias("value_m2"), "month", "precision")
+
+
+DISCOUNT_SQL = "CAST(round_even(CAST((reference - compared) * 100 AS DECIMAL(24,2))::DOUBLE / reference::DOUBLE, 2) AS DOUBLE)"
+
+
+def _analyses(spark, sf_dir):
+    own = lots(spark, sf_dir)
+    current = agenda.current_session(own, sessions(spark, sf_dir), AS_OF).select("lot_id", "minimum")
+    priced = own.join(current, "lot_id").withColumns({"damage": F.when(F.col("lot_id") % 3 == 0, F.array(F.lit("sucata"))), "private_area": F.when(F.col("lot_id") % 2 == 0, F.lit("68.50").cast("decimal(12,2)")), "total_area": F.lit("92.30").cast("decimal(12,2)")})
+    v = priced.filter("asset = 'VEICULO'").select(F.col("lot_id").alias("id"), "brand", "model", F.col("model_year").alias("year"))
+    matches = market.match_models(v, _table(spark, sf_dir))
+    indexed = market.index_value(priced, _index(spark, sf_dir))
+    return market.appraisal_analysis(priced).unionByName(market.vehicle_analysis(priced, matches, _table(spark, sf_dir))).unionByName(market.index_analysis(indexed))
+
+
+ANALYSES_SQL = f""", {CURRENT_SQL}, {MATCH_SQL}, {INDEXED_SQL}, priced AS (SELECT v.*, CASE c.ordinal WHEN 1 THEN v.first_min ELSE v.second_min END AS minimum FROM valued v JOIN current_session c ON c.lot_id = v.lot_id),
+analyses AS (SELECT lot_id, 'LAUDO_JUDICIAL' AS source, appraisal AS reference, minimum AS compared, CAST(0.85 AS DOUBLE) AS confidence FROM priced WHERE appraisal > 0 AND minimum IS NOT NULL
+UNION ALL SELECT p.lot_id, 'FIPE', r.value, p.minimum, round_even(least(0.9::DOUBLE, 0.8::DOUBLE * round(m.likeness, 3) * CASE WHEN p.lot_id % 3 = 0 THEN 0.8::DOUBLE ELSE 1::DOUBLE END * CASE WHEN r.demo THEN 0.5::DOUBLE ELSE 1::DOUBLE END), 3) FROM priced p JOIN matched m ON m.id = p.lot_id JOIN ref r ON r.ref_id = m.ref_id WHERE p.asset = 'VEICULO' AND p.minimum IS NOT NULL
+UNION ALL SELECT lot_id, 'FIPEZAP', CAST(round_even(CAST(value_m2 AS DOUBLE) * CASE WHEN lot_id % 2 = 0 THEN 68.5::DOUBLE ELSE 92.3::DOUBLE END, 2) AS DECIMAL(14,2)), minimum, round_even(CASE precision WHEN 'BAIRRO' THEN 0.7::DOUBLE ELSE 0.55::DOUBLE END * CASE WHEN lot_id % 2 = 0 THEN 1::DOUBLE ELSE 0.8::DOUBLE END, 3) FROM priced WHERE asset = 'IMOVEL' AND minimum IS NOT NULL AND value_m2 IS NOT NULL)"""
+
+
+@query(f"{ANALYSES_SQL} SELECT lot_id, source, CAST(reference AS DOUBLE) AS reference, CAST(compared AS DOUBLE) AS compared FROM analyses", with_lots=True)
+def market_analyses(spark, sf_dir):
+    """M1 to M4: each lot against appraisal, vehicle table and price index."""
+    return _analyses(spark, sf_dir).select("lot_id", "source", *dbl("reference", "compared"))
+
+
+@query(f"{ANALYSES_SQL} SELECT lot_id, arg_max(source, (source <> 'LAUDO_JUDICIAL', confidence, source)) AS source FROM analyses GROUP BY lot_id", with_lots=True)
+def best_by_tuple(spark, sf_dir):
+    """One analysis for each lot, market sources first."""
+    return market.best_analysis(_analyses(spark, sf_dir)).select("lot_id", "source")
+
+
+@query(f"SELECT lot_id, CAST(appraisal AS DOUBLE) AS reference, CASE WHEN abs(d * 100 - floor(d * 100) - 0.5) < 1e-9 THEN round_even(d, 2) ELSE round(d, 2) END AS discount FROM (SELECT lot_id, appraisal, CASE WHEN appraisal <= 0 THEN 0 ELSE CAST((appraisal - first_min) * 100 AS DOUBLE) / CAST(appraisal AS DOUBLE) END AS d FROM lots)", with_lots=True)
+def discount_pct(spark, sf_dir):
+    """Per cent below the appraisal, half-even."""
+    return lots(spark, sf_dir).select("lot_id", F.col("appraisal").cast("double").alias("reference"), market.discount(F.col("appraisal"), F.col("first_min")).cast("double").alias("discount"))
+
+
+@query("""SELECT lot_id, CAST(base + coalesce(CAST(round_even(CAST(base * 5 AS DECIMAL(18,2)) / 100, 2) AS DECIMAL(14,2)) * CASE WHEN commission IS NULL THEN NULL ELSE 1 END, 0) + CASE WHEN lot_id % 2 = 0 THEN 8450.00 ELSE 0 END + CASE WHEN lot_id % 4 = 0 THEN 12300.00 ELSE 0 END AS DOUBLE) AS total_cost FROM (SELECT *, coalesce(nullif(second_min, 0), nullif(first_min, 0)) AS base FROM lots)""", with_lots=True)
+def cost_total(spark, sf_dir):
+    """Bid, commission and stated debts."""
+    debt = lambda k, v: F.struct(F.lit(k).alias("kind"), F.lit(v).cast("decimal(14,2)").alias("amount"))
+    debts = F.when(F.col("lot_id") % 4 == 0, F.array(debt("iptu", "8450.00"), debt("condominio", "12300.00"))).when(F.col("lot_id") % 2 == 0, F.array(debt("iptu", "8450.00")))
+    return market.total_cost(lots(spark, sf_dir).withColumn("debts", debts)).select("lot_id", F.col("total_cost").cast("double").alias("total_cost"))
+
+
+# ---- score ----
+
+
+def _scored(spark, sf_dir):
+    own = lots(spark, sf_dir)
+    current = agenda.current_session(own, sessions(spark, sf_dir), AS_OF).select("lot_id", F.col("at").alias("session_at"), F.col("passed").alias("session_passed"))
+    rows = own.join(current, "lot_id", "left").join(score.history(own).select("auctioneer_id", "history"), "auctioneer_id", "left")
+    k = F.col("lot_id")
+    rows = rows.withColumns(
+        {
+            "discount": F.col("discount").cast("decimal(12,2)"),
+            "confirmed": F.when(k % 2 == 0, F.array(F.lit("valor_avaliacao"), F.lit("data_praca_1"), F.lit("endereco"))).otherwise(F.array(F.lit("valor_avaliacao"))),
+            "has_documents": k % 5 != 0,
+            "damage": F.when(F.col("asset") == "VEICULO", F.array(F.lit("sucata"), F.lit("raro"))),
+            "buyer_pays": k % 6 == 0,
+            "from_price": k % 10 == 0,
+            "registry": F.when(k % 2 == 0, F.lit("12.345")),
+        }
+    )
+    return score.scored(rows, AS_OF)
+
+
+@query(f""", {CURRENT_SQL}, hist AS (SELECT auctioneer_id, count(*) FILTER (status IN ('ARREMATADO', 'DESERTO', 'SUSPENSO')) AS c, count(*) FILTER (status IN ('DESERTO', 'SUSPENSO')) AS b FROM lots GROUP BY auctioneer_id)
+SELECT l.lot_id, least(coalesce(discount, 0) / 50, 1) * 40 AS discount_points,
+greatest(0, least(25, 25 - CASE WHEN occupied THEN 9 WHEN occupied IS NULL AND asset = 'IMOVEL' THEN 3 ELSE 0 END - CASE WHEN liens_text = 'hipoteca' THEN 5 WHEN liens_text = 'penhora,usufruto' THEN 7 ELSE 0 END - CASE WHEN asset = 'VEICULO' THEN 13 ELSE 0 END - CASE WHEN l.lot_id % 6 = 0 THEN 4 ELSE 0 END + CASE WHEN l.lot_id % 10 = 0 THEN 2 ELSE 0 END - CASE WHEN asset = 'IMOVEL' AND l.lot_id % 2 = 1 THEN 3 ELSE 0 END))::DOUBLE AS risk_points,
+CASE WHEN s.at IS NULL OR s.passed THEN 0 WHEN d <= 3 THEN 10 WHEN d <= 15 THEN 8 WHEN d <= 45 THEN 5 ELSE 3 END::DOUBLE AS window_points,
+round(CASE WHEN h.c < 5 THEN 2.5 ELSE 5.0 * (h.c - h.b) / h.c END, 2) AS history_points
+FROM lots l LEFT JOIN (SELECT *, floor((epoch_us(at) - epoch_us(TIMESTAMP '1998-06-01 12:00:00')) / 86400000000) AS d FROM current_session) s ON s.lot_id = l.lot_id JOIN hist h ON h.auctioneer_id = l.auctioneer_id""", with_lots=True)
+def score_components(spark, sf_dir):
+    """M5 to M9."""
+    return _scored(spark, sf_dir).select("lot_id", *dbl("discount_points", "risk_points", "window_points"), F.round(F.col("history_points").cast("double"), 2).alias("history_points"))
+
+
+@query("""SELECT lot_id, CASE WHEN score >= 80 THEN 'ALTA' WHEN score >= 60 THEN 'BOA' WHEN score >= 40 THEN 'MODERADA' ELSE 'BAIXA' END AS band FROM lots""", with_lots=True)
+def score_band(spark, sf_dir):
+    return lots(spark, sf_dir).select("lot_id", score.band(F.col("score")).alias("band"))
+
+
+@query()
+def score_totals(spark, sf_dir):
+    """Parts, total and band of every lot."""
+    return _scored(spark, sf_dir).select("lot_id", F.col("score").cast("double").alias("score"), "band")
+
+
+# ---- joins and alerts ----
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+def semi_exists(spark, sf_dir):
+    """J4, F4."""
+    big = read(spark, sf_dir, "orders").filter("o_totalprice > 300000")
+    return read(spark, sf_dir, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+ALERTS_SQL = "SELECT n_nationkey AS alert_id, n_nationkey % 5 <> 4 AS active, n_regionkey % 2 AS any_uf, n_nationkey % 3 AS any_asset, n_name, n_regionkey FROM {nation}"
+
+
+def _alerts(spark, sf_dir):
+    regions = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    rows = stated(spark, sf_dir, ALERTS_SQL).join(regions, "n_regionkey")
+    none = F.array().cast("array<string>")
+    return rows.select("alert_id", "active", F.when(F.col("any_uf") == 0, none).otherwise(F.array("r_name")).alias("ufs"), F.when(F.col("any_asset") == 0, none).otherwise(F.array(F.lit("IMOVEL"))).alias("assets"), F.lit(2000).cast("decimal(14,2)").alias("least_price"), F.lit(None).cast("decimal(14,2)").alias("most_price"), F.lit(30.0).alias("least_score"))
+
+
+@query("""SELECT alert_id, lot_id, place FROM (SELECT a.n_nationkey AS alert_id, l.lot_id, row_number() OVER (PARTITION BY a.n_nationkey ORDER BY l.score DESC, l.lot_id) AS place FROM nation a JOIN region r ON r.r_regionkey = a.n_regionkey JOIN lots l ON (a.n_regionkey % 2 = 0 OR l.uf = r.r_name) AND (a.n_nationkey % 3 = 0 OR l.asset = 'IMOVEL')
+WHERE a.n_nationkey % 5 <> 4 AND l.status = 'ABERTO' AND coalesce(l.second_min, l.first_min) >= 2000 AND l.score >= 30 AND NOT (l.lot_id % 2 = 0 AND l.uf = r.r_name)) WHERE place <= 20""", with_lots=True)
+def alert_matches(spark, sf_dir):
+    """What each alert would send now."""
+    own = lots(spark, sf_dir)
+    regions = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("alert_id"), F.col("r_name").alias("uf"))
+    sent = own.filter("lot_id % 2 = 0").join(regions, "uf").select("alert_id", "lot_id")
+    return alerts.new_matches(_alerts(spark, sf_dir), own, sent).select(F.col("alert_id").cast("long").alias("alert_id"), "lot_id", F.col("place").cast("long").alias("place"))
+
+
+# ---- merging and identity ----
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_size % 3 <> 0 THEN upper(p_name) ELSE CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_name END END AS title, CASE WHEN p_size % 4 = 0 THEN 'INDEFINIDA' ELSE p_type END AS nature0,
+CASE WHEN p_size % 2 = 0 AND p_size % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS changes FROM part""")
+def merge_policy(spark, sf_dir):
+    """Blanks take new values, values stay, lists grow; what changed is told."""
+    base = read(spark, sf_dir, "part")
+    k = F.col("p_size")
+    old = base.select("p_partkey", F.when(k % 2 != 0, F.col("p_name")).alias("title"), F.when(k % 4 == 0, "INDEFINIDA").otherwise(F.col("p_type")).alias("nature0"), F.array(F.lit("penhora")).alias("liens"))
+    new = base.select("p_partkey", F.when(k % 3 != 0, F.upper("p_name")).alias("title"), F.lit(None).cast("string").alias("nature0"), F.when(k % 5 == 0, F.array(F.lit("penhora"), F.lit("arresto"))).otherwise(F.array(F.lit("penhora"))).alias("liens"))
+    merged = identity.merge(old, new, "p_partkey", fill=("title",), append=("liens",), open_values={"nature0": "INDEFINIDA"})
+    return merged.select("p_partkey", "title", "nature0", F.size("changed").alias("changes"))
+
+
+@query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id, event_type")
+def upsert_latest(spark, sf_dir):
+    """D3: the last value of a key wins over what is stored."""
+    rows = read(spark, sf_dir, "events")
+    old = rows.groupBy("user_id", "event_type").agg(F.min("value").alias("value"))
+    new = rows.select("user_id", "event_type", "value", F.struct("ts", "event_id").alias("order"))
+    return identity.upsert(old, new, ["user_id", "event_type"], order="order")
+
+
+IDENTITY_SQL = "SELECT o_orderkey AS lot_id, o_orderkey % 3 <> 0 AS case_valid, CASE WHEN o_orderkey % 3 <> 0 THEN 'C' || CAST(o_custkey AS STRING) END AS case_number, CASE WHEN o_orderkey % 2 = 0 THEN '1' END AS lot_number, CASE o_orderkey % 4 WHEN 0 THEN 'IMOVEL' WHEN 1 THEN 'VEICULO' ELSE 'OUTRO' END AS asset, 'AL' AS uf, CASE WHEN o_orderkey % 4 = 0 THEN 'R ' || CAST(o_custkey % 400 AS STRING) END AS registry, CASE WHEN o_orderkey % 4 = 1 THEN 'P' || CAST(o_custkey % 300 AS STRING) END AS plate, 2010 + o_orderkey % 5 AS model_year, 'N' || CAST(o_orderkey AS STRING) AS natural_key FROM {orders}"
+KEYED_SQL = f"""WITH rows AS ({in_duckdb(IDENTITY_SQL)}), pairs AS (SELECT lot_id, 100 AS strength, 'case_lot' AS kind, case_number || '#' || coalesce(lot_number, 'unico') AS key FROM rows WHERE case_valid AND case_number IS NOT NULL
+UNION ALL SELECT lot_id, 90, 'registry', uf || '#' || lower(registry) FROM rows WHERE asset = 'IMOVEL' AND length(registry) >= 3 UNION ALL SELECT lot_id, 80, 'plate', plate || '#' || CAST(model_year AS VARCHAR) FROM rows WHERE asset = 'VEICULO' AND plate IS NOT NULL UNION ALL SELECT lot_id, 10, 'natural', natural_key FROM rows)"""
+
+
+@query(f"""{KEYED_SQL} SELECT r.lot_id, coalesce(b.first, r.lot_id) AS canonical_id FROM rows r LEFT JOIN (SELECT p.lot_id, arg_max(s.first, p.strength) AS first FROM pairs p JOIN (SELECT kind, key, min(lot_id) AS first FROM pairs GROUP BY kind, key HAVING count(*) > 1) s ON s.kind = p.kind AND s.key = p.key GROUP BY p.lot_id) b ON b.lot_id = r.lot_id""")
+def identity_batch(spark, sf_dir):
+    """J12 within one batch."""
+    return identity.canonical(stated(spark, sf_dir, IDENTITY_SQL))
+
+
+@query(f"""{KEYED_SQL}, known AS (SELECT p.kind, p.key, min(p.lot_id) AS match_id FROM (SELECT * FROM pairs UNION ALL SELECT lot_id, 80, 'plate', split_part(key, '#', 1) || '#' FROM pairs WHERE kind = 'plate') p WHERE p.lot_id % 2 = 0 OR p.lot_id % 5 = 0 GROUP BY p.kind, p.key)
+SELECT r.lot_id, b.m.match_id AS match_id, b.m.kind AS matched_by FROM rows r LEFT JOIN (SELECT p.lot_id, arg_max({{'match_id': k.match_id, 'kind': k.kind}}, p.strength) AS m FROM pairs p JOIN known k ON k.kind = p.kind AND k.key = p.key GROUP BY p.lot_id) b ON b.lot_id = r.lot_id""")
+def identity_ladder(spark, sf_dir):
+    """J12 against stored lots: the strongest shared key wins."""
+    rows = stated(spark, sf_dir, IDENTITY_SQL)
+    found = identity.match_existing(rows, rows.filter("lot_id % 2 = 0 or lot_id % 5 = 0"))
+    return found.select("lot_id", "match_id", "matched_by")
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, (CAST(o_orderpriority IS NOT NULL AS INT), -o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
+def most_complete(spark, sf_dir):
+    """W13."""
+    return identity.most_complete(read(spark, sf_dir, "orders"), "o_custkey", ("o_orderpriority",), "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query("SELECT user_id AS lot_id, event_type AS name, max(confidence) AS confidence FROM (SELECT user_id, event_type, CAST(CAST(value AS BIGINT) % 100 AS DOUBLE) / 100 AS confidence FROM (SELECT user_id, event_type, floor(value) AS value FROM events)) GROUP BY user_id, event_type")
+def surest_finding(spark, sf_dir):
+    """The surer finding stays."""
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("lot_id"), F.col("event_type").alias("name"), ((F.floor("value") % 100).cast("double") / 100).alias("confidence"), F.lit("REGRA").alias("method"), F.col("event_id").cast("string").alias("value"))
+    old, new = rows.filter("value % 2 = 0"), rows.filter("value % 2 = 1")
+    return identity.keep_findings(old, new).select("lot_id", "name", "confidence")
+
+
+# ---- detection and extraction over notices that are written from orders ----
+
+
+def _notices(spark, sf_dir):
+    """A notice for each lot, written from its columns, so that every fact in it is known."""
+    k = F.col("lot_id")
+    number = parse.written_case((k % 10_000_000).cast("string"), F.year("collected_at").cast("string"), F.lit("8"), F.lit("2"), F.lit("1"))
+    day = F.date_format(F.col("collected_at") + F.expr("INTERVAL 20 DAYS"), "dd/MM/yyyy")
+    asset = F.when(k % 3 == 0, "BEM: apartamento no bairro central, com área privativa de 68,50 m2 e área total de 92,30 m2, desocupado, gravado por hipoteca.").when(k % 3 == 1, "BEM: veículo sem chave, localizado na Fazenda Boa Vista, livre de hipoteca e em regular estado.").otherwise("BEM: gleba rural com dez hectares, ocupado por terceiros, imóvel ocupado, penhora averbada aqui.")
+    head = F.when(k % 5 == 0, "EDITAL DE LEILÃO ELETRÔNICO. ").when(k % 5 == 1, "Hasta pública. ").when(k % 5 == 2, "Leilão de energia. ").when(k % 5 == 3, "Despacho sem mais nada a declarar. ").otherwise("Leilão beneficente. ")
+    court = F.when(k % 2 == 0, "Comarca de Maceió, nos autos nº ").otherwise("Numero ")
+    body = F.concat(head, court, number, F.lit(". "), asset, F.lit(" Avaliado em "), text.brazilian_money(F.col("appraisal")), F.lit(". 1ª praça: "), day, F.lit(" às 14h30, lance de "), text.brazilian_money(F.col("first_min")), F.lit(". Comissão do leiloeiro de 5%."))
+    return lots(spark, sf_dir).select("lot_id", "appraisal", "first_min", "collected_at", body.alias("text"))
+
+
+DETECT_SQL = """SELECT lot_id, CAST(greatest(0, least(0.95, least(0.95, strong + medium) - noise - CASE WHEN lot_id % 2 = 0 THEN 0 ELSE 0.2 END)) AS DOUBLE) AS score FROM (SELECT lot_id,
+CASE lot_id % 5 WHEN 0 THEN 0.98 WHEN 1 THEN 0.90 ELSE 0.40 END AS strong, 0.37 + CASE WHEN lot_id % 5 IN (0, 2, 4) THEN 0.20 ELSE 0 END AS medium, CASE lot_id % 5 WHEN 2 THEN 0.60 WHEN 4 THEN 0.45 ELSE 0 END AS noise FROM lots)"""
+
+
+@query(f"SELECT lot_id, round(score, 3) AS score FROM ({DETECT_SQL}) WHERE score >= 0.55", with_lots=True)
+def detect_score(spark, sf_dir):
+    """Which notices announce an auction, and how surely."""
+    return terms.detect(_notices(spark, sf_dir)).filter("notice is not null").select("lot_id", F.round(F.col("notice.score").cast("double"), 3).alias("score"))
+
+
+@query("""SELECT lot_id, CASE lot_id % 3 WHEN 0 THEN 'IMOVEL' WHEN 1 THEN 'MOVEL' ELSE 'IMOVEL' END AS nature, CASE lot_id % 3 WHEN 0 THEN 'URBANA' WHEN 1 THEN 'INDEFINIDA' ELSE 'RURAL' END AS zone, CAST(CASE lot_id % 3 WHEN 0 THEN 0.90 WHEN 1 THEN 0.77 ELSE 0.94 END AS DOUBLE) AS nature_score FROM lots""", with_lots=True)
+def classify_assets(spark, sf_dir):
+    """Nature and zone of the asset, a farm that is only a place counting less."""
+    notices = _notices(spark, sf_dir).withColumn("snippet", F.regexp_extract("text", r"BEM: (.*?)\. Avaliado|BEM: (.*)", 1))
+    return terms.classify(notices, "snippet").select("lot_id", "nature", "zone", F.col("nature_score").cast("double").alias("nature_score"))
+
+
+@query("""SELECT lot_id, CAST(appraisal AS DOUBLE) AS appraisal, CAST(first_min AS DOUBLE) AS first_min, CAST(collected_at AS TIMESTAMP) + INTERVAL 20 DAY + INTERVAL 17 HOUR + INTERVAL 30 MINUTE AS first_at, 5.0::DOUBLE AS fee,
+CASE lot_id % 3 WHEN 0 THEN FALSE WHEN 2 THEN TRUE END AS occupied, CASE lot_id % 3 WHEN 0 THEN 'hipoteca' WHEN 2 THEN 'penhora' END AS liens, CASE WHEN lot_id % 3 = 0 THEN 92.3::DOUBLE END AS total_area, CASE WHEN lot_id % 3 = 0 THEN 68.5::DOUBLE END AS private_area, CASE WHEN lot_id % 3 = 1 THEN 'sem_chave' END AS damage FROM lots""", with_lots=True)
+def extract_fields(spark, sf_dir):
+    """Facts read from every notice, one wide row each."""
+    notices = _notices(spark, sf_dir)
+    found = extract.extract(notices, "lot_id").groupBy("lot_id").agg(
+        *(F.max(F.when(F.col("name") == name, F.col(kind))).alias(alias) for name, kind, alias in (
+            ("valor_avaliacao", "number", "appraisal"), ("valor_minimo_praca_1", "number", "first_min"), ("data_praca_1", "at", "first_at"), ("comissao_leiloeiro", "number", "fee"), ("ocupado", "flag", "occupied"),
+            ("onus", "text", "liens"), ("area_total_m2", "number", "total_area"), ("area_privativa_m2", "number", "private_area"), ("condicao_veiculo", "text", "damage")))
+    )
+    return found.select("lot_id", *dbl("appraisal", "first_min"), "first_at", *dbl("fee"), "occupied", "liens", *dbl("total_area", "private_area"), "damage")
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 0.92 WHEN o_orderkey % 3 = 1 THEN 0.97 ELSE 0.6 END::DOUBLE AS confidence, CASE o_orderkey % 3 WHEN 0 THEN 'REGRA' WHEN 1 THEN 'REGRA_E_LLM' ELSE 'REGRA' END AS method FROM orders""")
+def fuse_rule_model(spark, sf_dir):
+    """Rule and model findings agree, disagree or stand alone."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit("valor_avaliacao").alias("name"), F.col("o_totalprice").cast("decimal(18,3)").alias("number"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("timestamp_ntz").alias("at"), F.lit(None).cast("boolean").alias("flag"), F.lit(0.92).alias("confidence"))
+    model = rows.filter("doc_id % 3 > 0").withColumn("number", F.when(F.col("doc_id") % 3 == 1, F.col("number") + F.lit("0.01").cast("decimal(18,3)")).otherwise(F.col("number") * 2).cast("decimal(18,3)")).withColumn("confidence", F.lit(0.6))
+    return extract.fuse(rows, model).select("doc_id", "confidence", "method")
+
+
+# ---- pages ----
+
+
+@query()
+def html_links(spark, sf_dir):
+    """Every link of every page."""
+    return html.links(read(spark, sf_dir, "pages"))
+
+
+@query()
+def html_cards(spark, sf_dir):
+    """The largest list of cards of every page."""
+    return html.cards(read(spark, sf_dir, "pages"))
+
+
+# ---- event time ----
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
+def tumbling_windows(spark, sf_dir):
+    return windows.tumbling(read(spark, sf_dir, "events")).select("start", "event_type", "n", F.col("total").cast("double").alias("total"))
+
+
+@query("SELECT CAST(d AS TIMESTAMP) AS start, event_type, count(*) AS n FROM (SELECT date_trunc('day', ts) AS d, event_type FROM events UNION ALL SELECT date_trunc('day', ts) - INTERVAL 1 DAY, event_type FROM events) GROUP BY 1, 2")
+def sliding_windows(spark, sf_dir):
+    return windows.sliding(read(spark, sf_dir, "events"))
+
+
+@query("""SELECT user_id, min(ts) AS first, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""")
+def session_windows(spark, sf_dir):
+    return windows.sessions(read(spark, sf_dir, "events"))
+
+
+# ---- outputs ----
+
+
+@query("""SELECT lot_id, '{"type":"Feature","geometry":{"type":"Point","coordinates":[' || CAST(CAST(lot_id % 90 AS BIGINT) AS VARCHAR) || '.5,' || CAST(CAST(lot_id % 45 AS BIGINT) AS VARCHAR) || '.25]},"properties":{"lot_id":' || CAST(lot_id AS VARCHAR) || ',"title":"' || title || '","city":"' || city || '","uf":"' || uf || '","band":"' || CASE WHEN score >= 80 THEN 'ALTA' WHEN score >= 60 THEN 'BOA' WHEN score >= 40 THEN 'MODERADA' ELSE 'BAIXA' END || '"}}' AS feature FROM lots WHERE lot_id % 2 = 0 ORDER BY lot_id LIMIT 2000""", with_lots=True)
+def geojson_rows(spark, sf_dir):
+    """O3: features of lots with coordinates, 2000 at most."""
+    k = F.col("lot_id")
+    rows = lots(spark, sf_dir).withColumns({"longitude": F.when(k % 2 == 0, k % 90 + 0.5), "latitude": F.when(k % 2 == 0, k % 45 + 0.25), "band": score.band(F.col("score"))})
+    return outputs.geojson(rows)
+
+
+@query(f""", {EVENTS_SQL} SELECT w.lot_id, w.kind, concat_ws(chr(13) || chr(10), 'BEGIN:VEVENT', 'UID:lote-' || CAST(w.lot_id AS VARCHAR) || '-' || lower(w.kind) || '@martelo.example', 'DTSTAMP:19980601T120000Z', 'DTSTART:' || strftime(w.at, '%Y%m%dT%H%M%SZ'), 'DURATION:PT' || CASE WHEN w.kind LIKE 'PRACA_%' THEN '120' ELSE '30' END || 'M', 'SEQUENCE:0', 'STATUS:' || CASE w.target WHEN 'SUSPENSO' THEN 'TENTATIVE' ELSE 'CONFIRMED' END, 'SUMMARY:' || l.title, 'LOCATION:' || concat_ws('\\, ', l.district, l.city, l.uf), 'CATEGORIES:' || l.asset,
+'BEGIN:VALARM', 'ACTION:DISPLAY', 'TRIGGER:-PT24H', 'DESCRIPTION:' || l.title || ' em 24h', 'END:VALARM', 'END:VEVENT') AS vevent FROM wanted w JOIN lots l ON l.lot_id = w.lot_id""", with_lots=True)
+def ics_rows(spark, sf_dir):
+    """O1: an iCalendar event for each event of each lot."""
+    own = lots(spark, sf_dir).withColumns({"address": F.lit(None).cast("string"), "changes": F.lit(0), "reminders": F.array(F.lit(24))})
+    return outputs.ics_event(_events(spark, sf_dir).join(own, "lot_id"), AS_OF)
+
+
+@query("SELECT CASE WHEN nature = 'x' THEN '' ELSE '- ' || title || ' — ' || city || ': R$ ' || translate(format('{:,.2f}', CAST(first_min AS DOUBLE)), ',.', '.,') || CASE WHEN discount > 0 THEN ' (' || CAST(CAST(discount AS BIGINT) AS VARCHAR) || '% abaixo)' ELSE '' END END AS line, lot_id FROM lots", with_lots=True)
+def digest_lines(spark, sf_dir):
+    """O5."""
+    line = outputs.digest_line(F.col("title"), F.col("city"), F.col("first_min"), F.coalesce(F.col("discount").cast("long"), F.lit(0)))
+    return lots(spark, sf_dir).select(line.alias("line"), "lot_id")
+
+
+# ---- sources ----
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS external_id, url AS text, CAST(page_id % 7 AS VARCHAR) AS organ FROM pages")
+def gazette_envelopes(spark, sf_dir):
+    """Publications of API responses under two envelopes and two sets of names; repeats go."""
+    pages = read(spark, sf_dir, "pages")
+    one = pages.select(F.to_json(F.struct(F.array(F.struct(F.col("page_id").cast("string").alias("id"), F.col("url").alias("texto"), (F.col("page_id") % 7).cast("string").alias("nomeOrgao"))).alias("items"))).alias("value"))
+    two = pages.filter("page_id % 2 = 0").select(F.to_json(F.struct(F.array(F.struct(F.col("page_id").cast("string").alias("identificador"), F.col("url").alias("conteudo"), (F.col("page_id") % 7).cast("string").alias("orgao"))).alias("resultado"))).alias("value"))
+    return files.gazette(one.unionByName(two)).select("external_id", "text", "organ")
