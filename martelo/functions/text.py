@@ -105,7 +105,7 @@ def humanised(c: Column) -> Column:
 
 def ics_escaped(c: Column) -> Column:
     made = F.coalesce(c, F.lit(""))
-    for old, new in (("\\", "\\\\"), (";", "\;"), (",", "\\,"), ("\r\n", "\\n"), ("\n", "\\n")):
+    for old, new in (("\\", "\\\\"), (";", "\\;"), (",", "\\,"), ("\r\n", "\\n"), ("\n", "\\n")):
         made = F.replace(made, F.lit(old), F.lit(new))
     return made
 
