@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-_JUMP = """
-    SELECT i, doc_id, {shards} AS shards, CAST(0 AS BIGINT) AS at_, CAST(0 AS BIGINT) AS next_, CAST(coalesce(doc_id, 0) AS HUGEINT) AS x
-"""
-
-OP2 = """
+#: Sizes and shards alone: a slot depends on how the rows were split. tests/llm holds the query against this.
+SHARDS = """
 WITH RECURSIVE ids AS (
   SELECT DISTINCT coalesce(doc_id, 0) AS k, n FROM documents, (VALUES (16), (17)) AS t(n)
 ), walk(k, n, x, at_, next_) AS (

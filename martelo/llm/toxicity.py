@@ -148,7 +148,8 @@ class Evidence(NamedTuple):
 
 def fit_evidence(counts: pd.DataFrame) -> Evidence:
     """Kneser-Ney differences from counts (gram, context, one, zero, backoff), one row for each counted n-gram."""
-    by = counts.groupby("context").agg(one=("one", "sum"), zero=("zero", "sum"), kinds_one=("one", lambda x: (x > 0).sum()), kinds_zero=("zero", lambda x: (x > 0).sum()))
+    seen = counts.assign(kinds_one=counts["one"] > 0, kinds_zero=counts["zero"] > 0)
+    by = seen.groupby("context")[["one", "zero", "kinds_one", "kinds_zero"]].sum()
     rest = {c: np.where(by[c] > 0, DISCOUNT * by[f"kinds_{c}"] / by[c].clip(lower=1), 1.0) for c in ("one", "zero")}
     place = by.index.get_indexer(counts["context"])
     p = {c: np.maximum(counts[c] - DISCOUNT, 0) / np.maximum(by[c].to_numpy()[place], 1) + rest[c][place] * counts["backoff"] for c in ("one", "zero")}
