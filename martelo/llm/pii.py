@@ -2,7 +2,7 @@
 
 The field scores whole candidate spans (shape, check digits, length, borders, cue words) and a dynamic programme
 over segments of bounded length picks boundaries and kinds together. It runs only on stretches around digits,
-at-signs and key prefixes. Its weights are fitted by maximum likelihood on generated, seeded sentences, so no label of any table is
+at-signs, key prefixes and key names with their sign. Its weights are fitted by maximum likelihood on generated, seeded sentences, so no label of any table is
 used. Base spans always stay; the field adds spans where no base span lies, for example a telephone number whose
 base match ran on into the next number and failed.
 """
@@ -23,8 +23,8 @@ from .common import map_rows
 
 KINDS = ("email", "ip", "card", "phone", "iban", "secret", "ssn")
 BASE_KINDS = KINDS[:4]
-#: An entity spans at most so many tokens and letters.
-MAX_TOKENS, MAX_LETTERS = 24, 96
+#: An entity spans at most so many letters; only a secret after a key name may be of any length.
+MAX_LETTERS = 96
 
 # The base patterns of the query's contract. The look-behinds and possessive repeats only spare
 # starts that must fail, so that long runs of digits take linear time.
@@ -34,18 +34,19 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
+KEY = r"(?:password|passwd|pwd|secret|token|api_?key)\s?[=:]"
 SHAPES = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"),
     "card": re.compile(r"[0-9](?:[ -]?[0-9]){12,18}"),
     "phone": re.compile(r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{1,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}"),
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
-    "secret": re.compile(r"(?:AKIA[A-Z0-9]{16}|(?:password|passwd|pwd|secret|token|api_?key)\s?[=:]\s?[^\s,;]{5,}[A-Za-z0-9])", re.IGNORECASE),
+    "secret": re.compile(rf"(?:AKIA[A-Z0-9]{{16}}|{KEY}\s?[^\s,;]{{5,}}[A-Za-z0-9])", re.IGNORECASE),
     "ssn": re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
 }
 CUES = re.compile(r"(?:e-?mail|ip|card|visa|tel|phone|call|fax|iban|account|key|login|ssn|social)\W{0,3}$", re.IGNORECASE)
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s+|[^0-9A-Za-z\s]")
-MARK = re.compile(r"[0-9@]+|AKIA")
+MARK = re.compile(rf"[0-9@]+|AKIA|(?i:{KEY})\s?[^\s,;]*+")
 N_SPAN, N_OUT = 9, 4
 
 
@@ -124,16 +125,11 @@ def out_features(token: str) -> list[float]:
 
 
 def stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Parts of the text about digits and at-signs, each wide enough for any entity that holds them."""
+    """Parts of the text about digits, at-signs and keys with their values, each wide enough for any entity that holds them."""
     low = high = -1
     for m in MARK.finditer(text):
         a, b = max(0, m.start() - MAX_LETTERS), min(len(text), m.end() + MAX_LETTERS)
-        # back to a border of words; an entity's own blanks stand between digits or after a cue word
-        cut = text.rfind(" ", a, m.start())
-        cut = text.rfind(" ", a, cut) if cut > 0 else cut
-        a, end = (cut + 1 if cut >= a else a), text.find(" ", m.end(), b)
-        b = end if end >= 0 else b
-        if a <= high + 1:
+        if high >= 0 and a <= high:
             high = max(high, b)
             continue
         if high >= 0:
@@ -144,9 +140,13 @@ def stretches(text: str) -> Iterator[tuple[int, int]]:
 
 
 def lattice(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-    """Tokens of text[a:b], and candidate segments (first token, token after the last, kind's number)."""
+    """Tokens of text[a:b], and candidate segments (first token, token after the last, kind's number).
+
+    A secret reaches as far as its shape does; of other kinds each end within MAX_LETTERS is a candidate.
+    """
     tokens = [m.span() for m in TOKEN.finditer(text, a, b)]
-    segments = []
+    after = {end: j + 1 for j, (_, end) in enumerate(tokens)}
+    segments, secret_end = [], a
     for i, (start, _) in enumerate(tokens):
         c = text[start]
         if c.isspace():
@@ -154,9 +154,18 @@ def lattice(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[tupl
         for k, kind in enumerate(KINDS):
             if kind in ("ip", "card", "ssn") and not c.isdigit() or kind == "phone" and not (c.isdigit() or c in "+(") or kind in ("iban", "secret") and not c.isalpha():
                 continue
-            for j in range(i, min(len(tokens), i + MAX_TOKENS)):
+            if kind == "secret":
+                # key names inside a value belong to it
+                if start >= secret_end and (m := SHAPES[kind].match(text, start, b)) and m.end() in after:
+                    segments.append((i, after[m.end()], k))
+                    secret_end = m.end()
+                continue
+            limit = min(b, start + MAX_LETTERS)
+            if not SHAPES[kind].match(text, start, limit):
+                continue
+            for j in range(i, len(tokens)):
                 end = tokens[j][1]
-                if end - start > MAX_LETTERS:
+                if end > limit:
                     break
                 if SHAPES[kind].fullmatch(text, start, end):
                     segments.append((i, j + 1, k))

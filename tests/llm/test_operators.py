@@ -218,6 +218,23 @@ def test_redact(odd):
     assert pii.redact(odd).collect() == odd.collect()
 
 
+def test_secrets_after_a_spaced_sign(spark):
+    parts = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "a1b2" * 60
+    rows = [(0, f'so token = "{parts[0]}" ends'), (1, f"so API_KEY : {parts[1]}, ends"), (2, f"token={parts[0]} ends"), (3, "a token = none, a secret: abcdefgh and 12")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.find_pii(df).collect()}
+    assert found == {0: "secret:3:52", 1: f"secret:3:{13 + len(parts[1])}", 2: "secret:0:46", 3: ""}
+    left = dict(pii.redact(df).collect())
+    assert left == {0: 'so [SECRET]" ends', 1: "so [SECRET], ends", 2: "[SECRET] ends", 3: rows[3][1]}
+
+
+def test_every_secret_of_the_tables(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    wanted = {(r["doc_id"], f"secret:{m.start()}:{m.end()}") for r in rows.collect() for m in pii.SHAPES["secret"].finditer(r["text"] or "")}
+    found = {(r["doc_id"], s) for r in pii.find_pii(rows).collect() for s in r["spans"].split(",") if s.startswith("secret")}
+    assert wanted and wanted <= found
+
+
 # 6
 
 
