@@ -136,17 +136,17 @@ def paths(node, so_far: Rule = ()) -> Iterator[Rule]:
 
 
 def fit_rules(rows: DataFrame, trees: int = 12, depth: int = 3, penalty: float = 0.002, seed: int = 17) -> RuleEnsemble:
-    """Fit on rows (y, statistics). Boosted trees and the lasso both run as Spark jobs; rows is read many times."""
-    data = rows.select("y", array_to_vector(F.array(*STATISTICS)).alias("features")).coalesce(2).cache()
+    """Fit on rows (y, weight, statistics). Boosted trees and the lasso both run as Spark jobs; rows is read many times."""
+    data = rows.select("y", "weight", array_to_vector(F.array(*STATISTICS)).alias("features")).coalesce(2).cache()
     try:
         found = data.groupBy("y").count().collect()
         if len(found) < 2:  # one class, or no labelled row at all
             return RuleEnsemble(0.0 if not found else 4.0 if found[0]["y"] else -4.0, ())
-        forest = GBTClassifier(labelCol="y", maxIter=trees, maxDepth=depth, maxBins=64, seed=seed, cacheNodeIds=False).fit(data)
+        forest = GBTClassifier(labelCol="y", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=64, seed=seed, cacheNodeIds=False).fit(data)
         rules = list(dict.fromkeys(rule for tree in forest.trees for rule in paths(tree._java_obj.rootNode())))
-        marked = rows.select("y", array_to_vector(F.array(*(holds(r).cast("double") for r in rules))).alias("features")).coalesce(2).cache()
+        marked = rows.select("y", "weight", array_to_vector(F.array(*(holds(r).cast("double") for r in rules))).alias("features")).coalesce(2).cache()
         try:
-            lasso = LogisticRegression(labelCol="y", elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False).fit(marked)
+            lasso = LogisticRegression(labelCol="y", weightCol="weight", elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False).fit(marked)
         finally:
             marked.unpersist()
         weights = [(r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray(), strict=True) if w]
@@ -175,7 +175,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     Without labelled rows every score is 0.5. Null and empty texts have zero statistics and so a score.
     """
     known = F.broadcast(training_rows(labels, label, key, rows_per_class).withColumnRenamed(key, "__key"))
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(known, "__key").select("text", "y")
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(known, "__key").select("text", "y", "weight")
     ensemble = fit_rules(stored(with_statistics(rows).drop("text")))
     prefix = "__stat_"
     return with_statistics(docs, text, prefix).filter(ensemble.score(prefix) >= threshold).select(docs.columns)

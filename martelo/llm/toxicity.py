@@ -176,17 +176,19 @@ def features_of(texts: list[str | None], evidence: Evidence) -> np.ndarray:
     return out
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton's method on standardised features: (mean, deviation, weights)."""
+def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic regression on weighted rows by Newton's method on standardised features: (mean, deviation, weights)."""
     if len(set(y.tolist())) < 2:
         return np.zeros(x.shape[1]), np.ones(x.shape[1]), np.append(np.zeros(x.shape[1]), 0.0 if not len(y) else 4.0 if y[0] else -4.0)
-    mean, deviation = x.mean(axis=0), x.std(axis=0) + 1e-9
+    share = weight / weight.sum()
+    mean = share @ x
+    deviation = np.sqrt(share @ (x - mean) ** 2) + 1e-9
     z = np.hstack(((x - mean) / deviation, np.ones((len(x), 1))))
     w = np.zeros(z.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        hessian = (z * (p * (1 - p))[:, None]).T @ z / len(z) + ridge * np.eye(len(w))
-        w = w + np.linalg.solve(hessian, z.T @ (y - p) / len(z) - ridge * w)
+        hessian = (z * (share * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
+        w = w + np.linalg.solve(hessian, z.T @ (share * (y - p)) - ridge * w)
     return mean, deviation, w
 
 
@@ -195,11 +197,11 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     Null and empty texts have no evidence and get the score of none; repeated rows repeat; without labelled rows
     of both classes all scores are alike. Other columns are not carried. The class models are counted on at most
-    rows_per_class labelled rows of each class, the shared backoff on all documents.
+    rows_per_class labelled rows of each class, the shared backoff on all documents; the curve sees the true shares.
     """
     spark = docs.sparkSession
     known = F.broadcast(training_rows(labels, label, key, rows_per_class))
-    rows = stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known.withColumnRenamed(key, "key"), "key").select("text", "y", "part"))
+    rows = stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known.withColumnRenamed(key, "key"), "key").select("text", "y", "part", "weight"))
     counts = stored(_counts(rows.filter("part > 0")), narrow=True)
     wanted = counts.select("short_context").distinct()
     shared = stored(_continuations(docs, text).join(wanted, "short_context", "left_semi"), narrow=True)
@@ -214,8 +216,8 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
         return map_rows(df, columns, schema + ", " + ", ".join(f"{n} double" for n in FEATURES), make)
 
-    aside = measure(rows.filter("part = 0"), ["text", "y"], "y double").toPandas()
-    mean, deviation, weights = fit_curve(aside[list(FEATURES)].to_numpy(), aside["y"].to_numpy())
+    aside = measure(rows.filter("part = 0"), ["text", "y", "weight"], "y double, weight double").toPandas()
+    mean, deviation, weights = fit_curve(aside[list(FEATURES)].to_numpy(), aside["y"].to_numpy(), aside["weight"].to_numpy())
     measured = measure(docs, [text, key], f"`{key}` {dict(docs.dtypes)[key]}")
     terms = [(F.col(n) - float(m)) / float(d) * float(w) for n, m, d, w in zip(FEATURES, mean, deviation, weights[:-1], strict=True)]
     score = 1 / (1 + F.exp(-(sum(terms, F.lit(float(weights[-1]))))))

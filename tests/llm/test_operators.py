@@ -12,6 +12,8 @@ import numpy as np
 import pytest
 
 from martelo.llm import decontamination, licences, minhash, neardup, packing, pii, quality, queries, rollups, sharding, shingles, toxicity
+from martelo.llm.common import held_out
+from martelo.llm.labelled import training_rows
 from martelo.llm.oracles import ORACLES, SHARDS
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -91,6 +93,23 @@ def test_rules_compile_to_what_they_say(spark):
         assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-12
 
 
+def test_sampled_classes_weigh_their_true_counts(spark):
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(4000)], "doc_id long, quality int")
+    known = labels.filter(~held_out("doc_id")).groupBy("quality").count().collect()
+    for most in (100, 8000):
+        got = training_rows(labels, "quality", rows_per_class=most).groupBy("y").agg({"weight": "sum", "doc_id": "count"}).collect()
+        assert {r["y"]: round(r["sum(weight)"], 6) for r in got} == {float(r["quality"]): r["count"] for r in known}
+        assert all(r["count(doc_id)"] <= most for r in got)
+
+
+def test_bounded_samples_keep_the_true_share(spark):
+    docs = spark.createDataFrame([(i, prose(i, 20)) for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 > 0), int(i % 10 == 0)) for i in range(2000)], "doc_id long, quality int, toxic int")
+    good = [r["score"] for r in quality.scores(docs, labels, rows_per_class=100).collect()]
+    toxic = [r["score"] for r in toxicity.scores(docs, labels, rows_per_class=100).collect()]
+    assert 0.8 < np.mean(good) < 1 and 0 < np.mean(toxic) < 0.2
+
+
 # 2
 
 
