@@ -15,8 +15,9 @@ The likeness of two texts is their probability Jaccard over shingle counts: the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -114,15 +115,27 @@ def signatures_of(texts: list[str | None]) -> np.ndarray:
     return np.vstack([signatures(*counted(run), len(run)) for run in by_size(texts)])
 
 
-def digests(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, hash, same, signature, bands): `same` is equal for texts with equal shingle counts."""
+class Method(NamedTuple):
+    """How texts are signed and compared: by shingle counts, or by sets of shingles alone."""
+
+    signatures_of: Callable[[list[str | None]], np.ndarray]
+    likeness: Callable[[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], float]
+    counts: bool
+    least_share: float
+
+
+BY_COUNTS = Method(signatures_of, likeness, True, LEAST_SHARE)
+
+
+def digests(df: DataFrame, key: str, text: str, method: Method = BY_COUNTS) -> DataFrame:
+    """(id, hash, same, bands): `same` is equal for texts with equal shingle counts, or sets."""
 
     def make():
         def f(keys, texts, hashes):
             docs, shingle, weights = counted(texts)
-            signature = signatures(docs, shingle, weights, len(texts))
+            signature = signatures(docs, shingle, weights, len(texts)) if method.counts else method.signatures_of(texts)
             cuts = np.concatenate(([0], np.searchsorted(docs, np.arange(1, len(texts) + 1))))
-            same = [blake2b(shingle[a:b].tobytes() + weights[a:b].tobytes(), digest_size=16).digest() for a, b in zip(cuts, cuts[1:], strict=False)]
+            same = [blake2b(shingle[a:b].tobytes() + (weights[a:b].tobytes() if method.counts else b""), digest_size=16).digest() for a, b in zip(cuts, cuts[1:], strict=False)]
             return [keys, hashes, same, list(bands_of(signature))]
 
         return f
@@ -150,7 +163,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float, method: Method = BY_COUNTS) -> DataFrame:
     """The pairs (a, b) whose texts are alike enough, with their likeness."""
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("x")), texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
 
@@ -163,7 +176,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
                 held.clear()
                 hubs = list({n: i for i, n in enumerate(a)}.values())
                 held.update(zip((a[i] for i in hubs), sets_of([xs[i] for i in hubs]), strict=True))
-            return [a, b, [likeness(held[n], s) for n, s in zip(a, sets_of(ys), strict=True)]]
+            return [a, b, [method.likeness(held[n], s) for n, s in zip(a, sets_of(ys), strict=True)]]
 
         return f
 
@@ -171,7 +184,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return rows.filter(F.col("likeness") >= threshold)
 
 
-def _mixed_links(members: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame | None:
+def _mixed_links(members: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float, method: Method = BY_COUNTS) -> DataFrame | None:
     """Links found by searching buckets whose members have different labels; None if there are no such buckets."""
     held = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     sizes = held.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -192,7 +205,7 @@ def _mixed_links(members: DataFrame, labels: DataFrame, texts: DataFrame, thresh
         nodes = block.drop_duplicates("node")
         index = {n: i for i, n in enumerate(nodes["node"])}
         sets = sets_of(nodes["text"].tolist())
-        sig = signatures_of(nodes["text"].tolist())
+        sig = method.signatures_of(nodes["text"].tolist())
         root = dict(zip(nodes["label"], nodes["label"], strict=True))
 
         def find(x):
@@ -208,12 +221,12 @@ def _mixed_links(members: DataFrame, labels: DataFrame, texts: DataFrame, thresh
             i = index[n]
             share = (sig[others] == sig[i]).mean(axis=1)
             for at in np.argsort(-share, kind="stable"):
-                if share[at] < LEAST_SHARE:
+                if share[at] < method.least_share:
                     break
                 j = others[at]
                 m = names[j]
                 p, q = find(label[n]), find(label[m])
-                if p != q and (x := likeness(sets[i], sets[j])) >= threshold:
+                if p != q and (x := method.likeness(sets[i], sets[j])) >= threshold:
                     root[max(p, q)] = min(p, q)
                     found.append((min(n, m), max(n, m), x))
         return pd.DataFrame(found, columns=["a", "b", "likeness"])
@@ -221,7 +234,7 @@ def _mixed_links(members: DataFrame, labels: DataFrame, texts: DataFrame, thresh
     return filled.groupBy("main", "i", "j").applyInPandas(search, "a long, b long, likeness double")
 
 
-def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, method: Method = BY_COUNTS) -> DataFrame:
     """One row for each row of df: key, class_id (the least key of its class), and hash and class_hash (XXH64 of
     the row's text and of the text that stands for the class).
 
@@ -229,7 +242,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     the same key but other texts are told apart. class_id is null only where no row of the class has a key.
     Repeated rows stay. Other columns are not carried.
     """
-    rows = stored(digests(df, key, text))
+    rows = stored(digests(df, key, text, method))
     # a node is a distinct text; nodes are numbered by key, once, as they are stored
     firsts = rows.groupBy("same").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("row"), F.first("bands").alias("bands"))
     ordered = firsts.select("same", "row.none", "row.id", "row.hash", "bands").repartitionByRange("none", "id", "hash").sortWithinPartitions("none", "id", "hash")
@@ -246,16 +259,16 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
     spokes = members.filter("node != hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
     best = spokes.groupBy("node").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
     tried = best.select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links = stored(verified(tried, texts, threshold), narrow=True)
+    links = stored(verified(tried, texts, threshold, method), narrow=True)
     labels = components(links)
     own = labels.select(F.col("node").alias("a"), F.col("label").alias("p"))
     other = labels.select(F.col("node").alias("b"), F.col("label").alias("q"))
     rest = spokes.select(F.col("hub").alias("a"), F.col("node").alias("b")).join(tried, ["a", "b"], "left_anti").join(own, "a", "left").join(other, "b", "left")
-    more = stored(verified(rest.filter(F.coalesce("p", "a") != F.coalesce("q", "b")), texts, threshold), narrow=True)
+    more = stored(verified(rest.filter(F.coalesce("p", "a") != F.coalesce("q", "b")), texts, threshold, method), narrow=True)
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
-    mixed = _mixed_links(members, labels, texts, threshold)
+    mixed = _mixed_links(members, labels, texts, threshold, method)
     if mixed is not None and not (mixed := stored(mixed, narrow=True)).isEmpty():
         labels = components(links.unionByName(mixed))
     heads = nodes.select(F.col("node").alias("label"), F.col("id").alias("class_id"), F.col("hash").alias("class_hash"))

@@ -378,6 +378,27 @@ def test_fingerprints_odd(odd, none):
     assert minhash.fingerprints(none).count() == 0
 
 
+def test_minhash_classes_by_brute_force(spark):
+    r, rows = random.Random(12), []
+    for family in range(10):
+        words = prose(200 + family, 120).split()
+        for _ in range(8):
+            words = list(words)
+            for _ in range(r.randint(0, 2)):
+                words[r.randrange(len(words))] = r.choice(WORDS)
+            rows.append(" ".join(words))
+    r.shuffle(rows)  # near copies are not neighbours
+    rows = list(enumerate([*rows, None, "", "!!!", "!!!", "???", "one two", "ONE two!"]))
+    found = {x["doc_id"]: x["class_id"] for x in minhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets, least = [set(shingle_counts(t or "")) for _, t in rows], list(range(len(rows)))
+    alike = lambda a, b: not a | b or len(a & b) >= 0.8 * len(a | b) and bool(a & b)
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if alike(sets[i], sets[j]) and least[i] != least[j]:
+            one, other = sorted((least[i], least[j]))
+            least = [one if x == other else x for x in least]
+    assert 10 < len(set(least)) < len(rows) and found == dict(enumerate(least))
+
+
 # 10
 
 
