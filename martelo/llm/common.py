@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -19,27 +21,87 @@ SLICE_ROWS, SLICE_BYTES = 256, 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of this session's own."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where the setting is missing, a local session gets a folder of its own; a cluster has no folder that could be
+    guessed, so that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.gettempdir()}/checkpoints/martelo-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def stored(df: DataFrame, narrow: bool = False) -> DataFrame:
+#: Tables that this session has stored and not dropped yet, and the open scope's: those to delete, those to keep.
+_kept: set[str] = set()
+_scope: ContextVar[tuple[list[str], list[str]] | None] = ContextVar("scope", default=None)
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _kept.discard(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored within are deleted at the end; those that are kept pass to the scope around it.
+
+    What leaves the scope must read kept tables only.
+    """
+    mine: tuple[list[str], list[str]] = [], []
+    token = _scope.set(mine)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in mine[0]:
+            _delete(spark, path)
+        if outer := _scope.get():
+            outer[0].extend(mine[1])
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that this session has stored: for when the results that read them are written."""
+    for path in list(_kept):
+        _delete(spark, path)
+
+
+def stored(df: DataFrame, narrow: bool = False, keep: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
 
-    narrow: a table of ids and numbers, so that an eighth of the shuffle's partitions make files enough.
+    narrow: a table of ids and numbers that costs little to make, so that an eighth of the shuffle's partitions make
+    files enough. keep: outlives the scratch scope that it is stored in.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{uuid.uuid4().hex}"
     if narrow:
         df = df.coalesce(max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    _kept.add(path)
+    if scope := _scope.get():
+        scope[keep].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many more underscores as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import neardup
-from .common import slices, stored
+from .common import scratch, slices, stored
 from .shingles import U, counted, mix
 
 PERMUTATIONS = 128
@@ -82,7 +82,7 @@ def banded(texts: list[str | None]) -> np.ndarray:
     return short(signatures(texts))[:, : neardup.REGISTERS]
 
 
-BY_SETS = neardup.Method(banded, jaccard, False, 0.0)
+BY_SETS = neardup.Method(banded, jaccard, False)
 
 
 def edited(text: str, following: str) -> str:
@@ -98,36 +98,48 @@ def _neighbourhoods(df: DataFrame, key: str, text: str, n_blocks: int) -> DataFr
     """Rows dealt to blocks of neighbouring keys, each followed by a guest: the first row of the next block.
 
     Block borders are approximate quantiles, so there are n_blocks of them whatever the size of the table; only
-    those borders and the first key of each block reach the driver. Every text is shuffled once.
+    those borders and the first row's place of each block reach the driver. A key that several borders fall on has
+    that many blocks more, by its texts' hashes. Every text is shuffled once.
     """
-    order = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))  # nulls first
+    order, spread = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))), F.xxhash64(text)  # nulls first
     share = [i / n_blocks for i in range(1, n_blocks)]
-    borders = np.unique(np.array(df.select(F.percentile_approx(order, share, 20 * n_blocks)).first()[0] or [], np.int64))
+    borders = np.array(df.select(F.percentile_approx(order, share, 20 * n_blocks)).first()[0] or [], np.int64)
+
+    def block_of(keys: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The block of each row: after all lesser borders, and among those equal to its key by the hash."""
+        low, high = np.searchsorted(borders, keys, "left"), np.searchsorted(borders, keys, "right")
+        inside = ((hashes.astype(np.float64) * 2.0**-64 + 0.5) * (high - low + 1)).astype(np.int64)
+        return low + np.minimum(inside, high - low)
 
     @F.pandas_udf("int")
-    def block(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(borders, keys, "right").astype("int32"))
+    def block(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(block_of(keys.to_numpy(), hashes.to_numpy()).astype("int32"))
 
-    firsts = sorted(df.select(order.alias("k")).groupBy(block("k").alias("b")).agg(F.min("k").alias("k")).select("b", "k").collect())
-    guests = {k: b for (b, _), (_, k) in zip(firsts, firsts[1:] + firsts[:1], strict=True)}
+    least = F.min(F.struct("k", "h"))
+    firsts = sorted((r["b"], (r["k"], r["h"])) for r in df.select(order.alias("k"), spread.alias("h")).groupBy(block("k", "h").alias("b")).agg(least.alias("at")).select("b", "at.k", "at.h").collect())
+    guests = {at: b for (b, _), (_, at) in zip(firsts, firsts[1:] + firsts[:1], strict=True)}
 
     @F.pandas_udf("array<int>")
-    def blocks(keys: pd.Series) -> pd.Series:
-        own = np.searchsorted(borders, keys, "right")
-        return pd.Series([[2 * int(b)] if (g := guests.get(k)) is None else [2 * int(b), 2 * g + 1] for b, k in zip(own, keys.tolist(), strict=True)])
+    def blocks(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        own = block_of(keys.to_numpy(), hashes.to_numpy())
+        return pd.Series([[2 * int(b)] if (g := guests.get(at)) is None else [2 * int(b), 2 * g + 1] for b, at in zip(own, zip(keys.tolist(), hashes.tolist(), strict=True), strict=True)])
 
-    dealt = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.explode(blocks(order)).alias("at"), F.xxhash64(text).alias("hash"))
+    dealt = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.explode(blocks(order, spread)).alias("at"), spread.alias("hash"))
     parted = dealt.withColumn("block", F.floor(F.col("at") / 2).cast("int"))
-    return parted.repartition(max(1, n_blocks // 8), "block").sortWithinPartitions("block", "at", F.col("key").asc_nulls_first(), "text").select("key", "text", "at", "hash")
+    return parted.repartition(max(1, n_blocks // 8), "block").sortWithinPartitions("block", "at", F.col("key").asc_nulls_first(), "hash").select("key", "text", "at", "hash")
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", blocks: int | None = None) -> DataFrame:
     """One row for each row of df: its fingerprint, that of its edited text, likenesses, and class_id.
 
-    class_id is the least key among the texts that links of Jaccard likeness 0.8 or more join to the row's. Rows follow one another by key (nulls first, then by text); after the last comes the first. Null texts count
-    as empty; two empty texts are wholly alike; repeated rows each have their row; other columns are not carried.
+    class_id is the least key among the texts that links of Jaccard likeness 0.8 or more join to the row's. Rows
+    follow one another by key (nulls first), equal keys by the XXH64 of their texts; after the last comes the first.
+    Null texts count as empty; two empty texts are wholly alike; repeated rows each have their row; other columns
+    are not carried. Keys must be whole numbers: another type is a TypeError.
     """
     spark = df.sparkSession
+    if not isinstance(df.schema[key].dataType, T.IntegralType):
+        raise TypeError(f"{key} must be a whole number, not {df.schema[key].dataType.simpleString()}")
     if blocks is None:
         blocks = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = df.schema[key].dataType
@@ -154,10 +166,11 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", blocks:
                 made = list(zip(*told(keys, texts, ats, hashes, sigs), strict=True)) or [[]] * len(arrow)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, arrow, strict=True)], schema=arrow)
 
-    prints = _neighbourhoods(df, key, text, blocks).mapInArrow(run, out)
     # only rows that another row's key stands for need a join; all others are their own class
-    found = neardup.classes(df, key, text, method=BY_SETS).filter(~F.col("class_id").eqNullSafe(F.col(key)))
-    moved = stored(found.select(F.col(key).alias("__key"), F.col("hash").alias("__hash"), "class_id").distinct(), narrow=True)
+    with scratch(spark):
+        found = neardup.classes(df, key, text, method=BY_SETS).filter(~F.col("class_id").eqNullSafe(F.col(key)))
+        moved = stored(found.select(F.col(key).alias("__key"), F.col("hash").alias("__hash"), "class_id").distinct(), narrow=True, keep=True)
     few = F.broadcast(moved) if moved.count() <= neardup.BROADCAST_NODES else moved
+    prints = _neighbourhoods(df, key, text, blocks).mapInArrow(run, out)
     joined = prints.join(few, prints[key].eqNullSafe(F.col("__key")) & (prints["hash"] == F.col("__hash")), "left")
     return joined.withColumn("class_id", F.coalesce("class_id", key)).drop("hash", "__key", "__hash")

@@ -71,7 +71,7 @@ def op9_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_probminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+    return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "links", "likeness")
 
 
 QUERIES = {
