@@ -1,126 +1,166 @@
-"""Toxicity by class-conditional Kneser-Ney models of words' letters.
-
-A word is spelled letter by letter (UTF-8 bytes), each letter predicted from up to CONTEXT before it, the border of
-the word included. Each class has its own counts of whole n-grams; both back off to the same distribution over
-shorter contexts, whose continuation counts (how many different letters precede an n-gram) come from all documents.
-So a rare spelling that neither class has counted weighs nothing, and variants of an expression share its weight.
-A text's evidence is the difference of log-likelihoods per letter, over the whole text and over its strongest
-expressions; a logistic curve, fitted on labelled rows that the counts have not seen, turns it into a score.
+"""Toxicity by class-conditional Kneser-Ney models of letters.
+
+A text is its lower-case words with single blanks, five blanks before it and one after, letter by letter (UTF-8
+bytes). Each letter is predicted from the ORDER - 1 before it, whatever words they belong to, so an expression of
+several words counts as one of several letters does. Each class has its own counts of whole n-grams; both back off
+to one shared model of shorter n-grams, recursively down to single letters and then to all bytes alike. The shared
+counts are continuation counts (how many different letters precede an n-gram) over all documents. So a rare
+spelling that neither class has counted weighs nothing, and variants of an expression share its weight.
+
+A text's evidence is the difference of the classes' log-likelihoods per letter: over the whole text, over the most
+toxic window of WINDOW letters, and by how much windows pass EXPRESSIVE, on the mean of all windows. A logistic
+curve, fitted on labelled rows that the counts have not seen, turns these rates into a score.
+
+An n-gram of up to seven bytes is the whole number that its bytes spell, so its context and its shorter n-grams are
+shifts and masks of it, in numpy and in column expressions alike, and no hash can collide.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows, stored
+from .common import held_out, map_rows, scratch, stored
 from .labelled import ROWS_PER_CLASS, training_rows
-from .shingles import INVERSE, IS_WORD, RADIX, U, mix, powers, word_hashes
 
-CONTEXT = 5
-DISCOUNT = 0.75
-FEATURES = ("whole", "strongest", "strong", "strong_share")
-#: From this log-likelihood difference on, a word counts as strong evidence.
-STRONG = 3.0
+ORDER = 5
+#: Taken off each count: off the shared model's, and, as one occurrence in a labelled text says little, off a class's.
+DISCOUNT, CLASS_DISCOUNT = 0.75, 1.5
+#: Letters of the windows whose mean evidence is compared; letters before the text count nothing.
+WINDOW = 8
+#: From this mean difference a letter on, a window counts as an expression.
+EXPRESSIVE = 0.3
+FEATURES = ("whole", "strongest", "excess")
+#: Bytes of text that each class's counts are taken from at most, in whole rows (a documented bound of the fit).
+BYTES_PER_CLASS = 12_000_000
 #: n-grams that a task remembers having sent already.
 REMEMBERED = 1_000_000
+#: Letters whose n-grams are looked up at once.
+SEGMENT = 1 << 20
+#: Every byte that is no word's to a blank, after A-Z are lower-cased; bytes from 0x80 belong to words.
+WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+BEFORE = b" " * (ORDER - 1)
+
+
+def spelled(text: str | None) -> bytes:
+    """The text as it is modelled, with the blanks around it; nothing for a text without words."""
+    words = b" ".join((text or "").lower().encode("utf-8", "surrogatepass").translate(WORD_BYTES).split())
+    return BEFORE + words + b" " if words else b""
+
+
+def grams_of(letters: bytes) -> np.ndarray:
+    """int64: the n-gram of ORDER bytes that ends at each letter but the first ORDER - 1."""
+    raw = np.frombuffer(letters, np.uint8).astype(np.int64)
+    n = len(raw) - ORDER + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    out = raw[:n].copy()
+    for i in range(1, ORDER):
+        out <<= 8
+        out |= raw[i : i + n]
+    return out
 
 
-class Spelled(NamedTuple):
-    """Every predicted letter of some words: whose it is, and hashes of its n-gram, context, and shorter ones."""
-
-    word: np.ndarray
-    gram: np.ndarray
-    context: np.ndarray
-    short_gram: np.ndarray
-    short_context: np.ndarray
-
-
-def words_in(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """(text's number, number of the distinct word) of every word in order, and the distinct words."""
-    raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
-    buffer = b" ".join(raw)
-    starts, hashes = word_hashes(buffer)
-    offsets = np.cumsum([0, *(len(r) + 1 for r in raw)])
-    docs = np.searchsorted(offsets, starts, "right") - 1
-    codes, distinct = pd.factorize(hashes)
-    first = np.empty(len(distinct), np.int64)
-    first[codes[::-1]] = starts[::-1]
-    letters = np.frombuffer(buffer, np.uint8)
-    breaks = np.append(np.flatnonzero(~IS_WORD[letters]), len(letters))
-    ends = breaks[np.searchsorted(breaks, first)]
-    return docs, codes, [buffer[a:b] for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
-
-
-def spelled(words: list[bytes]) -> Spelled:
-    buffer = b" " + b" ".join(words) + b" "
-    letters = np.frombuffer(buffer, np.uint8)
-    sizes = np.array([len(w) + 1 for w in words])
-    ends = np.cumsum(sizes) + 1
-    begins = ends - sizes - 1  # the blank before each word stands for its border
-    word = np.repeat(np.arange(len(words)), sizes)
-    at = np.arange(1, len(letters))
-    border = np.repeat(begins, sizes)
-    sums = np.concatenate((np.zeros(1, U), np.cumsum((letters.astype(U) + U(1)) * powers(RADIX, len(letters)), dtype=U)))
-    back = powers(INVERSE, len(letters) + 1)
+def streams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text's number, n-gram) of every letter, in segments of bounded length."""
+    parts: list[bytes] = []
+    numbers: list[int] = []
+    size = 0
 
-    def hashed(since: np.ndarray, until: np.ndarray, order: int) -> np.ndarray:
-        return mix((sums[until] - sums[since]) * back[since] + U(order * RADIX & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+    def flush():
+        # n-grams across two texts are cut out: each text's own end ORDER - 1 before the next one's first letter
+        docs = np.repeat(numbers, [len(p) - ORDER + 1 for p in parts])
+        yield docs, np.concatenate([grams_of(p) for p in parts]) if parts else np.zeros(0, np.int64)
 
-    long, short = np.maximum(at - CONTEXT, border), np.maximum(at - CONTEXT + 1, border)
-    return Spelled(word, hashed(long, at + 1, 1), hashed(long, at, 2), hashed(short, at + 1, 3), hashed(short, at, 4))
+    for i, text in enumerate(texts):
+        letters = spelled(text)
+        for at in range(0, len(letters) - ORDER + 1, SEGMENT):
+            part = letters[at : at + SEGMENT + ORDER - 1]
+            parts.append(part)
+            numbers.append(i)
+            size += len(part)
+            if size >= SEGMENT:
+                yield from flush()
+                parts, numbers, size = [], [], 0
+    if parts:
+        yield from flush()
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """(gram, context, short_gram, short_context, one, zero): n-gram counts of the classes over rows (text, y)."""
+    """(gram, one, zero): how often each class has each whole n-gram, over rows (text, y)."""
 
     def make():
         def f(texts, ys):
             out = []
             for y in (1.0, 0.0):
-                docs, codes, words = words_in([t for t, own in zip(texts, ys, strict=True) if own == y])
-                if len(words):
-                    s = spelled(words)
-                    weight = np.bincount(codes, minlength=len(words))[s.word]
-                    grams, first, inverse = np.unique(s.gram, return_index=True, return_inverse=True)
-                    n = np.bincount(inverse, weight).astype(np.int64)
-                    out.append((grams, s.context[first], s.short_gram[first], s.short_context[first], n * (y == 1), n * (y == 0)))
-            return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [[]] * 6
+                seen = [g for _, g in streams([t for t, own in zip(texts, ys, strict=True) if own == y])]
+                if seen:
+                    grams, n = np.unique(np.concatenate(seen), return_counts=True)
+                    out.append((grams, n * (y == 1), n * (y == 0)))
+            return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [[]] * 3
 
         return f
 
-    raw = map_rows(rows, ["text", "y"], "gram long, context long, short_gram long, short_context long, one long, zero long", make)
-    return raw.groupBy("gram").agg(*(F.first(c).alias(c) for c in ("context", "short_gram", "short_context")), F.sum("one").alias("one"), F.sum("zero").alias("zero"))
+    return map_rows(rows, ["text", "y"], "gram long, one long, zero long", make).groupBy("gram").agg(F.sum("one").alias("one"), F.sum("zero").alias("zero"))
 
 
-def _continuations(docs: DataFrame, text: str) -> DataFrame:
-    """(short_gram, short_context, before): how many different n-grams of all documents end in each shorter one."""
+def _seen(docs: DataFrame, text: str) -> DataFrame:
+    """(gram): the different whole n-grams of all documents. Tasks send one again at most once they have forgotten it."""
 
     def make():
         sent: set[int] = set()
 
         def f(texts):
-            _, _, words = words_in(texts)
-            if not words:
-                return [[]] * 3
-            s = spelled(words)
-            grams, first = np.unique(s.gram, return_index=True)
-            new = np.array([g not in sent for g in grams.tolist()], bool)
-            if len(sent) > REMEMBERED:
-                sent.clear()
-            sent.update(grams[new].tolist())
-            at = first[new]
-            return [s.gram[at], s.short_gram[at], s.short_context[at]]
+            new: list[np.ndarray] = []
+            for _, grams in streams(texts):
+                own = [g for g in pd.unique(grams).tolist() if g not in sent]
+                if len(sent) > REMEMBERED:
+                    sent.clear()
+                sent.update(own)
+                new.append(np.array(own, np.int64))
+            return [np.concatenate(new)] if new else [[]]
 
         return f
 
-    seen = map_rows(docs, [text], "gram long, short_gram long, short_context long", make)
-    distinct = seen.groupBy("gram").agg(F.first("short_gram").alias("short_gram"), F.first("short_context").alias("short_context"))
-    return distinct.groupBy("short_gram").agg(F.first("short_context").alias("short_context"), F.count(F.lit(1)).alias("before"))
+    return map_rows(docs, [text], "gram long", make).distinct()
+
+
+def _end(gram: str, letters: int) -> Column:
+    """The n-gram's last letters."""
+    return F.col(gram).bitwiseAND(F.lit((1 << 8 * letters) - 1))
+
+
+def _context(gram: str) -> Column:
+    return F.shiftright(F.col(gram), 8)
+
+
+def shared_model(seen: DataFrame) -> DataFrame:
+    """(gram, p): the shared probability of the last letter of each n-gram of ORDER - 1 letters after the others.
+
+    Interpolated Kneser-Ney over continuation counts. A level's counts follow from the level above: how many of its
+    n-grams end in each shorter one.
+    """
+    levels, above = [], seen
+    for k in range(ORDER - 1, 0, -1):
+        above = stored(above.groupBy(_end("gram", k).alias("gram")).agg(F.count(F.lit(1)).alias("before")), narrow=True)
+        levels.append((k, above))
+    lower = None
+    for k, level in reversed(levels):
+        sums = level.groupBy(_context("gram").alias("context")).agg(F.sum("before").alias("total"), F.count(F.lit(1)).alias("kinds"))
+        rows = level.withColumn("context", _context("gram")).join(sums, "context")
+        rest = F.lit(1 / 256)
+        if lower is not None:
+            rows = rows.withColumn("end", _end("gram", k - 1)).join(lower.select(F.col("gram").alias("end"), F.col("p").alias("rest")), "end")
+            rest = F.col("rest")
+        p = (F.greatest(F.col("before") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * rest) / F.col("total")
+        lower = stored(rows.select("gram", p.alias("p")), narrow=True)
+    return lower
 
 
 class Evidence(NamedTuple):
@@ -131,48 +171,59 @@ class Evidence(NamedTuple):
     contexts: np.ndarray
     context_worth: np.ndarray
 
-    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(difference, letters) of each word."""
-        s = spelled(words)
-        worth = np.zeros(len(s.gram))
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """The difference at each letter; each different n-gram is looked up once."""
+        codes, distinct = pd.factorize(grams)
+        worth = np.zeros(len(distinct))
         if len(self.grams):
-            at = np.minimum(np.searchsorted(self.grams, s.gram), len(self.grams) - 1)
-            known = self.grams[at] == s.gram
+            at = np.minimum(np.searchsorted(self.grams, distinct), len(self.grams) - 1)
+            known = self.grams[at] == distinct
             worth[known] = self.gram_worth[at[known]]
             rest = np.flatnonzero(~known)
-            at = np.minimum(np.searchsorted(self.contexts, s.context[rest]), len(self.contexts) - 1)
-            hit = self.contexts[at] == s.context[rest]
+            context = distinct[rest] >> 8
+            at = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
+            hit = self.contexts[at] == context
             worth[rest[hit]] = self.context_worth[at[hit]]
-        return np.bincount(s.word, worth, len(words)), np.bincount(s.word, minlength=len(words))
+        return worth[codes]
+
+
+def class_probabilities(counts: pd.DataFrame) -> tuple[dict[str, np.ndarray], pd.DataFrame]:
+    """Each class's probability of the last letter of each counted n-gram, and by context the share that it leaves
+    to the shared model, from counts (gram, one, zero, p)."""
+    context = counts["gram"].to_numpy() >> 8
+    seen = pd.DataFrame({"context": context} | {c: counts[c].to_numpy() for c in ("one", "zero")} | {f"left_{c}": np.minimum(counts[c].to_numpy(), CLASS_DISCOUNT) for c in ("one", "zero")})
+    by = seen.groupby("context").sum()
+    place = by.index.get_indexer(context)
+    made, rest = {}, pd.DataFrame(index=by.index)
+    for c in ("one", "zero"):
+        total = by[c].to_numpy()
+        rest[c] = np.where(total > 0, by[f"left_{c}"].to_numpy() / np.maximum(total, 1), 1.0)
+        made[c] = np.maximum(counts[c].to_numpy() - CLASS_DISCOUNT, 0) / np.maximum(total[place], 1) + rest[c].to_numpy()[place] * counts["p"].to_numpy()
+    return made, rest
 
 
 def fit_evidence(counts: pd.DataFrame) -> Evidence:
-    """Kneser-Ney differences from counts (gram, context, one, zero, backoff), one row for each counted n-gram."""
-    seen = counts.assign(kinds_one=counts["one"] > 0, kinds_zero=counts["zero"] > 0)
-    by = seen.groupby("context")[["one", "zero", "kinds_one", "kinds_zero"]].sum()
-    rest = {c: np.where(by[c] > 0, DISCOUNT * by[f"kinds_{c}"] / by[c].clip(lower=1), 1.0) for c in ("one", "zero")}
-    place = by.index.get_indexer(counts["context"])
-    p = {c: np.maximum(counts[c] - DISCOUNT, 0) / np.maximum(by[c].to_numpy()[place], 1) + rest[c][place] * counts["backoff"] for c in ("one", "zero")}
-    worth = pd.Series(np.log(p["one"].to_numpy()) - np.log(p["zero"].to_numpy()), counts["gram"].to_numpy()).sort_index()
-    spare = pd.Series(np.log(rest["one"]) - np.log(rest["zero"]), by.index.to_numpy()).sort_index()
-    return Evidence(worth.index.to_numpy(), worth.to_numpy(), spare.index.to_numpy(), spare.to_numpy())
+    """Differences from counts (gram, one, zero, p), one row for each counted n-gram."""
+    counts = counts.sort_values("gram", ignore_index=True)
+    p, rest = class_probabilities(counts)
+    return Evidence(counts["gram"].to_numpy(), np.log(p["one"]) - np.log(p["zero"]), rest.index.to_numpy(), np.log(rest["one"].to_numpy()) - np.log(rest["zero"].to_numpy()))
 
 
 def features_of(texts: list[str | None], evidence: Evidence) -> np.ndarray:
-    """One row of FEATURES for each text; an empty text's are 0."""
-    docs, codes, words = words_in(texts)
+    """One row of FEATURES for each text: rates a letter; a text without words has zeros."""
     out = np.zeros((len(texts), len(FEATURES)))
-    if not len(words):
+    parts = [(docs, evidence.of(grams)) for docs, grams in streams(texts)]
+    if not parts:
         return out
-    worth, letters = evidence.of(words)
-    own, size = worth[codes], letters[codes]
-    total = np.maximum(np.bincount(docs, size, len(texts)), 1)
-    strong = own >= STRONG
-    out[:, 0] = 10 * np.bincount(docs, own, len(texts)) / total
-    np.maximum.at(out[:, 1], docs, own)
-    strength = np.bincount(docs[strong], own[strong], len(texts))
-    out[:, 2] = np.log1p(strength)
-    out[:, 3] = 10 * strength / total
+    docs, worth = (np.concatenate(x) for x in zip(*parts, strict=True))
+    begins = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1])))
+    whose, sizes = docs[begins], np.diff(np.concatenate((begins, [len(docs)])))
+    sums = np.concatenate(([0.0], np.cumsum(worth)))
+    out[whose, 0] = (sums[begins + sizes] - sums[begins]) / sizes
+    ends, since = np.arange(1, len(docs) + 1), np.repeat(begins, sizes)
+    rate = (sums[ends] - sums[np.maximum(since, ends - WINDOW)]) / WINDOW
+    out[whose, 1] = np.maximum.reduceat(rate, begins)
+    out[whose, 2] = np.log1p(100 * np.add.reduceat(np.maximum(rate - EXPRESSIVE, 0), begins) / sizes)
     return out
 
 
@@ -192,31 +243,35 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50
     return mean, deviation, w
 
 
-def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.5, rows_per_class: int = ROWS_PER_CLASS) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.5, rows_per_class: int = ROWS_PER_CLASS, bytes_per_class: int = BYTES_PER_CLASS) -> DataFrame:
     """One row for each row of docs: key, held_out, score (likelihood of label 1), predicted and the features.
 
     Null and empty texts have no evidence and get the score of none; repeated rows repeat; without labelled rows
-    of both classes all scores are alike. Other columns are not carried. The class models are counted on at most
-    rows_per_class labelled rows of each class, the shared backoff on all documents; the curve sees the true shares.
+    of both classes all scores are alike. Other columns are not carried. Each class is counted on at most
+    rows_per_class labelled rows, of at most bytes_per_class bytes together, so that the model that driver and tasks
+    hold is bounded (16 bytes for each n-gram and context); the shared counts are taken from all documents; the
+    curve sees the true shares.
     """
     spark = docs.sparkSession
     known = F.broadcast(training_rows(labels, label, key, rows_per_class))
-    rows = stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known.withColumnRenamed(key, "key"), "key").select("text", "y", "part", "weight"))
-    counts = stored(_counts(rows.filter("part > 0")), narrow=True)
-    wanted = counts.select("short_context").distinct()
-    shared = stored(_continuations(docs, text).join(wanted, "short_context", "left_semi"), narrow=True)
-    kinds = shared.groupBy("short_context").agg(F.sum("before").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    backoff = (F.greatest(F.coalesce("before", F.lit(0)) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.coalesce("kinds", F.lit(1)) / 256) / F.coalesce("total", F.lit(1))
-    model = counts.join(shared.select("short_gram", "before"), "short_gram", "left").join(kinds, "short_context", "left").select("gram", "context", "one", "zero", backoff.alias("backoff"))
-    evidence = spark.sparkContext.broadcast(fit_evidence(model.toPandas()))  # bounded with the labelled rows
-
-    def measure(df: DataFrame, columns: list[str], schema: str) -> DataFrame:
-        def make():
-            return lambda texts, *others: [*others, *features_of(texts, evidence.value).T]
-
-        return map_rows(df, columns, schema + ", " + ", ".join(f"{n} double" for n in FEATURES), make)
-
-    aside = measure(rows.filter("part = 0"), ["text", "y", "weight"], "y double, weight double").toPandas()
+    with scratch(spark):
+        rows = stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known.withColumnRenamed(key, "key"), "key").select("key", "text", "y", "part", "weight"))
+        # at most 2 * rows_per_class rows, unless a key repeats
+        so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.partitionBy("y").orderBy(F.xxhash64("key"), "key").rowsBetween(W.unboundedPreceding, 0))
+        learned = rows.filter("part > 0").withColumn("so_far", so_far).filter(F.col("so_far") <= bytes_per_class)
+        counts = stored(_counts(learned), narrow=True)
+        shared = shared_model(stored(_seen(docs, text)))
+        model = counts.withColumn("end", _end("gram", ORDER - 1)).join(shared.select(F.col("gram").alias("end"), "p"), "end").select("gram", "one", "zero", "p").toPandas()
+        evidence = spark.sparkContext.broadcast(fit_evidence(model))
+        del model
+
+        def measure(df: DataFrame, columns: list[str], schema: str) -> DataFrame:
+            def make():
+                return lambda texts, *others: [*others, *features_of(texts, evidence.value).T]
+
+            return map_rows(df, columns, schema + ", " + ", ".join(f"{n} double" for n in FEATURES), make)
+
+        aside = measure(rows.filter("part = 0"), ["text", "y", "weight"], "y double, weight double").toPandas()
     mean, deviation, weights = fit_curve(aside[list(FEATURES)].to_numpy(), aside["y"].to_numpy(), aside["weight"].to_numpy())
     measured = measure(docs, [text, key], f"`{key}` {dict(docs.dtypes)[key]}")
     terms = [(F.col(n) - float(m)) / float(d) * float(w) for n, m, d, w in zip(FEATURES, mean, deviation, weights[:-1], strict=True)]
