@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import slices, stored
+from .common import slices, stored, unused
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -120,37 +120,58 @@ def cut(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str |
     return df.select(key, text).mapInArrow(run, schema)
 
 
+#: Rows of the table of offsets (16 bytes each) up to which it may be broadcast; beyond, the join shuffles.
+BROADCAST_OFFSETS = 1_000_000
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces plus sequence_id and offset. Needs a `length` of 1 to capacity; other columns pass.
+    """Pieces plus sequence_id and offset. Needs a `length` of 1 to capacity; other columns pass, and columns named
+    sequence_id or offset are replaced. An empty table stays empty; equal pieces each get a place.
 
-    The pieces are stored once with their split's number; a piece's rank among those of its length is the split's
-    offset plus the rank within split and length, so the most common length never meets in one task.
+    The pieces are stored once with the number of their split and their rank among its pieces of equal length, which
+    the task counts as it goes. A piece's rank among all of its length is the split's offset plus that rank, so the
+    most common length never meets in one task and no piece is shuffled, unless the offsets outgrow a broadcast.
     """
-    spark = pieces.sparkSession
-    rows = stored(pieces.withColumn("_split", F.spark_partition_id()))
-    counts = rows.groupBy("length", "_split").agg(F.count(F.lit(1)).alias("_n"))
-    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}  # at most `capacity` rows
+    pieces = pieces.drop("sequence_id", "offset")
+    spark, names = pieces.sparkSession, pieces.columns
+    split, rank, count, before = unused(pieces, "_split", "_rank", "_n", "_offset")
+    at = names.index("length")
+    ranked_schema = T.StructType([*pieces.schema, T.StructField(rank, T.LongType())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(capacity + 1, np.int64)
+        for batch in batches:
+            lengths = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(lengths, kind="stable")
+            _, first, n = np.unique(lengths[order], return_index=True, return_counts=True)
+            ranks = np.empty(len(lengths), np.int64)
+            ranks[order] = np.arange(len(lengths)) - np.repeat(first, n) + seen[lengths[order]]
+            np.add.at(seen, lengths, 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranks)], names=ranked_schema.names)
+
+    rows = stored(pieces.mapInArrow(number, ranked_schema).withColumn(split, F.spark_partition_id()), keep=True)
+    counts = stored(rows.groupBy("length", split).agg(F.count(F.lit(1)).alias(count)), narrow=True, keep=True)
+    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum(count)).collect()}  # at most `capacity` rows
     plan = spark.sparkContext.broadcast(best_fit_decreasing(histogram, capacity))
     longer = np.zeros(capacity + 2, np.int64)
     for n, c in histogram.items():
         longer[n] = c
     longer = np.concatenate((np.cumsum(longer[::-1])[::-1][1:], [0]))  # pieces longer than each length
-    before = W.partitionBy("length").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("length", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    order = [c for c in rows.columns if c not in ("length", "_split") and dict(rows.dtypes)[c] != "binary"]
-    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_split").orderBy(*order)))
-    placed = ranked.join(offsets, ["length", "_split"]).withColumn("_rank", F.col("_offset") + F.col("_rank") - 1).select(*pieces.columns, "_rank")
+    earlier = W.partitionBy("length").orderBy(split).rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("length", split, F.coalesce(F.sum(count).over(earlier), F.lit(0)).alias(before))
+    if counts.count() <= BROADCAST_OFFSETS:
+        offsets = F.broadcast(offsets)
+    placed = rows.join(offsets, ["length", split]).withColumn(rank, F.col(before) + F.col(rank)).select(*names, rank)
     schema = T.StructType([*pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     arrow = to_arrow_schema(schema)
-    at = pieces.columns.index("length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = plan.value
         for batch in batches:
             length = batch.column(at).to_numpy(zero_copy_only=False).astype(np.int64)
-            rank = batch.column(len(arrow) - 2).to_numpy(zero_copy_only=False) + longer[length]
-            first, sequence, each, offset = runs[np.searchsorted(runs[:, 0], rank, "right") - 1].T
-            inside = rank - first
+            place = batch.column(len(arrow) - 2).to_numpy(zero_copy_only=False) + longer[length]
+            first, sequence, each, offset = runs[np.searchsorted(runs[:, 0], place, "right") - 1].T
+            inside = place - first
             made = [pa.array(sequence + inside // each), pa.array(offset + inside % each * length)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(arrow) - 2], *made], schema=arrow)
 

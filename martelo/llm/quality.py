@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, map_rows, slices, stored
+from .common import held_out, map_rows, scratch, slices, stored
 from .labelled import ROWS_PER_CLASS, training_rows
 from .shingles import word_hashes
 
@@ -139,11 +139,13 @@ def fit_rules(rows: DataFrame, trees: int = 12, depth: int = 3, penalty: float =
     """Fit on rows (y, weight, statistics). Boosted trees and the lasso both run as Spark jobs; rows is read many times."""
     data = rows.select("y", "weight", array_to_vector(F.array(*STATISTICS)).alias("features")).coalesce(2).cache()
     try:
-        found = data.groupBy("y").count().collect()
+        found = {r["y"]: r["weight"] for r in data.groupBy("y").agg(F.sum("weight").alias("weight")).collect()}
         if len(found) < 2:  # one class, or no labelled row at all
-            return RuleEnsemble(0.0 if not found else 4.0 if found[0]["y"] else -4.0, ())
+            return RuleEnsemble(0.0 if not found else 4.0 if 1.0 in found else -4.0, ())
         forest = GBTClassifier(labelCol="y", weightCol="weight", maxIter=trees, maxDepth=depth, maxBins=64, seed=seed, cacheNodeIds=False).fit(data)
         rules = list(dict.fromkeys(rule for tree in forest.trees for rule in paths(tree._java_obj.rootNode())))
+        if not rules:  # statistics that tell no row from another: the classes' shares are all there is
+            return RuleEnsemble(float(np.log(found[1.0] / found[0.0])), ())
         marked = rows.select("y", "weight", array_to_vector(F.array(*(holds(r).cast("double") for r in rules))).alias("features")).coalesce(2).cache()
         try:
             lasso = LogisticRegression(labelCol="y", weightCol="weight", elasticNetParam=1.0, regParam=penalty, maxIter=60, standardization=False).fit(marked)
@@ -159,11 +161,13 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """One row for each row of docs: key, held_out, score (likelihood of label 1), predicted and the statistics.
 
     Null and empty texts have zero statistics and so a score; repeated rows repeat; without labelled rows the
-    score is 0.5. Other columns are not carried.
+    score is 0.5; where no statistic tells the classes apart it is the share of label 1. Other columns are not
+    carried.
     """
     measured = stored(statistics(docs, key, text))
     known = training_rows(labels, label, key, rows_per_class)
-    ensemble = fit_rules(stored(measured.join(F.broadcast(known), key)))
+    with scratch(docs.sparkSession):
+        ensemble = fit_rules(stored(measured.join(F.broadcast(known), key)))
     scored = measured.withColumn("score", ensemble.score())
     return scored.select(key, held_out(key).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *STATISTICS)
 
@@ -174,8 +178,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     Only the labelled rows are measured to fit the rules; then each text is measured once and never shuffled.
     Without labelled rows every score is 0.5. Null and empty texts have zero statistics and so a score.
     """
-    known = F.broadcast(training_rows(labels, label, key, rows_per_class).withColumnRenamed(key, "__key"))
+    known = F.broadcast(training_rows(labels, label, key, rows_per_class).select(F.col(key).alias("__key"), "y", "weight"))
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("text")).join(known, "__key").select("text", "y", "weight")
-    ensemble = fit_rules(stored(with_statistics(rows).drop("text")))
+    with scratch(docs.sparkSession):
+        ensemble = fit_rules(stored(with_statistics(rows).drop("text")))
     prefix = "__stat_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
     return with_statistics(docs, text, prefix).filter(ensemble.score(prefix) >= threshold).select(docs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, licences, minhash, neardup, packing, pii, quality, rollups, sharding, toxicity
-from .common import shared_folder, stored, table
+from .common import scratch, shared_folder, stored, table
 
 
 def op1_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,22 +23,29 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches: all documents come in, later copies of a text go, and counts are revised to
-    what is left when repeated lines of a text are dropped. The second batch is sent twice."""
+    what is left when repeated lines of a text are dropped. The second batch is sent twice.
+
+    Rows of one text are summed by source and language before any of them meet, so a text that fills the corpus
+    is a few sums by the time it is shuffled."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
     lines = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
-    keys = docs.select("doc_id", "source", "lang", F.md5("text").alias("same"), "text", lines.alias("lines"))
-    counts = F.array(*(F.struct(F.lit(n).alias("tokenizer"), f(F.col("text")).cast("long").alias("before"), f(F.col("lines")).cast("long").alias("after")) for n, f in rollups.TOKENIZERS.items()))
-    each = keys.select("doc_id", "source", "lang", "same", F.inline(counts))
-    each = stored(each)
-    first = each.groupBy("same").agg(F.min("doc_id").alias("first"))
-    marked = each.join(first, "same").withColumn("copy", F.col("doc_id") != F.col("first"))
-    old = marked.withColumn("tokens", F.col("before"))
-    rollup = rollups.Rollup(spark, f"{shared_folder(spark)}/rollups/{uuid.uuid4().hex}")
-    rollup.commit("1-load", rollups.signed(each.withColumn("tokens", F.col("before")), 1))
-    for _ in range(2):
-        rollup.commit("2-copies", rollups.signed(old.filter("copy"), -1))
-    changed = marked.filter("not copy and before <> after")
-    rollup.commit("3-lines", rollups.revised(changed.withColumn("tokens", F.col("before")), changed.withColumn("tokens", F.col("after"))))
+    parts = F.array(*(F.struct(F.lit(n).alias("part"), c.alias("text")) for n, c in (("before", F.col("text")), ("after", F.col("lines")))))
+    both = docs.withColumn("lines", lines).select("doc_id", "source", "lang", F.md5("text").alias("same"), (F.col("text") != F.col("lines")).alias("changed"), F.inline(parts))
+    with scratch(spark):
+        each = stored(rollups.counted(both.filter("part = 'before' or changed").drop("changed")))
+        same = ("same", "source", "lang", "tokenizer")
+        tokens = lambda part: F.max(F.when(F.col("part") == part, F.col("tokens"))).alias(part)
+        groups = stored(each.groupBy(*same).agg(F.count_if(F.col("part") == "before").alias("n"), F.min("doc_id").alias("least"), tokens("before"), tokens("after")))
+        first = groups.groupBy("same").agg(F.min_by(F.struct("source", "lang"), F.struct(F.col("least").isNull(), "least", "source", "lang")).alias("first"))
+        marked = groups.join(first, "same").withColumn("kept", F.struct("source", "lang").eqNullSafe(F.col("first")))
+        changes = lambda rows, docs, tokens: rows.select(*rollups.DIMENSIONS, docs.cast("long").alias("docs"), tokens.cast("long").alias("tokens"))
+        rollup = rollups.Rollup(spark, f"{shared_folder(spark)}/rollups/{uuid.uuid4().hex}")
+        rollup.commit("1-load", changes(groups, F.col("n"), F.col("n") * F.col("before")))
+        copies = F.col("n") - F.col("kept").cast("int")
+        for _ in range(2):
+            rollup.commit("2-copies", changes(marked.filter(copies > 0), -copies, -copies * F.col("before")))
+        changed = marked.filter("kept and before <> after")
+        rollup.commit("3-lines", rollups.revised(changed.withColumn("tokens", F.col("before")), changed.withColumn("tokens", F.col("after"))))
     return rollup.totals()
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 
 #: Fixed value: the multiplier of the published algorithm's generator.
 MULTIPLIER = 2862933555777941757
@@ -70,19 +70,22 @@ def assign_shards(df: DataFrame, shards: int = 16, key: str = "doc_id", text: st
 
 
 def with_slots(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """df plus slot: places without gaps from 0 in each shard, by input split, then by key.
+    """df plus slot: places without gaps from 0 in each shard, by key (nulls first), then CRC and size.
 
-    The rows are stored once with the number of the split that held them, so that places stay fixed when an
-    executor is lost. A place is the split's offset in its shard plus the rank within split and shard: no task
-    ever holds a whole shard, only one split's rows of it and the table of counts.
+    Rows are dealt by range of shard, key and CRC and stored with the number of their range, so that places stay
+    fixed when an executor is lost. A place is the range's offset in its shard plus the rank within range and shard:
+    no task ever holds a whole shard, only one range's rows of it and the table of counts. Equal rows take
+    neighbouring places; a column of df named slot is replaced, other columns pass.
     """
-    rows = stored(df.withColumn("_split", F.spark_partition_id()))
-    counts = rows.groupBy("shard", "_split").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("shard").orderBy("_split").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = W.partitionBy("shard", "_split").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")
-    ranked = rows.withColumn("_rank", F.row_number().over(within))
-    return ranked.join(offsets, ["shard", "_split"]).withColumn("slot", F.col("_offset") + F.col("_rank") - 1).drop("_split", "_offset", "_rank")
+    split, count, offset, rank = unused(df, "_split", "_n", "_offset", "_rank")
+    order = [F.col(key).asc_nulls_first(), F.col("text_crc32").asc(), F.col("size").asc()]
+    ranged = df.drop("slot").repartitionByRange(F.col("shard").asc(), *order)
+    rows = stored(ranged.withColumn(split, F.spark_partition_id()))
+    counts = rows.groupBy("shard", split).agg(F.count(F.lit(1)).alias(count))
+    before = W.partitionBy("shard").orderBy(split).rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("shard", split, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(offset))
+    ranked = rows.withColumn(rank, F.row_number().over(W.partitionBy("shard", split).orderBy(*order)))
+    return ranked.join(offsets, ["shard", split]).withColumn("slot", (F.col(offset) + F.col(rank) - 1).cast("long")).drop(split, offset, rank)
 
 
 def write_shards(df: DataFrame, path: str) -> None:
