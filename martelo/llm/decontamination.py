@@ -3,8 +3,8 @@
 A test item of n letters counts as found where a document holds it with at most k = n // EDIT_EVERY edits. Cut into
 k + 1 pieces, any such occurrence holds one piece unharmed: one Aho-Corasick pass finds all pieces of a block of
 items, and Myers's bit-parallel distance verifies the places they point at. Both sides are compared as lower-case
-words with single blanks. Items come in blocks of bounded size, each block one pass over the documents; so a
-benchmark of any size is searched in bounded memory.
+words with single blanks. An item too short for edits must stand word for word. Items are dealt to blocks of
+bounded size by their hashes; a block is one pass over the documents, and driver and tasks hold one block at a time.
 """
 
 from __future__ import annotations
@@ -12,14 +12,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import map_rows, scratch, slices, stored
 
 EDIT_EVERY = 12
-#: Items of fewer letters (as words) than this are too common to search for.
-LEAST_LETTERS = 40
+#: Items of fewer letters (as words) than this must stand unharmed, and at word borders.
+FUZZY_FROM = 40
 #: Length of the letter runs that a place is counted by before its distance is measured.
 RUN = 5
 #: Letters of items searched for in one pass over the documents.
@@ -34,7 +35,7 @@ def plain(text: str | None) -> str:
 
 
 def edit_budget(item: str) -> int:
-    return len(item) // EDIT_EVERY
+    return len(item) // EDIT_EVERY if len(item) >= FUZZY_FROM else 0
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -81,6 +82,9 @@ def searcher(items: list[tuple[int, str]]) -> Callable[[str | None], list[tuple[
     seeds: dict[str, list[tuple[int, int]]] = {}
     budgets, matchers = [edit_budget(x) for _, x in items], [Myers(x) for _, x in items]
     for i, (_, item) in enumerate(items):
+        if len(item) < FUZZY_FROM:
+            seeds.setdefault(f" {item} ", []).append((i, 1))
+            continue
         for at, piece in pieces(item, budgets[i]):
             seeds.setdefault(piece, []).append((i, at))
     # an edit harms at most RUN of an item's runs of letters, so any occurrence keeps at least so many of them
@@ -97,13 +101,17 @@ def searcher(items: list[tuple[int, str]]) -> Callable[[str | None], list[tuple[
             return []
         found: dict[int, tuple[int, int]] = {}
         tried: dict[int, int] = {}  # item -> the last place that was verified
-        for end, (size, where) in automaton.iter(letters):
+        # a blank on both sides, so that words at either end have borders; places count from the first letter
+        for end, (size, where) in automaton.iter(f" {letters} "):
             for i, at in where:
-                k, start = budgets[i], end + 1 - size - at
+                k, start = budgets[i], end - size - at
                 if i in found and found[i][0] == 0 or tried.get(i) == start:
                     continue
                 tried[i] = start
                 item = items[i][1]
+                if len(item) < FUZZY_FROM:
+                    found[i] = 0, start + 2 + len(item)
+                    continue
                 if letters.startswith(item, max(0, start)) and start >= 0:
                     found[i] = 0, start + len(item)
                     continue
@@ -117,66 +125,78 @@ def searcher(items: list[tuple[int, str]]) -> Callable[[str | None], list[tuple[
     return search
 
 
-def blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    """The items as plain text, in blocks; each distinct text once, under its least id."""
-    block, size = [], 0
-    once = benchmark.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("t")).agg(F.min(item).alias("i")).orderBy("i")
-    for row in once.toLocalIterator():
-        words = plain(row["t"])
-        if len(words) < LEAST_LETTERS:
-            continue
-        block.append((row["i"], words))
-        size += len(words)
-        if size >= BLOCK_LETTERS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def blocks(benchmark: DataFrame, item: str, text: str, letters: int = BLOCK_LETTERS) -> Iterator[tuple[bool, list[tuple[int, str]]]]:
+    """(whether it is the only one, items as plain text) of each block; each distinct item once, under its least id.
+
+    Items are dealt to blocks by hash, as many blocks as their letters take; one block at a time reaches the driver.
+    """
+    kind = dict(benchmark.dtypes)[item]
+
+    def make():
+        return lambda ids, texts: [ids, [plain(t) for t in texts]]
 
+    words = map_rows(benchmark.select(item, text), [item, text], f"i {kind}, w string", make).filter("w <> ''")
+    once = words.groupBy("w").agg(F.min("i").alias("i"))
+    once = stored(once)
+    n = max(1, -(-(once.agg(F.sum(F.length("w"))).first()[0] or 0) // letters))
+    for block in range(n):
+        mine = [(r["i"], r["w"]) for r in once.filter(F.pmod(F.xxhash64("w"), F.lit(n)) == block).orderBy("i", "w").collect()]
+        if mine:
+            yield n == 1, mine
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", block_letters: int = BLOCK_LETTERS) -> DataFrame:
     """One row for each row of docs and item that its text holds: key, item_id, edits, likeness, end (in the plain text).
 
-    Null and empty texts hold nothing; items that are null or shorter than LEAST_LETTERS are not searched for;
-    equal items count once, under the least id; repeated rows repeat. Texts are read whole. Only the
-    fewest edits of an item in a text are told.
+    Null and empty texts hold nothing; null items and items without words are not searched for; equal items count
+    once, under the least id; repeated rows repeat. Texts are read whole. Only the fewest edits of an item in a text
+    are told, of equally good places the first. Other columns of docs are not carried; a key named item_id makes the
+    item's column benchmark_item_id.
     """
-    kinds = dict(docs.dtypes) | {"item": dict(benchmark.dtypes)[item]}
-    schema = f"`{key}` {kinds[key]}, item_id {kinds['item']}, edits int, likeness double, end long"
-    found = docs.sparkSession.createDataFrame([], schema)
-    for block in blocks(benchmark, item, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    kinds, spark = dict(docs.dtypes), docs.sparkSession
+    name = "item_id" if key.lower() != "item_id" else "benchmark_item_id"
+    schema = f"`{key}` {kinds[key]}, {name} {dict(benchmark.dtypes)[item]}, edits int, likeness double, end long"
+    found = None
+    with scratch(spark):
+        for only, block in blocks(benchmark, item, item_text, block_letters):
+            shared = spark.sparkContext.broadcast(block)
 
-        def make(shared=shared):
-            search = searcher(shared.value)
+            def make(shared=shared):
+                search = searcher(shared.value)
 
-            def f(keys, texts):
-                rows = [(k, i, e, 1 - e / n, at) for k, t in zip(keys, texts, strict=True) for i, e, n, at in search(t)]
-                return list(zip(*rows, strict=True)) or [[]] * 5
+                def f(keys, texts):
+                    rows = [(k, i, e, 1 - e / n, at) for k, t in zip(keys, texts, strict=True) for i, e, n, at in search(t)]
+                    return list(zip(*rows, strict=True)) or [[]] * 5
 
-            return f
+                return f
 
-        found = found.unionByName(map_rows(docs, [key, text], schema, make))
-    return found
+            rows = map_rows(docs, [key, text], schema, make)
+            if not only:
+                rows = stored(rows, keep=True)
+                shared.unpersist()
+            found = rows if found is None else found.unionByName(rows)
+    return spark.createDataFrame([], schema) if found is None else found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", block_letters: int = BLOCK_LETTERS) -> DataFrame:
     """The rows of docs whose texts hold no item. Null and empty texts stay; all columns pass; order doesn't matter.
 
-    Each block of items filters what the blocks before it left, without a shuffle.
+    Each block of items filters what the blocks before it left, without a shuffle; with several blocks, what one
+    leaves is stored before the next is read.
     """
-    import pyarrow as pa
-
-    at = docs.columns.index(text)
-    left = docs
-    for n, block in enumerate(blocks(benchmark, item, item_text)):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
-            search = searcher(shared.value)
-            for batch in batches:
-                yield batch.filter(pa.array([not search(t) for t in batch.column(at).to_pylist()], pa.bool_()))
-
-        left = (stored(left) if n and n % 8 == 0 else left).mapInArrow(run, docs.schema)
-    return left
-
+    at, left, spark = docs.columns.index(text), docs, docs.sparkSession
+    with scratch(spark):
+        for only, block in blocks(benchmark, item, item_text, block_letters):
+            shared = spark.sparkContext.broadcast(block)
+
+            def run(batches, shared=shared):
+                search = searcher(shared.value)
+                for batch in batches:
+                    for part in slices(batch):
+                        yield part.filter(pa.array([not search(t) for t in part.column(at).to_pylist()], pa.bool_()))
+
+            left = left.mapInArrow(run, docs.schema)
+            if not only:
+                left = stored(left)
+                shared.unpersist()
+        return stored(left, keep=True) if left is not docs and not only else left

@@ -8,10 +8,12 @@ one licence from another (`keys`) must stand unharmed, which keeps "mpl" from pa
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
@@ -65,14 +67,42 @@ def pieces(words: str, k: int) -> list[tuple[int, str]]:
 
 
 def places(padded: bytes, words: str) -> list[int]:
-    """Indices of the words where the notice's words stand one after another."""
+    """Where in the padded text the notice's words stand one after another: the blank before each place."""
     found, wanted, at = [], f" {words} ".encode(), padded.find(f" {words} ".encode())
     while at >= 0:
-        found.append(padded.count(b" ", 0, at))
+        found.append(at)
         at = padded.find(wanted, at + 1)
     return found
 
 
+class Spans:
+    """The spans found in a text, by label; each label's in order, so that neighbours tell of overlaps."""
+
+    def __init__(self) -> None:
+        self.by: dict[str, list[tuple[int, int, int, bool]]] = {}
+        self.longest = 0
+
+    def add(self, label: str, first: int, last: int, edits: int, base: bool) -> None:
+        """One span for each label and first word; a later one replaces an earlier one."""
+        own = self.by.setdefault(label, [])
+        at = bisect_left(own, first, key=lambda s: s[0])
+        own[at : at + (at < len(own) and own[at][0] == first)] = [(first, last, edits, base)]
+        self.longest = max(self.longest, last - first)
+
+    def covered(self, label: str, first: int, last: int, edits: int) -> bool:
+        """Whether a span of the label overlaps these words with no more edits."""
+        own = self.by.get(label, [])
+        at = bisect_left(own, first - self.longest, key=lambda s: s[0])
+        while at < len(own) and own[at][0] <= last:
+            if own[at][1] >= first and own[at][2] <= edits:
+                return True
+            at += 1
+        return False
+
+    def all(self) -> list[tuple[str, int, int, int, bool]]:
+        return sorted(((label, *s) for label, own in self.by.items() for s in own), key=lambda s: (s[1], s[0], s[2]))
+
+
 def searcher(notices: Sequence[Notice]) -> Callable[[str | None], tuple]:
     seeds: dict[str, list[tuple[int, int]]] = {}
     budgets = [edit_budget(n.words) for n in notices]
@@ -90,12 +120,14 @@ def searcher(notices: Sequence[Notice]) -> Callable[[str | None], tuple]:
         words = words_of(text)
         padded = b" " + b" ".join(words) + b" "
         letters = padded.decode("latin-1")
-        spans: dict[tuple[str, int], tuple] = {}
+        blanks = np.flatnonzero(np.frombuffer(padded, np.uint8) == 0x20)
+        spans, n_base = Spans(), 0
         for n in notices:
             if n.base:
-                for w in places(padded, n.words):
-                    spans[n.label, w] = (n.label, w, w + n.words.count(" "), 0, True)
-        n_base = len(spans)
+                at = places(padded, n.words)
+                n_base += len(at)
+                for w in np.searchsorted(blanks, at).tolist():
+                    spans.add(n.label, w, w + n.words.count(" "), 0, True)
         done: dict[int, int] = {}
         for end, (size, where) in automaton.iter(letters):
             for i, at in where:
@@ -115,12 +147,12 @@ def searcher(notices: Sequence[Notice]) -> Callable[[str | None], tuple]:
                 b = padded.find(b" ", max(a, b - 1))
                 own = padded[a:b].split()
                 if keys[i] <= set(own):
-                    first = padded.count(b" ", 0, a) - 1
-                    span = (n.label, first, first + len(own) - 1, sum(m.fuzzy_counts), False)
-                    if not any(s[0] == n.label and s[1] <= span[2] and span[1] <= s[2] and s[3] <= span[3] for s in spans.values()):
-                        spans[n.label, first] = span
+                    first = int(np.searchsorted(blanks, a)) - 1
+                    last, edits = first + len(own) - 1, sum(m.fuzzy_counts)
+                    if not spans.covered(n.label, first, last, edits):
+                        spans.add(n.label, first, last, edits, False)
                     done[i] = start
-        found = sorted(spans.values(), key=lambda s: (s[1], s[0], s[2]))
+        found = spans.all()
         base = [s for s in found if s[4]]
         size = {n.label: len(n.words) for n in reversed(notices)}
         score = max((1 - s[3] / size[s[0]] for s in found), default=0.0)
@@ -133,9 +165,9 @@ def searcher(notices: Sequence[Notice]) -> Callable[[str | None], tuple]:
 def find_notices(df: DataFrame, key: str = "doc_id", text: str = "text", notices: Sequence[Notice] = NOTICES) -> DataFrame:
     """One row for each row of df: its key, word and place counts, labels, score and spans (in words).
 
-    Null and empty texts have no words and no label; repeated rows give repeated results; other columns of df
-    are not carried. Texts are read whole, whatever their length. score is 1 for an exact notice, less the share
-    of edits for a fuzzy one, 0 without any.
+    Null and empty texts have no words and no label; repeated rows give repeated results, null keys pass, an empty df
+    gives none; other columns of df are not carried. Texts are read whole, whatever their length. score is 1 for an
+    exact notice, less the share of edits for a fuzzy one, 0 without any.
     """
 
     def make():

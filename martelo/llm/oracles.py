@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-#: Sizes and shards alone: a slot depends on how the rows were split. tests/llm holds the query against this.
-SHARDS = """
-WITH RECURSIVE ids AS (
+#: The table of CRC-32 follows from its polynomial; texts are taken byte by byte from their hexadecimal form.
+OP2 = """
+WITH RECURSIVE bits(i, n, c) AS (
+  SELECT i, 0, CAST(i AS BIGINT) FROM range(256) AS t(i)
+  UNION ALL
+  SELECT i, n + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM bits WHERE n < 8
+), crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM bits WHERE n = 8
+), ids AS (
   SELECT DISTINCT coalesce(doc_id, 0) AS k, n FROM documents, (VALUES (16), (17)) AS t(n)
 ), walk(k, n, x, at_, next_) AS (
   SELECT k, n, CAST(k AS HUGEINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM ids
@@ -14,10 +20,14 @@ WITH RECURSIVE ids AS (
 ), shard AS (
   SELECT k, n, max(at_) AS s FROM walk GROUP BY k, n
 )
-SELECT d.doc_id, CAST(octet_length(encode(coalesce(d.text, ''))) + 1 AS BIGINT) AS size, a.s AS shard, b.s AS grown_shard
-FROM documents d
-JOIN shard a ON a.k = coalesce(d.doc_id, 0) AND a.n = 16
-JOIN shard b ON b.k = coalesce(d.doc_id, 0) AND b.n = 17
+SELECT doc_id, size, text_crc32, law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM (
+  SELECT d.doc_id, CAST(octet_length(encode(coalesce(d.text, ''))) + 1 AS BIGINT) AS size, 'key' AS law, CAST(a.s AS INTEGER) AS shard, CAST(b.s AS INTEGER) AS grown_shard,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(d.text, ''))), '..'), lambda x: CAST(('0x' || x) AS BIGINT))),
+      lambda c, x: xor(c // 256, t[xor(c, x) % 256 + 1]))) AS text_crc32
+  FROM documents d CROSS JOIN crc_table
+  JOIN shard a ON a.k = coalesce(d.doc_id, 0) AND a.n = 16
+  JOIN shard b ON b.k = coalesce(d.doc_id, 0) AND b.n = 17
+)
 """
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_jump_sharding": OP2}

@@ -2,8 +2,8 @@
 
 The field scores whole candidate spans (shape, check digits, length, borders, cue words) and a dynamic programme
 over segments of bounded length picks boundaries and kinds together. It runs only on stretches around digits,
-at-signs, key prefixes and key names with their sign. Its weights are fitted by maximum likelihood on generated, seeded sentences, so no label of any table is
-used. Base spans always stay; the field adds spans where no base span lies, for example a telephone number whose
+at-signs, key prefixes and key names with their sign, which every entity of its kinds holds. Its weights are fitted
+by maximum likelihood on generated, seeded sentences, so no label of any table is used. Base spans always stay; the field adds spans where no base span lies, for example a telephone number whose
 base match ran on into the next number and failed.
 """
 
@@ -17,9 +17,10 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import map_rows, slices
 
 KINDS = ("email", "ip", "card", "phone", "iban", "secret", "ssn")
 BASE_KINDS = KINDS[:4]
@@ -46,8 +47,14 @@ SHAPES = {
 }
 CUES = re.compile(r"(?:e-?mail|ip|card|visa|tel|phone|call|fax|iban|account|key|login|ssn|social)\W{0,3}$", re.IGNORECASE)
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s+|[^0-9A-Za-z\s]")
+#: Where a kind's shape begins at all, wherever it may end.
+STARTS = {kind: re.compile(f"(?={shape.pattern})", shape.flags) for kind, shape in SHAPES.items()}
+#: A day, which is no telephone number.
+DAY = re.compile(r"(?:19|20)[0-9]{2}[-. ](?:0[1-9]|1[0-2])[-. ](?:0[1-9]|[12][0-9]|3[01])(?![0-9])|(?:0[1-9]|[12][0-9]|3[01])[-. ](?:0[1-9]|1[0-2])[-. ](?:19|20)[0-9]{2}(?![0-9])")
 MARK = re.compile(rf"[0-9@]+|AKIA|(?i:{KEY})\s?[^\s,;]*+")
-N_SPAN, N_OUT = 9, 4
+#: Ten digits in the usual three groups, with one separator.
+GROUPED = re.compile(r"[0-9]{3}([-. ])[0-9]{3}\1[0-9]{4}")
+N_SPAN, N_OUT = 10, 4
 
 
 def digits(s: str) -> str:
@@ -93,14 +100,15 @@ def valid(kind: str, span: str) -> bool:
     if kind == "ip":
         return all(int(x) <= 255 for x in span.split("."))
     if kind == "phone":
-        return 9 <= len(d) <= 15 and (span[0] == "+" or not span.isdigit())
+        return 9 <= len(d) <= 15 and (span[0] == "+" or not span.isdigit()) and not DAY.match(span)
     if kind == "iban":
         s = span.replace(" ", "")
         return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
     if kind == "ssn":
         return span[:3] not in ("000", "666") and span[0] != "9" and span[4:6] != "00" and span[7:] != "0000"
     if kind == "secret":
-        return span.startswith("AKIA") or bool(re.search(r"[0-9]", span))
+        # a value without digits counts where it is long and no blank sets it off, as prose would
+        return span.startswith("AKIA") or any(c.isdigit() for c in span) or bool(re.search(r"[=:]\S{10,}$", span))
     return True
 
 
@@ -116,6 +124,7 @@ def span_features(kind: str, text: str, a: int, b: int) -> list[float]:
         float(bool(CUES.search(text, max(0, a - 12), a))),
         float(kind == "phone" and span[0] == "+"),
         float(any(c in span for c in "-(")),
+        float(kind == "phone" and bool(GROUPED.fullmatch(span))),
         math.log1p(b - a),
     ]
 
@@ -142,33 +151,33 @@ def stretches(text: str) -> Iterator[tuple[int, int]]:
 def lattice(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
     """Tokens of text[a:b], and candidate segments (first token, token after the last, kind's number).
 
-    A secret reaches as far as its shape does; of other kinds each end within MAX_LETTERS is a candidate.
+    A secret reaches as far as its shape does; of other kinds each end within MAX_LETTERS is a candidate. Shapes are
+    looked for by themselves first, so a stretch that none of them fits takes no other work.
     """
+    begun = [(m.start(), k) for k, kind in enumerate(KINDS) for m in STARTS[kind].finditer(text, a, b)]
+    if not begun:
+        return [], []
     tokens = [m.span() for m in TOKEN.finditer(text, a, b)]
+    first = {start: i for i, (start, _) in enumerate(tokens)}
     after = {end: j + 1 for j, (_, end) in enumerate(tokens)}
     segments, secret_end = [], a
-    for i, (start, _) in enumerate(tokens):
-        c = text[start]
-        if c.isspace():
+    for start, k in sorted(begun):
+        i, kind = first.get(start), KINDS[k]
+        if i is None:
+            continue
+        if kind == "secret":
+            # key names inside a value belong to it
+            if start >= secret_end and (m := SHAPES[kind].match(text, start, b)) and m.end() in after:
+                segments.append((i, after[m.end()], k))
+                secret_end = m.end()
             continue
-        for k, kind in enumerate(KINDS):
-            if kind in ("ip", "card", "ssn") and not c.isdigit() or kind == "phone" and not (c.isdigit() or c in "+(") or kind in ("iban", "secret") and not c.isalpha():
-                continue
-            if kind == "secret":
-                # key names inside a value belong to it
-                if start >= secret_end and (m := SHAPES[kind].match(text, start, b)) and m.end() in after:
-                    segments.append((i, after[m.end()], k))
-                    secret_end = m.end()
-                continue
-            limit = min(b, start + MAX_LETTERS)
-            if not SHAPES[kind].match(text, start, limit):
-                continue
-            for j in range(i, len(tokens)):
-                end = tokens[j][1]
-                if end > limit:
-                    break
-                if SHAPES[kind].fullmatch(text, start, end):
-                    segments.append((i, j + 1, k))
+        limit = min(b, start + MAX_LETTERS)
+        for j in range(i, len(tokens)):
+            end = tokens[j][1]
+            if end > limit:
+                break
+            if SHAPES[kind].fullmatch(text, start, end):
+                segments.append((i, j + 1, k))
     return tokens, segments
 
 
@@ -246,7 +255,7 @@ def sentences(n: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int, int
         lambda: r.choice(("AKIA" + "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZ234567") for _ in range(16)), f"password={num(4)}{low(3)}{num(7)}", f"token: {num(2)}{low(8)}{num(4)}")),
         lambda: f"{r.randint(100, 665):03d}-{r.randint(10, 99)}-{r.randint(1000, 9999)}",
     ]
-    decoys = (lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.20{num(2)}", lambda: f"20{num(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"{num(2)}.{num(2)}", lambda: "1" + num(r.randint(1, 12)), lambda: f"{r.randint(300, 999)}.{num(3)}.{num(3)}.{num(3)}", lambda: f"v{num(1)}.{num(1)}.{num(2)}", lambda: f"{num(3)} {num(3)}", lambda: num(20), lambda: f"{num(4)} {num(4)}", lambda: next(x for x in iter(lambda: num(16), "") if not luhn(x)))
+    decoys = (lambda: f"{r.randint(1, 28)}.{r.randint(1, 12)}.20{num(2)}", lambda: f"20{num(2)}-{r.randint(10, 12)}-{r.randint(10, 28)}", lambda: f"{num(2)}.{num(2)}", lambda: "1" + num(r.randint(1, 12)), lambda: f"{r.randint(300, 999)}.{num(3)}.{num(3)}.{num(3)}", lambda: f"v{num(1)}.{num(1)}.{num(2)}", lambda: f"{num(3)} {num(3)}", lambda: num(20), lambda: f"{num(4)} {num(4)}", lambda: f"20{num(2)}-{r.randint(10, 12)}-{r.randint(10, 28)} {r.randint(10, 23)}:{num(2)}", lambda: next(x for x in iter(lambda: num(16), "") if not luhn(x)))
     for _ in range(n):
         text, spans = low(4), []
         for _ in range(r.randint(1, 3)):
@@ -328,7 +337,8 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 def find_pii(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of df: key, counts of base spans, the base spans' digest, and all spans as text.
 
-    Null and empty texts have no spans; repeated rows give repeated results; other columns are not carried.
+    Null and empty texts have no spans; repeated rows give repeated results, null keys pass, an empty df gives no
+    rows; other columns are not carried. Texts are read whole.
     Offsets are code points, ends exclusive.
     """
     weights = fitted()
@@ -351,23 +361,21 @@ def find_pii(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def redact(df: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """df with every span in the text replaced by its kind in brackets; `length`, if a column, follows.
 
-    Null texts stay null; all rows and all other columns stay.
+    Null texts stay null; all rows and all other columns stay, whatever their names.
     """
-    weights = fitted()
-    schema = df.schema
-    names = df.columns
-
-    def run(batches):
-        import pyarrow as pa
+    weights, schema, names = fitted(), df.schema, df.columns
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = names.index(text)
         for batch in batches:
-            texts = batch.column(names.index(text)).to_pylist()
-            new = [t if t is None else redacted(t, all_spans(t, weights)[1]) for t in texts]
-            columns = list(batch.columns)
-            columns[names.index(text)] = pa.array(new, batch.column(names.index(text)).type)
-            if length in names:
-                kind = batch.column(names.index(length)).type
-                columns[names.index(length)] = pa.array([old if t is None or t == u else len(u) for t, u, old in zip(texts, new, batch.column(names.index(length)).to_pylist(), strict=True)], kind)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            for part in slices(batch):
+                texts, columns = part.column(at).to_pylist(), list(part.columns)
+                new = [t if t is None else redacted(t, all_spans(t, weights)[1]) for t in texts]
+                columns[at] = pa.array(new, columns[at].type)
+                if length in names:
+                    n = names.index(length)
+                    sizes = [old if t is None or t == u else len(u) for t, u, old in zip(texts, new, columns[n].to_pylist(), strict=True)]
+                    columns[n] = pa.array(sizes, columns[n].type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
     return df.mapInArrow(run, schema)
