@@ -51,7 +51,7 @@ def content_key(*parts: Column) -> Column:
 
 def natural_key(court: Column, case: Column, lot: Column, source: Column, key: Column) -> Column:
     """Court, case and lot where there is a case; otherwise the source and the first half of the content key."""
-    known = F.concat_ws("|", F.coalesce(court, F.lit("")), case, F.coalesce(F.nullif(comparable(lot), F.lit("")), F.lit("unico")))
+    known = F.concat_ws("|", F.coalesce(court, F.lit("NA")), case, F.coalesce(F.nullif(comparable(lot), F.lit("")), F.lit("unico")))
     return F.when(case.isNotNull(), known).otherwise(F.concat_ws("|", source, F.substring(key, 1, 32)))
 
 

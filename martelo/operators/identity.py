@@ -102,8 +102,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str | Non
     """Old rows with new ones over them by key, null keys equal to null; of several new ones the last by `order`."""
     names = old.columns
     rest = [c for c in names if c not in keys]
-    if order:
-        new = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
+    if order:  # a struct, as max_by passes over rows whose order is null; such rows come first
+        new = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(order).isNotNull(), F.col(order))).alias("_row")).select(*keys, "_row.*")
     marked = old.select(*names, F.lit(0).alias("_side")).unionByName(new.select(*names, F.lit(1).alias("_side")))
     return marked.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_side").alias("_row")).select(*keys, "_row.*").select(names)
 
@@ -115,18 +115,20 @@ def most_complete(rows: DataFrame, key: str, fields: Sequence[str], sequence: st
     return best.select("_row.*")
 
 
-def keep_findings(old: DataFrame, new: DataFrame, from_document: bool = False) -> DataFrame:
+def keep_findings(old: DataFrame, new: DataFrame, from_document: bool = False, last: Column | None = None) -> DataFrame:
     """Findings (lot_id, name, confidence, method, value) with new ones merged in: one a person made stays;
-    otherwise a less sure one never replaces a surer one. One read from a document always replaces."""
+    otherwise a less sure one never replaces a surer one. One read from a document always replaces. Of equally sure
+    ones of a side the last by `last` counts, or else the greatest value."""
+    last = F.col("value") if last is None else last
     rows = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    rank = F.struct((F.col("_new") == 0) & (F.col("method") == "MANUAL"), F.col("_new") if from_document else F.col("confidence"), "_new")
+    rank = F.struct((F.col("_new") == 0) & (F.col("method") == "MANUAL"), F.col("_new") if from_document else F.col("confidence"), "_new", "confidence", last, "value")
     best = rows.groupBy("lot_id", "name").agg(F.max_by(F.struct("confidence", "method", "value"), rank).alias("_row"))
     return best.select("lot_id", "name", "_row.*")
 
 
 def apply_findings(lots: DataFrame, findings: DataFrame, names: Sequence[str], least: float = 0.70) -> DataFrame:
     """lots with null columns filled from findings that are sure enough; the long table is pivoted on fixed names."""
-    wide = findings.filter((F.col("confidence") >= least) & F.col("name").isin(*names)).groupBy("lot_id").pivot("name", list(names)).agg(F.max_by("value", "confidence"))
+    wide = findings.filter((F.col("confidence") >= least) & F.col("name").isin(*names)).groupBy("lot_id").pivot("name", list(names)).agg(F.max_by("value", F.struct("confidence", "value")))
     kinds = dict(lots.dtypes)
     renamed = wide.select("lot_id", *(F.col(n).alias(f"_{n}") for n in names))
     filled = [F.coalesce(F.col(c), F.col(f"_{c}").try_cast(kinds[c])).alias(c) if c in names else F.col(c) for c in lots.columns]

@@ -19,21 +19,22 @@ CLOSED, BAD = ("ARREMATADO", "DESERTO", "SUSPENSO"), ("DESERTO", "SUSPENSO")
 
 
 def points(c: Column) -> Column:
-    return c.cast("decimal(8,3)")
+    """Points of a part: exact to ten places, as only the total is rounded."""
+    return c.cast("decimal(13,10)")
 
 
 def discount_part(discount: Column) -> Column:
     """All points from 50 per cent on."""
-    share = F.least(F.coalesce(discount, F.lit(0)).cast("decimal(12,2)") / 50, F.lit(1).cast("decimal(12,2)"))
+    share = F.least(F.coalesce(discount, F.lit(0)).cast("decimal(12,2)"), F.lit(50).cast("decimal(12,2)")) / F.lit(50).cast("decimal(2,0)")
     return points(F.greatest(share, F.lit(0)) * MOST["discount"])
 
 
 def quality_part(asset: Column, confirmed: Column, has_documents: Column) -> Column:
     """Confirmed fields among those expected of the asset; half without a document."""
-    part = F.lit(None).cast("decimal(8,3)")
+    part = F.lit(None).cast("decimal(13,10)")
     for kind, names in EXPECTED.items():
-        share = F.size(F.array_intersect(confirmed, F.array(*map(F.lit, names)))).cast("decimal(8,3)") / len(names)
-        part = F.when(asset == kind, points(share * MOST["quality"])).otherwise(part)
+        found = F.size(F.array_intersect(confirmed, F.array(*map(F.lit, names))))
+        part = F.when(asset == kind, points((found * MOST["quality"]).cast("decimal(16,10)") / F.lit(len(names)).cast("decimal(3,0)"))).otherwise(part)
     return points(F.when(has_documents, part).otherwise(part / 2))
 
 
@@ -64,8 +65,8 @@ def window_part(at: Column, passed: Column, as_of: str) -> Column:
 def history(lots: DataFrame) -> DataFrame:
     """(auctioneer_id, closed, bad, history): the share of closed lots that went well; neutral below five."""
     counts = lots.groupBy("auctioneer_id").agg(F.count_if(F.col("status").isin(*CLOSED)).alias("closed"), F.count_if(F.col("status").isin(*BAD)).alias("bad"))
-    good = (F.col("closed") - F.col("bad")).cast("decimal(18,3)") / F.col("closed").cast("decimal(18,0)")
-    return counts.withColumn("history", points(F.when(F.col("closed") < 5, F.lit("2.5").cast("decimal(8,3)")).otherwise(good * MOST["history"])))
+    good = ((F.col("closed") - F.col("bad")) * MOST["history"]).cast("decimal(18,0)") / F.col("closed").cast("decimal(18,0)")
+    return counts.withColumn("history", F.when(F.col("closed") < 5, F.lit("2.5").cast("decimal(13,10)")).otherwise(points(good)))
 
 
 def band(total: Column) -> Column:
@@ -83,8 +84,8 @@ def scored(lots: DataFrame, as_of: str) -> DataFrame:
         "quality_points": quality_part(F.col("asset"), F.col("confirmed"), F.col("has_documents")),
         "risk_points": risk_part(*(F.col(c) for c in ("asset", "occupied", "liens", "damage", "buyer_pays", "from_price", "registry"))),
         "window_points": window_part(F.col("session_at"), F.col("session_passed"), as_of),
-        "history_points": points(F.coalesce("history", F.lit("2.5").cast("decimal(8,3)"))),
+        "history_points": points(F.coalesce("history", F.lit("2.5").cast("decimal(13,10)"))),
     }
     made = lots.select("lot_id", *(c.alias(n) for n, c in parts.items()))
-    total = F.bround(sum((F.col(n) for n in parts), F.lit(0).cast("decimal(8,3)")), 1).cast("decimal(5,1)")
+    total = F.bround(sum((F.col(n).cast("decimal(16,10)") for n in parts), F.lit(0).cast("decimal(16,10)")), 1).cast("decimal(5,1)")
     return made.withColumn("score", total).withColumn("band", band(F.col("score")))

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, fields
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import comparable, holds_all
@@ -124,7 +124,7 @@ def next_event(events: DataFrame, as_of: str) -> DataFrame:
     return events.filter(F.col("at") >= F.lit(as_of).cast("timestamp_ntz")).groupBy("lot_id").agg(F.min("at").alias("next_at"))
 
 
-def ordered(lots: DataFrame, order: str) -> DataFrame:
+def order_keys(lots: DataFrame, order: str) -> list[Column]:
     """Missing scores count as -1, missing or zero discounts as -1, missing or zero prices as 10**12; ties by id."""
     keys = {
         "score": F.coalesce(F.col("score"), F.lit(-1.0)).desc(),
@@ -133,7 +133,11 @@ def ordered(lots: DataFrame, order: str) -> DataFrame:
         "price": F.coalesce(truthy_price(), F.lit(10**12)).asc(),
         "recent": F.col("collected_at").desc(),
     }
-    return lots.orderBy(keys.get(order, keys["score"]), F.col("lot_id").asc())
+    return [keys.get(order, keys["score"]), F.col("lot_id").asc()]
+
+
+def ordered(lots: DataFrame, order: str) -> DataFrame:
+    return lots.orderBy(*order_keys(lots, order))
 
 
 def page(lots: DataFrame, number: int, size: int) -> DataFrame:
@@ -151,3 +155,8 @@ def by_ids(lots: DataFrame, ids: Sequence[int]) -> DataFrame:
         raise ValueError("compare two or three lots")
     wanted = lots.sparkSession.createDataFrame(list(enumerate(ids)), "place int, lot_id long")
     return lots.join(F.broadcast(wanted), "lot_id").orderBy("place")
+
+
+def placed(rows: DataFrame, order: str) -> DataFrame:
+    """The rows of one page with their place in it, from 1."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order_keys(rows, order))).cast("long"))

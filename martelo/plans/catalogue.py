@@ -5,43 +5,16 @@ A query applies operators to whole tables. Limits occur only where a page, an ag
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse, present, text
 from ..operators import agenda, alerts, events, extract, facets, identity, market, outputs, score, search, terms
 from ..sources import files, html
 from ..streaming import windows
-from .lots import AS_OF, LOTS, SESSIONS, in_duckdb, lots, sessions, stated
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-WITH_LOTS = f"WITH lots AS ({in_duckdb(LOTS)}), sessions AS ({in_duckdb(SESSIONS)})"
-PLAIN = f"trim(regexp_replace(lower(translate({{}}, '{text.ACCENTED}', '{text.UNACCENTED}')), '[ \\t\\n\\r\\f]+', ' ', 'g'))"
-
-
-def query(oracle: str | None = None, with_lots: bool = False):
-    """Register a function as the query of its name."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            sql = f"{WITH_LOTS} {oracle}" if with_lots else oracle
-            ORACLES[f.__name__] = re.sub(r"(?<!\")\bat\b(?!\")", '"at"', sql)  # a word of DuckDB's grammar
-        return f
-
-    return register
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def dbl(*names: str):
-    return [F.col(n).cast("double").alias(n) for n in names]
+from .lots import AS_OF, in_duckdb, lots, sessions, stated
+from .registered import ORACLES, PLAIN, QUERIES, dbl, query, read
 
+__all__ = ["ORACLES", "QUERIES"]
 
 # ---- search ----
 
@@ -83,15 +56,16 @@ def search_days_ahead(spark, sf_dir):
     return search.matching(lots(spark, sf_dir), search.LotFilter(days_ahead=30), events=sessions(spark, sf_dir), as_of=AS_OF).select("lot_id")
 
 
-@query("""SELECT lot_id, row_number() OVER (ORDER BY coalesce(nullif(discount, 0), -1) DESC, lot_id) AS by_discount, row_number() OVER (ORDER BY coalesce(nullif(second_min, 0), nullif(first_min, 0), 1000000000000), lot_id) AS by_price FROM lots WHERE status = 'DESERTO'""", with_lots=True)
-def zero_vs_null_sort(spark, sf_dir):
-    """A zero discount or price sorts with the missing ones."""
-    from pyspark.sql import Window
+ZEROS_SQL = "SELECT * FROM lots WHERE status = 'DESERTO' AND contains(lower(title || ' ' || description), 'brand#11') AND (second_min = 0 OR discount = 0 OR discount IS NULL OR lot_id % 3 = 0)"
+
 
-    found = search.matching(lots(spark, sf_dir), search.LotFilter(status=("DESERTO",)))
-    one = Window.orderBy(F.coalesce(F.nullif("discount", F.lit(0)), F.lit(-1)).desc(), "lot_id")
-    two = Window.orderBy(F.coalesce(search.truthy_price(), F.lit(10**12)), "lot_id")
-    return found.select("lot_id", F.row_number().over(one).cast("long").alias("by_discount"), F.row_number().over(two).cast("long").alias("by_price"))
+@query(f"""SELECT 'discount' AS sorted_by, lot_id, place FROM (SELECT lot_id, row_number() OVER (ORDER BY coalesce(nullif(discount, 0), -1) DESC, lot_id) AS place FROM ({ZEROS_SQL})) WHERE place <= 100
+UNION ALL SELECT 'price', lot_id, place FROM (SELECT lot_id, row_number() OVER (ORDER BY coalesce(nullif(second_min, 0), nullif(first_min, 0), 1000000000000), lot_id) AS place FROM ({ZEROS_SQL})) WHERE place <= 100""", with_lots=True)
+def zero_vs_null_sort(spark, sf_dir):
+    """A zero discount or price sorts with the missing ones; a page of a hundred by either."""
+    found = search.matching(lots(spark, sf_dir), search.LotFilter(status=("DESERTO",), words="brand#11")).filter("second_min = 0 or discount = 0 or discount is null or lot_id % 3 = 0")
+    pages = [search.placed(search.page(search.ordered(found, order), 1, 100), order).select(F.lit(order).alias("sorted_by"), "lot_id", "place") for order in ("discount", "price")]
+    return pages[0].unionByName(pages[1])
 
 
 @query("""SELECT l.lot_id, min(s.at) AS next_at FROM lots l LEFT JOIN sessions s ON s.lot_id = l.lot_id AND s.at >= TIMESTAMP '1998-06-01 12:00:00' WHERE l.status = 'ABERTO' GROUP BY l.lot_id ORDER BY next_at NULLS LAST, l.lot_id LIMIT 50""", with_lots=True)
@@ -371,7 +345,10 @@ def degrading_lookup(spark, sf_dir):
     return market.index_value(lots(spark, sf_dir), _index(spark, sf_dir)).select("lot_id", F.col("value_m2").cast("double").alias("value_m2"), "month", "precision")
 
 
-DISCOUNT_SQL = "CAST(round_even(CAST((reference - compared) * 100 AS DECIMAL(24,2))::DOUBLE / reference::DOUBLE, 2) AS DOUBLE)"
+#: Per cent below the reference, half-even to two places, in whole numbers: no double comes near a tie.
+EXACT_SQL = """CASE WHEN reference <= 0 THEN 0.0::DOUBLE ELSE (WITH_SIGN(CAST(reference * 100 AS BIGINT) - CAST(compared * 100 AS BIGINT), CAST(reference * 100 AS BIGINT)))::DOUBLE / 100 END"""
+HALF_EVEN = "CASE WHEN 2 * (abs(n) % d) > d OR 2 * (abs(n) % d) = d AND (abs(n) // d) % 2 = 1 THEN abs(n) // d + 1 ELSE abs(n) // d END * sign(n)"
+EXACT_SQL = EXACT_SQL.replace("WITH_SIGN(CAST(reference * 100 AS BIGINT) - CAST(compared * 100 AS BIGINT), CAST(reference * 100 AS BIGINT))", HALF_EVEN.replace("(n)", "((CAST(reference * 100 AS HUGEINT) - CAST(compared * 100 AS HUGEINT)) * 10000)").replace(" d", " CAST(reference * 100 AS HUGEINT)"))
 
 
 def _analyses(spark, sf_dir):
@@ -390,16 +367,16 @@ UNION ALL SELECT p.lot_id, 'FIPE', r.value, p.minimum, round_even(least(0.9::DOU
 UNION ALL SELECT lot_id, 'FIPEZAP', CAST(round_even(CAST(value_m2 AS DOUBLE) * CASE WHEN lot_id % 2 = 0 THEN 68.5::DOUBLE ELSE 92.3::DOUBLE END, 2) AS DECIMAL(14,2)), minimum, round_even(CASE precision WHEN 'BAIRRO' THEN 0.7::DOUBLE ELSE 0.55::DOUBLE END * CASE WHEN lot_id % 2 = 0 THEN 1::DOUBLE ELSE 0.8::DOUBLE END, 3) FROM priced WHERE asset = 'IMOVEL' AND minimum IS NOT NULL AND value_m2 IS NOT NULL)"""
 
 
-@query(f"{ANALYSES_SQL} SELECT lot_id, source, CAST(reference AS DOUBLE) AS reference, CAST(compared AS DOUBLE) AS compared FROM analyses", with_lots=True)
+@query(f"{ANALYSES_SQL} SELECT lot_id, source, CAST(reference AS DOUBLE) AS reference, CAST(compared AS DOUBLE) AS compared, {EXACT_SQL} AS discount, confidence FROM analyses", with_lots=True)
 def market_analyses(spark, sf_dir):
     """M1 to M4: each lot against appraisal, vehicle table and price index."""
-    return _analyses(spark, sf_dir).select("lot_id", "source", *dbl("reference", "compared"))
+    return _analyses(spark, sf_dir).select("lot_id", "source", *dbl("reference", "compared", "discount", "confidence"))
 
 
-@query(f"{ANALYSES_SQL} SELECT lot_id, arg_max(source, (source <> 'LAUDO_JUDICIAL', confidence, source)) AS source FROM analyses GROUP BY lot_id", with_lots=True)
+@query(f"{ANALYSES_SQL} SELECT lot_id, b.source AS source, b.reference AS reference, b.compared AS compared, b.discount AS discount, b.confidence AS confidence FROM (SELECT lot_id, arg_max({{'source': source, 'reference': CAST(reference AS DOUBLE), 'compared': CAST(compared AS DOUBLE), 'discount': discount, 'confidence': confidence}}, (source <> 'LAUDO_JUDICIAL', confidence, discount, source)) AS b FROM (SELECT *, {EXACT_SQL} AS discount FROM analyses) GROUP BY lot_id)", with_lots=True)
 def best_by_tuple(spark, sf_dir):
     """One analysis for each lot, market sources first."""
-    return market.best_analysis(_analyses(spark, sf_dir)).select("lot_id", "source")
+    return market.best_analysis(_analyses(spark, sf_dir)).select("lot_id", "source", *dbl("reference", "compared", "discount", "confidence"))
 
 
 @query(f"SELECT lot_id, CAST(appraisal AS DOUBLE) AS reference, CASE WHEN abs(d * 100 - floor(d * 100) - 0.5) < 1e-9 THEN round_even(d, 2) ELSE round(d, 2) END AS discount FROM (SELECT lot_id, appraisal, CASE WHEN appraisal <= 0 THEN 0 ELSE CAST((appraisal - first_min) * 100 AS DOUBLE) / CAST(appraisal AS DOUBLE) END AS d FROM lots)", with_lots=True)
@@ -438,15 +415,21 @@ def _scored(spark, sf_dir):
     return score.scored(rows, AS_OF)
 
 
-@query(f""", {CURRENT_SQL}, hist AS (SELECT auctioneer_id, count(*) FILTER (status IN ('ARREMATADO', 'DESERTO', 'SUSPENSO')) AS c, count(*) FILTER (status IN ('DESERTO', 'SUSPENSO')) AS b FROM lots GROUP BY auctioneer_id)
+#: Confirmed fields among those expected of the asset, in ten thousand millionths of a point, halves rounded up.
+QUALITY_SQL = """quality AS (SELECT lot_id, CASE WHEN lot_id % 5 <> 0 THEN whole ELSE (whole + 1) // 2 END AS points FROM (SELECT lot_id, (2 * 20 * n * CAST(10000000000 AS HUGEINT) + expected) // (2 * expected) AS whole FROM (
+SELECT lot_id, CASE asset WHEN 'OUTRO' THEN 3 ELSE 7 END AS expected, CASE WHEN lot_id % 2 = 1 THEN 1 WHEN asset = 'IMOVEL' THEN 3 ELSE 2 END AS n FROM lots)))"""
+
+
+@query(f""", {CURRENT_SQL}, hist AS (SELECT auctioneer_id, count(*) FILTER (status IN ('ARREMATADO', 'DESERTO', 'SUSPENSO')) AS c, count(*) FILTER (status IN ('DESERTO', 'SUSPENSO')) AS b FROM lots GROUP BY auctioneer_id), {QUALITY_SQL}
 SELECT l.lot_id, least(coalesce(discount, 0) / 50, 1) * 40 AS discount_points,
 greatest(0, least(25, 25 - CASE WHEN occupied THEN 9 WHEN occupied IS NULL AND asset = 'IMOVEL' THEN 3 ELSE 0 END - CASE WHEN liens_text = 'hipoteca' THEN 5 WHEN liens_text = 'penhora,usufruto' THEN 7 ELSE 0 END - CASE WHEN asset = 'VEICULO' THEN 13 ELSE 0 END - CASE WHEN l.lot_id % 6 = 0 THEN 4 ELSE 0 END + CASE WHEN l.lot_id % 10 = 0 THEN 2 ELSE 0 END - CASE WHEN asset = 'IMOVEL' AND l.lot_id % 2 = 1 THEN 3 ELSE 0 END))::DOUBLE AS risk_points,
 CASE WHEN s.at IS NULL OR s.passed THEN 0 WHEN d <= 3 THEN 10 WHEN d <= 15 THEN 8 WHEN d <= 45 THEN 5 ELSE 3 END::DOUBLE AS window_points,
-round(CASE WHEN h.c < 5 THEN 2.5 ELSE 5.0 * (h.c - h.b) / h.c END, 2) AS history_points
-FROM lots l LEFT JOIN (SELECT *, floor((epoch_us(at) - epoch_us(TIMESTAMP '1998-06-01 12:00:00')) / 86400000000) AS d FROM current_session) s ON s.lot_id = l.lot_id JOIN hist h ON h.auctioneer_id = l.auctioneer_id""", with_lots=True)
+CAST(CASE WHEN h.c < 5 THEN 25000000000 ELSE (2 * 5 * CAST(h.c - h.b AS HUGEINT) * 10000000000 + h.c) // (2 * h.c) END AS DOUBLE) / 1e10 AS history_points,
+CAST(q.points AS DOUBLE) / 1e10 AS quality_points
+FROM lots l JOIN quality q ON q.lot_id = l.lot_id LEFT JOIN (SELECT *, floor((epoch_us(at) - epoch_us(TIMESTAMP '1998-06-01 12:00:00')) / 86400000000) AS d FROM current_session) s ON s.lot_id = l.lot_id JOIN hist h ON h.auctioneer_id = l.auctioneer_id""", with_lots=True)
 def score_components(spark, sf_dir):
     """M5 to M9."""
-    return _scored(spark, sf_dir).select("lot_id", *dbl("discount_points", "risk_points", "window_points"), F.round(F.col("history_points").cast("double"), 2).alias("history_points"))
+    return _scored(spark, sf_dir).select("lot_id", *dbl("discount_points", "quality_points", "risk_points", "window_points", "history_points"))
 
 
 @query("""SELECT lot_id, CASE WHEN score >= 80 THEN 'ALTA' WHEN score >= 60 THEN 'BOA' WHEN score >= 40 THEN 'MODERADA' ELSE 'BAIXA' END AS band FROM lots""", with_lots=True)
@@ -454,20 +437,26 @@ def score_band(spark, sf_dir):
     return lots(spark, sf_dir).select("lot_id", score.band(F.col("score")).alias("band"))
 
 
-@query()
+TOTALS_SQL = ORACLES["score_components"].replace("SELECT l.lot_id, least(coalesce", "SELECT l.lot_id, l.discount, least(coalesce")
+TOTALS_SQL = TOTALS_SQL[: TOTALS_SQL.index("SELECT l.lot_id, l.discount")] + f"""SELECT lot_id, CAST(tenths AS DOUBLE) / 10 AS score, CASE WHEN tenths >= 800 THEN 'ALTA' WHEN tenths >= 600 THEN 'BOA' WHEN tenths >= 400 THEN 'MODERADA' ELSE 'BAIXA' END AS band FROM (
+SELECT lot_id, CASE WHEN 2 * rest > 1000000000 OR 2 * rest = 1000000000 AND low % 2 = 1 THEN low + 1 ELSE low END AS tenths FROM (SELECT lot_id, total // 1000000000 AS low, total % 1000000000 AS rest FROM (
+SELECT lot_id, CAST(round(10 * (discount_points + risk_points + window_points)) AS HUGEINT) * 1000000000 + CAST(round(quality_points * 1e10) AS HUGEINT) + CAST(round(history_points * 1e10) AS HUGEINT) AS total FROM ({TOTALS_SQL[TOTALS_SQL.index("SELECT l.lot_id, l.discount") :].replace("l.discount, least", "least")}))))"""
+
+
+@query(TOTALS_SQL)
 def score_totals(spark, sf_dir):
-    """Parts, total and band of every lot."""
+    """The total, rounded once, half-even, and the band of every lot."""
     return _scored(spark, sf_dir).select("lot_id", F.col("score").cast("double").alias("score"), "band")
 
 
 # ---- joins and alerts ----
 
 
-@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+@query("""SELECT lot_id FROM lots l WHERE auctioneer_id IN (1, 2, 3, 5, 8, 13) AND EXISTS (SELECT 1 FROM sessions s WHERE s.lot_id = l.lot_id AND s.at BETWEEN TIMESTAMP '1998-06-01 12:00:00' AND TIMESTAMP '1999-06-01 12:00:00')""", with_lots=True)
 def semi_exists(spark, sf_dir):
-    """J4, F4."""
-    big = read(spark, sf_dir, "orders").filter("o_totalprice > 300000")
-    return read(spark, sf_dir, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    """Lots of some auctioneers with an event ahead."""
+    wanted = search.LotFilter(status=(), auctioneers=(1, 2, 3, 5, 8, 13), days_ahead=365)
+    return search.matching(lots(spark, sf_dir), wanted, events=sessions(spark, sf_dir), as_of=AS_OF).select("lot_id")
 
 
 ALERTS_SQL = "SELECT n_nationkey AS alert_id, n_nationkey % 5 <> 4 AS active, n_regionkey % 2 AS any_uf, n_nationkey % 3 AS any_asset, n_name, n_regionkey FROM {nation}"
@@ -494,7 +483,7 @@ def alert_matches(spark, sf_dir):
 
 
 @query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND p_size % 3 <> 0 THEN upper(p_name) ELSE CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_name END END AS title, CASE WHEN p_size % 4 = 0 THEN 'INDEFINIDA' ELSE p_type END AS nature0,
-CASE WHEN p_size % 2 = 0 AND p_size % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS changes FROM part""")
+CASE WHEN p_size % 2 = 0 AND p_size % 3 <> 0 THEN 1 ELSE 0 END + CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS changes, CASE WHEN p_size % 5 = 0 THEN 'penhora,arresto' ELSE 'penhora' END AS liens, concat_ws(',', CASE WHEN p_size % 2 = 0 AND p_size % 3 <> 0 THEN 'title' END, CASE WHEN p_size % 5 = 0 THEN 'liens' END) AS changed FROM part""")
 def merge_policy(spark, sf_dir):
     """Blanks take new values, values stay, lists grow; what changed is told."""
     base = read(spark, sf_dir, "part")
@@ -502,7 +491,7 @@ def merge_policy(spark, sf_dir):
     old = base.select("p_partkey", F.when(k % 2 != 0, F.col("p_name")).alias("title"), F.when(k % 4 == 0, "INDEFINIDA").otherwise(F.col("p_type")).alias("nature0"), F.array(F.lit("penhora")).alias("liens"))
     new = base.select("p_partkey", F.when(k % 3 != 0, F.upper("p_name")).alias("title"), F.lit(None).cast("string").alias("nature0"), F.when(k % 5 == 0, F.array(F.lit("penhora"), F.lit("arresto"))).otherwise(F.array(F.lit("penhora"))).alias("liens"))
     merged = identity.merge(old, new, "p_partkey", fill=("title",), append=("liens",), open_values={"nature0": "INDEFINIDA"})
-    return merged.select("p_partkey", "title", "nature0", F.size("changed").alias("changes"))
+    return merged.select("p_partkey", "title", "nature0", F.size("changed").alias("changes"), F.array_join("liens", ",").alias("liens"), F.array_join("changed", ",").alias("changed"))
 
 
 @query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id, event_type")
@@ -540,12 +529,13 @@ def most_complete(spark, sf_dir):
     return identity.most_complete(read(spark, sf_dir, "orders"), "o_custkey", ("o_orderpriority",), "o_orderkey").select("o_custkey", "o_orderkey")
 
 
-@query("SELECT user_id AS lot_id, event_type AS name, max(confidence) AS confidence FROM (SELECT user_id, event_type, CAST(CAST(value AS BIGINT) % 100 AS DOUBLE) / 100 AS confidence FROM (SELECT user_id, event_type, floor(value) AS value FROM events)) GROUP BY user_id, event_type")
+@query("""SELECT lot_id, name, b.confidence AS confidence, b.method AS method, b.value AS value FROM (SELECT lot_id, name, arg_max({'confidence': confidence, 'method': method, 'value': value}, (side = 0 AND method = 'MANUAL', confidence, side, CAST(value AS BIGINT))) AS b FROM (
+SELECT user_id AS lot_id, event_type AS name, CAST(CAST(floor(value) AS BIGINT) % 100 AS DOUBLE) / 100 AS confidence, CASE WHEN event_id % 7 = 0 THEN 'MANUAL' ELSE 'REGRA' END AS method, CAST(event_id AS VARCHAR) AS value, event_id % 2 AS side FROM events) GROUP BY lot_id, name)""")
 def surest_finding(spark, sf_dir):
     """The surer finding stays."""
-    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("lot_id"), F.col("event_type").alias("name"), ((F.floor("value") % 100).cast("double") / 100).alias("confidence"), F.lit("REGRA").alias("method"), F.col("event_id").cast("string").alias("value"))
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("lot_id"), F.col("event_type").alias("name"), ((F.floor("value") % 100).cast("double") / 100).alias("confidence"), F.when(F.col("event_id") % 7 == 0, "MANUAL").otherwise("REGRA").alias("method"), F.col("event_id").cast("string").alias("value"))
     old, new = rows.filter("value % 2 = 0"), rows.filter("value % 2 = 1")
-    return identity.keep_findings(old, new).select("lot_id", "name", "confidence")
+    return identity.keep_findings(old, new, last=F.col("value").cast("long")).select("lot_id", "name", "confidence", "method", "value")
 
 
 # ---- detection and extraction over notices that are written from orders ----
@@ -670,3 +660,6 @@ def gazette_envelopes(spark, sf_dir):
     one = pages.select(F.to_json(F.struct(F.array(F.struct(F.col("page_id").cast("string").alias("id"), F.col("url").alias("texto"), (F.col("page_id") % 7).cast("string").alias("nomeOrgao"))).alias("items"))).alias("value"))
     two = pages.filter("page_id % 2 = 0").select(F.to_json(F.struct(F.array(F.struct(F.col("page_id").cast("string").alias("identificador"), F.col("url").alias("conteudo"), (F.col("page_id") % 7).cast("string").alias("orgao"))).alias("resultado"))).alias("value"))
     return files.gazette(one.unionByName(two)).select("external_id", "text", "organ")
+
+
+from . import records  # noqa: E402, F401  registers its queries
