@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from .text import comparable
 
 #: Fixed values, first match first: words of a register's status column.
-REGISTER_STATUS = (("suspens", "SUSPENSO"), ("cancelad", "CANCELADO"), ("inativ", "INATIVO"), ("irregular", "IRREGULAR"), ("regular", "REGULAR"), ("ativ", "REGULAR"))
+REGISTER_STATUS = (
+    ("suspens", "SUSPENSO"),
+    *((w, "INATIVO") for w in ("cancel", "baixad", "inativ", "destitu", "exonerad")),
+    *((w, "ATIVO") for w in ("ativ", "em exercicio", "em atividade", "regular", "habilitad")),
+)
 #: Fixed values, first match first: words of a listing's status.
 LOT_STATUS = (("suspens", "SUSPENSO"), ("cancelad", "CANCELADO"), ("arrematad", "ARREMATADO"), ("desert", "DESERTO"), ("encerrad", "ENCERRADO"))
 
@@ -29,10 +33,15 @@ def lot_status(c: Column) -> Column:
 
 
 def time_left(at: Column, as_of: Column) -> Column:
-    """Days and a level of urgency until a moment: alta within a day, media within seven."""
-    days = F.floor((F.unix_micros(at.cast("timestamp")) - F.unix_micros(as_of.cast("timestamp"))) / 86_400_000_000)
-    level = F.when(at.isNull(), "indefinida").when(days < 0, "passada").when(days <= 1, "alta").when(days <= 7, "media").otherwise("baixa")
-    return F.struct(days.alias("days"), level.alias("urgency"))
+    """Whole days until a moment, a level of urgency (alta within a day, media within seven) and the words for it."""
+    micros = F.unix_micros(at.cast("timestamp")) - F.unix_micros(as_of.cast("timestamp"))
+    minutes = F.floor(F.abs(micros) / 60_000_000)
+    days = F.floor(minutes / 1440)
+    hours = F.floor(minutes / 60)
+    amount = F.when(days >= 2, F.concat(days.cast("string"), F.lit(" dias"))).when(hours >= 2, F.concat(hours.cast("string"), F.lit(" horas"))).when(minutes >= 2, F.concat(minutes.cast("string"), F.lit(" minutos"))).otherwise("menos de 1 minuto")
+    level = F.when(at.isNull(), "nenhuma").when(micros < 0, "encerrada").when(days <= 1, "alta").when(days <= 7, "media").otherwise("baixa")
+    words = F.when(at.isNull(), "sem data de praça").when(micros < 0, F.concat(F.lit("encerrada há "), amount)).otherwise(F.concat(F.lit("faltam "), amount))
+    return F.struct(F.floor(micros / 86_400_000_000).alias("days"), level.alias("urgency"), words.alias("words"))
 
 
 def category(nature: Column, zone: Column) -> Column:

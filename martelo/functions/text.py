@@ -93,6 +93,16 @@ def first_phone(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"(\(?\d{2}\)?\s?9?\d{4}[-\s]?\d{4})", 1), F.lit(""))
 
 
+def first_site(hrefs: Column) -> Column:
+    """The first web address of a list that is no court's or government's."""
+    return F.get(F.filter(hrefs, lambda h: h.rlike("(?i)^https?://") & ~h.rlike(r"(?i)(?:jus|gov)\.br(?:/|$)")), F.lit(0))
+
+
+def comarca_label(c: Column) -> Column:
+    """The name after 'comarca de', 'circunscrição de' or 'foro de' in running text."""
+    return tidy(F.nullif(F.regexp_extract(c, r"(?i)(?:comarca|circunscri[cç][aã]o|foro)\s+(?:judici[aá]ria\s+)?(?:de|da|do)\s+([A-ZÁÂÃÉÊÍÓÔÕÚÇ][\wÀ-ÿ'\s-]{2,60})", 1), F.lit("")))
+
+
 def evidence(original: Column, start: Column, end: Column, margin: int = 110) -> Column:
     """The original around [start, end) (from 0), tidied and cut at 600 letters."""
     low = F.greatest(start - margin, F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse, present, text
 from ..operators import agenda, alerts, events, extract, facets, identity, market, outputs, score, search, terms
-from ..sources import files, html
+from ..sources import dockets, documents, files, html, profiles, registry
 from ..streaming import windows
 from .lots import AS_OF, in_duckdb, lots, sessions, stated
 from .registered import ORACLES, PLAIN, QUERIES, dbl, query, read
@@ -202,11 +202,13 @@ def written_money_local_day(spark, sf_dir):
     return lots(spark, sf_dir).select("lot_id", text.brazilian_money(F.col("appraisal")).alias("money"), parse.local_day(F.col("collected_at")).cast("string").alias("local_day"))
 
 
-@query("""SELECT lot_id, d AS days, CASE WHEN at IS NULL THEN 'indefinida' WHEN d < 0 THEN 'passada' WHEN d <= 1 THEN 'alta' WHEN d <= 7 THEN 'media' ELSE 'baixa' END AS urgency FROM (SELECT lot_id, at, CAST(floor((epoch_us(at) - epoch_us(TIMESTAMP '1998-06-01 12:00:00')) / 86400000000) AS BIGINT) AS d FROM sessions WHERE ordinal = 1)""", with_lots=True)
+@query("""SELECT lot_id, d AS days, CASE WHEN at IS NULL THEN 'nenhuma' WHEN u < 0 THEN 'encerrada' WHEN abs(u) // 86400000000 <= 1 THEN 'alta' WHEN abs(u) // 86400000000 <= 7 THEN 'media' ELSE 'baixa' END AS urgency,
+CASE WHEN at IS NULL THEN 'sem data de praça' ELSE CASE WHEN u < 0 THEN 'encerrada há ' ELSE 'faltam ' END || CASE WHEN abs(u) >= 172800000000 THEN CAST(abs(u) // 86400000000 AS VARCHAR) || ' dias' WHEN abs(u) >= 7200000000 THEN CAST(abs(u) // 3600000000 AS VARCHAR) || ' horas' WHEN abs(u) >= 120000000 THEN CAST(abs(u) // 60000000 AS VARCHAR) || ' minutos' ELSE 'menos de 1 minuto' END END AS words
+FROM (SELECT lot_id, at, epoch_us(at) - epoch_us(TIMESTAMP '1998-06-01 12:00:00') AS u, CAST(floor((epoch_us(at) - epoch_us(TIMESTAMP '1998-06-01 12:00:00')) / 86400000000) AS BIGINT) AS d FROM sessions WHERE ordinal = 1)""", with_lots=True)
 def time_left(spark, sf_dir):
     """X33."""
     left = present.time_left(F.col("at"), F.lit(AS_OF).cast("timestamp_ntz"))
-    return sessions(spark, sf_dir).filter("ordinal = 1").select("lot_id", left["days"].alias("days"), left["urgency"].alias("urgency"))
+    return sessions(spark, sf_dir).filter("ordinal = 1").select("lot_id", left["days"].alias("days"), left["urgency"].alias("urgency"), left["words"].alias("words"))
 
 
 # ---- sessions, agenda, calendar ----
@@ -594,16 +596,95 @@ def fuse_rule_model(spark, sf_dir):
 # ---- pages ----
 
 
-@query()
+@query("SELECT page_id, n, href, label FROM (SELECT page_id, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS n FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>') AS l FROM pages)) AS q, LATERAL (SELECT regexp_extract(t, 'href=\"([^\"]*)\"', 1) AS href, trim(regexp_extract(t, '>([^<]*)<', 1)) AS label) WHERE href <> ''")
 def html_links(spark, sf_dir):
     """Every link of every page."""
     return html.links(read(spark, sf_dir, "pages"))
 
 
-@query()
+def _listing(spark, sf_dir):
+    """Listing pages of four cards and a menu, one for each customer, as most platforms write them."""
+    k = F.col("c_custkey").cast("string")
+    card = lambda n: F.concat(F.lit(f"<div class='lote-card destaque'><h2>Lote {n} de "), F.col("c_name"), F.lit(f"</h2><img src='/f{n}a.jpg'><img src='f{n}b.jpg'><a href='lotes/"), k, F.lit(f"-{n}'>ver</a><span class='badge'>Aberto</span><p>Avaliação: R$ {n}50.000,00</p><p>1ª praça: 10/0{n}/2026 às 14h30, lance de R$ {n}50.000,00</p></div>"))
+    menu = "<ul><li class='menu-item'>Início</li><li class='menu-item'>Quem somos</li></ul><div class='card-footer'>Rodapé sem lote nenhum</div>"
+    page = F.concat(F.lit(f"<html><body>{menu}<section>"), *(card(n) for n in (1, 2, 3, 4)), F.lit("</section></body></html>"))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.lit("https://exemplo.invalid/lista/").alias("url"), page.alias("html"))
+
+
+@query("SELECT c_custkey AS page_id, CAST(n - 1 AS INTEGER) AS n, 'Lote ' || n || ' de ' || c_name || ' ver Aberto Avaliação: R$ ' || n || '50.000,00 1ª praça: 10/0' || n || '/2026 às 14h30, lance de R$ ' || n || '50.000,00' AS text FROM customer, (VALUES (1), (2), (3), (4)) AS t(n)")
 def html_cards(spark, sf_dir):
     """The largest list of cards of every page."""
-    return html.cards(read(spark, sf_dir, "pages"))
+    return html.cards(_listing(spark, sf_dir))
+
+
+@query("""SELECT c_custkey AS page_id, 'Lote ' || n || ' de ' || c_name AS title, 'https://exemplo.invalid/lista/lotes/' || c_custkey || '-' || n AS link, 'https://exemplo.invalid/f' || n || 'a.jpg,https://exemplo.invalid/lista/f' || n || 'b.jpg' AS photos, n * 100000.0 + 50000 AS appraisal, n * 100000.0 + 50000 AS first_min,
+make_timestamp(2026, n, 10, 17, 30, 0.0) AS first_at, 'Aberto' AS status FROM customer, (VALUES (1), (2), (3), (4)) AS t(n)""")
+def scraped_lots(spark, sf_dir):
+    """Lots of listing pages by the platforms' profile; blocks without a sign of a lot go."""
+    rows = profiles.typed(profiles.values(_listing(spark, sf_dir), profiles.PLATFORM), profiles.PLATFORM)
+    return rows.select("page_id", F.col("titulo").alias("title"), F.col("url_detalhe").alias("link"), F.array_join("fotos", ",").alias("photos"), *(F.col(a).cast("double").alias(b) for a, b in (("valor_avaliacao", "appraisal"), ("valor_minimo_primeira", "first_min"))), F.col("data_primeira_praca").alias("first_at"), "status")
+
+
+@query("SELECT c_custkey AS page_id, 'https://exemplo.invalid/lista/lotes/' || c_custkey || '-' || n AS link, 'Rua ' || c_custkey AS address, CASE WHEN n = 1 THEN 'da lista' ELSE 'do detalhe ' || c_custkey END AS description, 5.0::DOUBLE AS fee FROM customer, (VALUES (1), (2), (3), (4)) AS t(n)")
+def scraped_details(spark, sf_dir):
+    """Detail pages fill only what the listing left open."""
+    lots = profiles.typed(profiles.values(_listing(spark, sf_dir), profiles.PLATFORM), profiles.PLATFORM).withColumn("descricao", F.when(F.col("titulo").startswith("Lote 1 "), "da lista"))
+    k = F.regexp_extract("url_detalhe", r"lotes/(\d+)-", 1)
+    pages = lots.select(F.col("url_detalhe").alias("url"), F.concat(F.lit("<main><div class='descricao-lote'>do detalhe "), k, F.lit("</div><p class='address'>Rua "), k, F.lit("</p><p>Comissão do leiloeiro: 5% sobre o lance</p></main>")).alias("html"))
+    found = profiles.with_details(lots, pages, profiles.PLATFORM)
+    return found.select("page_id", F.col("url_detalhe").alias("link"), F.col("endereco").alias("address"), F.col("descricao").alias("description"), F.col("comissao_percentual").cast("double").alias("fee"))
+
+
+@query("""SELECT s_suppkey AS page_id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN '12' || s_suppkey % 9 || '/2010' ELSE '45' || s_suppkey % 9 END AS licence, CASE WHEN s_suppkey % 2 = 0 THEN 'SUSPENSO' ELSE 'ATIVO' END AS status, 'a' || s_suppkey || '@x.com.br' AS email, CASE WHEN s_suppkey % 2 = 1 THEN 'https://site' || s_suppkey || '.com.br' END AS site FROM supplier""")
+def register_auctioneers(spark, sf_dir):
+    """Registers as tables with known headers or as cards; repeats go, the fuller row stays."""
+    k = F.col("s_suppkey")
+    number = (k % 9).cast("string")
+    row = lambda mail: F.concat(F.lit("<tr><td>"), F.col("s_name"), F.lit("</td><td>nº 12"), number, F.lit("/2010</td><td>Suspensa</td><td>"), mail, F.lit("</td></tr>"))
+    mail = F.concat(F.lit("a"), k.cast("string"), F.lit("@x.com.br"))
+    table = F.concat(F.lit("<table><tr><th>Nome</th><th>Matrícula</th><th>Situação</th><th>Contato</th></tr>"), row(F.lit("")), row(mail), F.lit("<tr><td>Total: 2</td><td></td><td></td><td></td></tr></table>"))
+    card = lambda name, own: F.concat(F.lit("<div class='leiloeiro'><h3>"), name, F.lit("</h3><p>MATRÍCULA: 45"), number, F.lit("</p><p>Em exercício</p><p>"), own, F.lit("</p><a href='https://www.tjse.jus.br/x'>t</a><a href='https://site"), k.cast("string"), F.lit(".com.br'>s</a></div>"))
+    cards = F.concat(F.lit("<div>"), card(F.col("s_name"), mail), card(F.col("s_name"), F.lit("")), card(F.lit("abc"), F.lit("")), F.lit("</div>"))
+    pages = read(spark, sf_dir, "supplier").select(k.alias("page_id"), F.when(k % 2 == 0, table).otherwise(cards).alias("html"))
+    return html.register_rows(pages).select("page_id", "name", "licence", "status", "email", "site")
+
+
+@query("""SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Maceió' END AS comarca, CASE WHEN o_orderkey % 2 = 0 THEN '2ª Vara' END AS chamber, CASE WHEN o_orderkey % 2 = 0 THEN 'Edital 7' ELSE 'Edital de leilão 10/11/2026' END AS title, TIMESTAMP '2026-11-10 03:00:00' AS first_at,
+CASE WHEN o_orderkey % 2 = 0 THEN '/e/' || o_orderkey || '.pdf' ELSE 'x' || o_orderkey || '.pdf' END AS document FROM orders""")
+def court_notice_pages(spark, sf_dir):
+    """courts' tables by known headers, or else links to notices."""
+    k = F.col("o_orderkey").cast("string")
+    table = F.concat(F.lit("<table><tr><th>Comarca</th><th>Vara</th><th>Data da praça</th><th>Edital</th></tr><tr><td>Maceió</td><td>2ª Vara</td><td>10/11/2026</td><td><a href='/e/"), k, F.lit(".pdf'>Edital 7</a></td></tr></table>"))
+    links = F.concat(F.lit("<a href='x"), k, F.lit(".pdf'>Edital de leilão 10/11/2026</a><a href='y.pdf'>Balanço anual</a><a href='/contato'>Edital</a>"))
+    pages = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page_id"), F.lit("https://exemplo.invalid/").alias("url"), F.when(F.col("o_orderkey") % 2 == 0, table).otherwise(links).alias("html"))
+    return html.court_notices(pages).select("page_id", "comarca", "chamber", "title", F.col("at").alias("first_at"), "document")
+
+
+@query("""SELECT 'djen-' || lower(c) AS slug, 'DIARIO_OFICIAL' AS kind, u AS uf, TRUE AS blocked FROM (VALUES ('TJAL', 'AL'), ('TJBA', 'BA'), ('TJPE', 'PE'), ('TJSE', 'SE'), ('TRF1', 'BA'), ('TRF5', NULL)) AS t(c, u)
+UNION ALL SELECT s, 'LEILOEIRO', u, s <> 'demo-leiloes-nordeste' FROM (VALUES ('demo-leiloes-nordeste', 'AL'), ('superbid', 'PE'), ('sodre-santoro', 'PE'), ('mega-leiloes', 'PE'), ('zuk-leiloes', 'PE'), ('vip-leiloes', 'PE'), ('daf-leiloes', 'PE'), ('freitas-leiloeiro', 'PE'), ('leje-leiloes', 'PE'), ('regional-al-1', 'AL'), ('regional-se-1', 'SE'), ('regional-pe-1', 'PE'), ('regional-ba-1', 'BA')) AS t(s, u)""")
+def connectors(spark, sf_dir):
+    """The gazettes' and sites' connectors, and which may not run."""
+    return profiles.gazettes(spark).unionByName(profiles.sites(spark)).select("slug", "kind", "uf", registry.blocked().alias("blocked"))
+
+
+@query("SELECT o_orderkey AS doc_id, 'Hasta publica sinalizada - Execução (Vara ' || o_custkey % 7 || ')' AS title, 'Designado leilão' AS description, 'TJAL' AS court, 'AL' AS uf FROM orders WHERE o_orderkey % 3 = 0 AND o_orderdate >= DATE '1998-05-02'")
+def docket_lots(spark, sf_dir):
+    """Dockets with a recent movement of an auction, as lots that only signal one."""
+    k = F.col("o_orderkey")
+    move = lambda name, at: F.struct(F.lit(name).alias("name"), at.alias("at"))
+    moves = F.when(k % 3 == 0, F.array(move("Conclusos", F.lit("1998-01-01")), move("Designado leilão", F.lit("1998-02-01")))).otherwise(F.array(move("Conclusos", F.lit("1998-01-01"))))
+    rows = read(spark, sf_dir, "orders").select(k.alias("doc_id"), F.lit(None).cast("string").alias("case_number"), F.lit("TJAL").alias("court"), F.lit("Execução").alias("case_class"), F.concat(F.lit("Vara "), (F.col("o_custkey") % 7).cast("string")).alias("organ"), F.lit("assunto").alias("subject"), F.lit("G1").alias("grade"), moves.alias("movements"), F.col("o_orderdate").alias("updated_at"))
+    return dockets.as_lots(dockets.with_auctions(rows, AS_OF, days=30)).select("doc_id", "title", "description", "court", "uf")
+
+
+@query("SELECT doc_id, CASE WHEN length(trim(text)) < 40 THEN '' ELSE trim(text) END AS text, CASE WHEN doc_id % 2 = 0 THEN 'OCR' ELSE 'PDF_TEXTO' END AS origin, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS ocr_pages, 2 AS pages FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Primeira pagina.' || chr(10) || chr(10) || repeat('letra ', 30) ELSE 'x' || chr(10) || chr(10) || 'curta' END AS text FROM documents)")
+def document_texts(spark, sf_dir):
+    """pages' texts put together; a scanned page takes its recognised text if that is longer."""
+    docs = read(spark, sf_dir, "documents").select("doc_id")
+    even = F.col("doc_id") % 2 == 0
+    page = lambda n, own, seen: F.struct(F.lit(n).alias("page"), own.alias("text"), seen.alias("ocr_text"))
+    pages = F.array(page(1, F.when(even, "Primeira pagina.").otherwise("x"), F.lit("y").cast("string")), page(2, F.when(even, "curta").otherwise("curta"), F.when(even, F.repeat(F.lit("letra "), 30))))
+    return documents.assembled(docs.select("doc_id", F.inline(pages))).select("doc_id", "text", "origin", "ocr_pages", "pages")
 
 
 # ---- event time ----

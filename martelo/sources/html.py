@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from html.parser import HTMLParser
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
@@ -21,21 +20,26 @@ class Node:
         self.tag, self.attributes, self.parent, self.children, self.text = tag, attributes, parent, [], []
 
     def words(self) -> str:
-        return " ".join(" ".join(self._pieces()).split())
-
-    def _pieces(self):
-        for piece in self.text:
-            if isinstance(piece, Node):
-                if piece.tag not in ("script", "style"):
-                    yield from piece._pieces()
-            else:
-                yield piece
+        """The text below, without scripts and styles, in single blanks. Pages may nest to any depth."""
+        pieces, waiting = [], [self]
+        while waiting:
+            piece = waiting.pop()
+            if not isinstance(piece, Node):
+                pieces.append(piece)
+            elif piece is self or piece.tag not in ("script", "style"):
+                waiting.extend(reversed(piece.text))
+        return " ".join(" ".join(pieces).split())
+
+    def below(self):
+        """Every node below, in the order of the page."""
+        waiting = list(reversed(self.children))
+        while waiting:
+            node = waiting.pop()
+            yield node
+            waiting.extend(reversed(node.children))
 
     def find(self, *tags: str):
-        for c in self.children:
-            if c.tag in tags:
-                yield c
-            yield from c.find(*tags)
+        return (node for node in self.below() if node.tag in tags)
 
 
 class Tree(HTMLParser):
@@ -85,74 +89,163 @@ def table_rows_of(html: str | None) -> list[dict[str, str]]:
     return rows
 
 
-def cards_of(html: str | None) -> list[str]:
-    """Texts of the largest group of siblings with one tag and class, three or more."""
+def card_nodes(root: Node) -> list[Node]:
+    """The largest group of siblings with one tag and class, three or more; the first of equals."""
     best: list[Node] = []
-
-    def walk(node: Node) -> None:
-        nonlocal best
-        counts = Counter((c.tag, c.attributes.get("class") or "") for c in node.children)
-        for kind, n in counts.items():
-            if n >= LEAST_CARDS and n > len(best) and kind[1]:
-                best = [c for c in node.children if (c.tag, c.attributes.get("class") or "") == kind]
+    for node in (root, *root.below()):
+        groups: dict[tuple[str, str], list[Node]] = {}
         for c in node.children:
-            walk(c)
+            groups.setdefault((c.tag, c.attributes.get("class") or ""), []).append(c)
+        for kind, members in groups.items():
+            if kind[1] and len(members) >= LEAST_CARDS and len(members) > len(best):
+                best = members
+    return best
+
+
+def cards_of(html: str | None) -> list[str]:
+    return [c.words() for c in card_nodes(Tree(html or "").root)]
+
 
-    walk(Tree(html or "").root)
-    return [c.words() for c in best]
+#: Letters of pages that a worker unpacks at once.
+SLICE_LETTERS = 1 << 20
 
 
-def _mapped(pages: DataFrame, key: str, html: str, schema: str, rows) -> DataFrame:
-    """pages through rows(html), batch by batch."""
+def mapped(pages: DataFrame, columns: list[str], schema: str, rows) -> DataFrame:
+    """Rows (key, n, ...) of rows(*other columns) for each page; columns starts with the key. Batches are taken in
+    slices of bounded size, a longer page by itself."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    out = pages.sparkSession.createDataFrame([], f"`{key}` {dict(pages.dtypes)[key]}, {schema}").schema
+    out = pages.sparkSession.createDataFrame([], f"`{columns[0]}` {dict(pages.dtypes)[columns[0]]}, {schema}").schema
     arrow = to_arrow_schema(out)
 
+    def batch_of(made: list[tuple[Any, ...]]):
+        lists = list(zip(*made, strict=True)) or [[]] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(lists, arrow, strict=True)], schema=arrow)
+
     def run(batches):
         for batch in batches:
             made: list[tuple[Any, ...]] = []
-            for k, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                made += [(k, n, *r) for n, r in enumerate(rows(text))]
-            columns = list(zip(*made, strict=True)) or [[]] * len(arrow)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+            size = 0
+            for i in range(batch.num_rows):
+                k, *own = (c[i].as_py() for c in batch.columns)
+                made += [(k, n, *r) for n, r in enumerate(rows(*own))]
+                size += sum(len(x) for x in own if isinstance(x, str))
+                if size > SLICE_LETTERS:
+                    yield batch_of(made)
+                    made, size = [], 0
+            yield batch_of(made)
 
-    return pages.select(key, html).mapInArrow(run, out)
+    # a page's address may stand in two places of the call
+    picked = [F.col(c).alias(f"_{i}") for i, c in enumerate(columns)]
+    return pages.select(*picked).mapInArrow(run, out)
 
 
 def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    return _mapped(pages, key, html, "n int, href string, label string", links_of)
+    return mapped(pages, [key, html], "n int, href string, label string", links_of)
 
 
 def tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    return _mapped(pages, key, html, "n int, cells map<string,string>", lambda t: [(list(r.items()),) for r in table_rows_of(t)])
+    return mapped(pages, [key, html], "n int, cells map<string,string>", lambda t: [(list(r.items()),) for r in table_rows_of(t)])
 
 
 def cards(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    return _mapped(pages, key, html, "n int, text string", lambda t: [(x,) for x in cards_of(t)])
+    return mapped(pages, [key, html], "n int, text string", lambda t: [(x,) for x in cards_of(t)])
 
 
 def pdf_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     return links(pages, key, html).filter(F.lower("href").rlike(r"\.pdf(\?|#|$)"))
 
 
-def register_rows(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Auctioneers of a register's pages (name, licence, status, districts), read from tables by their headers."""
-    from ..functions.present import register_status
-    from ..functions.text import districts, first_email, first_phone, tidy
+#: Words of the headers that a register's and a court's tables are known by.
+REGISTER_HEADERS = ("nome", "leiloeiro", "matricula", "registro", "situacao", "comarca")
+NOTICE_HEADERS = ("processo", "comarca", "edital", "data", "leilao", "vara", "leiloeiro")
+
+
+def known_tables(pages: DataFrame, headers: tuple[str, ...], least: int, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Rows of tables whose headers hold at least `least` of the words, without accents; header names likewise."""
+    from ..functions.text import comparable
 
-    cell = lambda *names: F.coalesce(*(tidy(F.try_element_at("cells", F.lit(n))) for n in names))
     rows = tables(pages, key, html)
-    return rows.select(key, "n", cell("nome", "leiloeiro").alias("name"), cell("matrícula", "matricula", "registro").alias("licence"), register_status(cell("situação", "situacao", "status")).alias("status"), districts(cell("comarca", "comarcas")).alias("districts"), first_email(cell("contato", "e-mail")).alias("email"), first_phone(cell("contato", "telefone")).alias("phone")).filter(F.col("name").isNotNull())
+    plain = F.transform_keys("cells", lambda k, _: comparable(F.regexp_replace(k, "__href$", "\u0001")))
+    rows = rows.withColumn("cells", F.transform_keys(plain, lambda k, _: F.replace(k, F.lit("\u0001"), F.lit("__href"))))
+    names = F.array_join(F.filter(F.map_keys("cells"), lambda k: ~k.endswith("__href")), " ")
+    hits = sum((F.contains(names, F.lit(h)).cast("int") for h in headers), F.lit(0))
+    return rows.filter(hits >= least)
+
+
+def by_label(*labels: str) -> Column:
+    """The first filled cell whose header holds one of the labels, in the labels' order."""
+    from ..functions.text import tidy
+
+    def one(label: str) -> Column:
+        named = F.map_filter("cells", lambda k, v: F.contains(k, F.lit(label)) & ~k.endswith("__href") & (F.trim(v) != ""))
+        return tidy(F.get(F.map_values(named), F.lit(0)))
 
+    return F.coalesce(*map(one, labels))
 
-def scraped(pages: DataFrame, profile: dict, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Lots of listing pages by a declarative profile {field: (pattern, group, type)} over each card's text. Cards
-    without any price are noise and go."""
-    from ..functions.parse import typed
 
-    found = cards(pages, key, html)
-    made = found.select(key, "n", *(typed(F.nullif(F.regexp_extract("text", pattern, group), F.lit("")), kind).alias(name) for name, (pattern, group, kind) in profile.items()))
-    prices = [name for name, (_, _, kind) in profile.items() if kind == "moeda"]
-    return made.filter(F.coalesce(*(F.col(p) for p in prices)).isNotNull()) if prices else made
+def first_href(*labels: str) -> Column:
+    """A link's target in the first such cell; any cell's without labels."""
+    def one(label: str) -> Column:
+        return F.get(F.map_values(F.map_filter("cells", lambda k, _: F.contains(k, F.lit(label)) & k.endswith("__href"))), F.lit(0))
+
+    return F.coalesce(*map(one, labels or ("",)))
+
+
+def register_rows(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Auctioneers of a register's pages (name, licence, status, districts, email, phone, site): from tables with known
+    headers, or on pages without such rows from repeated cards. Of one name and licence on a page the row with most
+    contacts stays, the first of equals."""
+    from ..functions.present import register_status
+    from ..functions.text import comparable, districts, first_email, first_phone, first_site, tidy, unaccented
+
+    contact = F.array_join(F.map_values(F.map_filter("cells", lambda k, _: ~k.endswith("__href"))), " ")
+    site = first_href("site", "endereco eletronico", "pagina", "url")
+    number = by_label("matricula", "registro", "numero", "jucep")
+    licence = F.coalesce(F.nullif(F.regexp_extract(number, r"\b(\d{2,6}(?:[/-]\d{2,4})?)\b", 1), F.lit("")), number)
+    columns = [by_label("nome", "leiloeiro", "razao social").alias("name"), licence.alias("licence"), register_status(by_label("situacao", "status", "condicao")).alias("status"), districts(by_label("comarca", "municipio", "atuacao", "sede")).alias("districts"), first_email(contact).alias("email"), first_phone(contact).alias("phone"), F.when(site.startswith("http"), site).alias("site")]
+    listed = known_tables(pages, REGISTER_HEADERS, 1, key, html).select(key, "n", *columns)
+    good = (F.length("name") >= 5) & ~comparable(F.col("name")).startswith("total")
+    listed = listed.filter(good)
+    rest = pages.join(listed.select(key).distinct(), key, "left_anti")
+    found = mapped(rest, [key, html], "n int, head string, text string, hrefs array<string>", register_cards_of)
+    low = unaccented(F.col("text"))
+    own = [
+        tidy(F.coalesce(F.nullif(F.col("head"), F.lit("")), F.substring_index("text", " | ", 1))).alias("name"),
+        F.nullif(F.regexp_extract(low, r"(?i)(?:matricula|registro|jucea?l?|jucese|jucepe)\s*:?\s*(?:n[o.]?\s*)?([\w/-]+)", 1), F.lit("")).alias("licence"),
+        register_status(F.col("text")).alias("status"), F.array().cast("array<string>").alias("districts"), first_email(F.col("text")).alias("email"), first_phone(F.col("text")).alias("phone"), first_site(F.col("hrefs")).alias("site"),
+    ]
+    carded = found.filter(F.length("text") >= 10).select(key, "n", *own).filter(good)
+    every = listed.unionByName(carded)
+    filled = sum((F.col(c).isNotNull().cast("int") for c in ("site", "email", "phone")), F.lit(0))
+    best = every.groupBy(key, comparable(F.col("name")).alias("_name"), "licence").agg(F.max_by(F.struct(*every.columns), F.struct(filled, -F.col("n"))).alias("_row"))
+    return best.select("_row.*")
+
+
+def register_cards_of(html: str | None) -> list[tuple[str, str, list[str]]]:
+    """(heading, texts between bars, link targets) of each card."""
+    made = []
+    for card in card_nodes(Tree(html or "").root):
+        head = next((n.words() for n in card.find("h1", "h2", "h3", "h4", "strong", "b")), "")
+        parts = [n.words() for n in card.children] or [card.words()]
+        made.append((head, " | ".join(p for p in parts if p), [h for n in card.find("a") if (h := n.attributes.get("href"))]))
+    return made
+
+
+def court_notices(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
+    """Notices of courts' pages (case_number, comarca, chamber, auctioneer, title, at, document): from tables with two
+    known headers or more, or on pages without such rows from links to PDFs that speak of an auction."""
+    from ..functions.parse import case_number, moment
+    from ..functions.text import tidy
+
+    body = F.array_join(F.map_values(F.map_filter("cells", lambda k, _: ~k.endswith("__href"))), " ")
+    columns = [case_number(body).alias("case_number"), by_label("comarca", "circunscricao", "foro", "municipio").alias("comarca"), by_label("vara", "juizo", "unidade").alias("chamber"), by_label("leiloeiro", "responsavel").alias("auctioneer"), F.substring(by_label("edital", "leilao", "titulo", "objeto", "descricao"), 1, 300).alias("title"), moment(F.coalesce(by_label("data", "praca", "sessao", "realizacao"), body)).alias("at"), first_href().alias("document")]
+    listed = known_tables(pages, NOTICE_HEADERS, 2, key, html).filter(F.length(body) >= 8).select(key, "n", *columns)
+    listed = listed.filter("case_number is not null or title is not null or comarca is not null")
+    rest = pages.join(listed.select(key).distinct(), key, "left_anti")
+    label = F.coalesce(tidy(F.col("label")), F.substring_index("href", "/", -1))
+    none = F.lit(None).cast("string")
+    linked = pdf_links(rest, key, html).filter(F.concat_ws(" ", label, "href").rlike(r"(?i)edital|leil[aã]o|hasta|praça|praca"))
+    linked = linked.select(key, "n", case_number(F.concat_ws(" ", label, "href")).alias("case_number"), none.alias("comarca"), none.alias("chamber"), none.alias("auctioneer"), F.substring(label, 1, 300).alias("title"), moment(label).alias("at"), F.col("href").alias("document"))
+    return listed.unionByName(linked)
