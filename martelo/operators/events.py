@@ -20,14 +20,17 @@ def wanted(sessions: DataFrame, lots: DataFrame) -> DataFrame:
     """(lot_id, kind, at, estimated, target): what a lot's sessions ask for.
 
     One dated first session and no other: a single session. Ordinals beyond 2 have no event. The deadline lies
-    DEADLINE_DAYS before the first dated session and is an estimate.
+    DEADLINE_DAYS before the first dated session and is an estimate. A lot has a few sessions, so they meet in a row.
     """
-    shape = sessions.groupBy("lot_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("at").isNotNull(), F.struct("ordinal", "at"))).alias("first"))
-    own = sessions.filter(F.col("at").isNotNull()).join(shape.select("lot_id", "n"), "lot_id")
-    kind = F.when((F.col("n") == 1) & (F.col("ordinal") == 1), "PRACA_UNICA").when(F.col("ordinal") == 1, "PRACA_PRIMEIRA").when(F.col("ordinal") == 2, "PRACA_SEGUNDA")
-    held = own.select("lot_id", kind.alias("kind"), "at", F.lit(False).alias("estimated")).filter(F.col("kind").isNotNull())
-    due = shape.filter(F.col("first").isNotNull()).select("lot_id", F.lit("PRAZO_HABILITACAO").alias("kind"), (F.col("first.at") - F.make_dt_interval(days=F.lit(DEADLINE_DAYS))).alias("at"), F.lit(True).alias("estimated"))
-    return held.unionByName(due).join(lots.select("lot_id", event_status(F.col("status")).alias("target")), "lot_id")
+    dated = F.col("at").isNotNull()
+    own = sessions.groupBy("lot_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when(dated & F.col("ordinal").between(1, 2), F.struct("ordinal", "at")))).alias("held"), F.min(F.when(dated, F.struct("ordinal", "at"))).alias("first"))
+    event = lambda kind, at, estimated: F.struct(kind.alias("kind"), at.alias("at"), F.lit(estimated).alias("estimated"))
+    kind = lambda ordinal: F.when((F.col("n") == 1) & (ordinal == 1), "PRACA_UNICA").when(ordinal == 1, "PRACA_PRIMEIRA").otherwise("PRACA_SEGUNDA")
+    held = F.transform("held", lambda s: event(kind(s["ordinal"]), s["at"], False))
+    due = F.array_compact(F.array(F.when(F.col("first").isNotNull(), event(F.lit("PRAZO_HABILITACAO"), F.col("first.at") - F.make_dt_interval(days=F.lit(DEADLINE_DAYS)), True))))
+    # one shuffle of the sessions, and the lots' status joins before the events come apart
+    known = own.join(lots.select("lot_id", event_status(F.col("status")).alias("target")), "lot_id")
+    return known.select("lot_id", F.inline(F.concat(held, due)), "target")
 
 
 def difference(stored: DataFrame, asked: DataFrame) -> DataFrame:

@@ -38,23 +38,42 @@ def discount(reference: Column, compared: Column) -> Column:
 def match_models(vehicles: DataFrame, table: DataFrame) -> DataFrame:
     """vehicles (id, brand, model, year) with the table row (ref_id, brand, model, year, value) most like each.
 
-    Candidates share brand and year; where there are none and a brand is stated, the whole table counts. Likeness
-    is found by joining tokens, so only rows that share one meet; another year is worth less; the least ref_id of
-    equals counts. No candidate list is ever held whole, and no pair without a common token is made.
+    Candidates share brand and year: these meet by an equi-join on both, so a brand's own name pairs nothing. Only a
+    vehicle without such candidates meets the whole table, by tokens, and then only by those of its tokens and the
+    row's that a pair of the least likeness must share: the rarest ones (a prefix filter). Another year is worth less;
+    the least ref_id of equals counts.
     """
     left = vehicles.select("id", F.upper(comparable(F.col("brand"))).alias("brand"), "year", tokens(F.concat_ws(" ", "brand", "model")).alias("t"))
     right = table.select("ref_id", F.col("brand").alias("ref_brand"), F.col("year").alias("ref_year"), tokens(F.concat_ws(" ", "brand", "model")).alias("r"))
     blocks = table.select("brand", "year").distinct().withColumn("blocked", F.lit(True))
-    known = left.join(blocks, ["brand", "year"], "left").withColumn("size", F.size("t"))
-    pairs = known.select("id", "brand", "year", "blocked", "size", F.explode("t").alias("token")).join(right.select("ref_id", "ref_brand", "ref_year", F.size("r").alias("ref_size"), F.explode("r").alias("token")), "token")
-    inside = F.col("blocked").isNull() | ((F.col("brand") == F.col("ref_brand")) & (F.col("year") == F.col("ref_year")))
-    shared = pairs.filter(inside).groupBy("id", "ref_id", "year", "ref_year", "size", "ref_size").agg(F.count(F.lit(1)).alias("common"))
-    jaccard = F.col("common") / (F.col("size") + F.col("ref_size") - F.col("common"))
-    score = F.when(F.col("year") != F.col("ref_year"), jaccard * float(OTHER_YEAR)).otherwise(jaccard)
-    best = shared.withColumn("likeness", score).groupBy("id").agg(F.max_by(F.struct("ref_id", "likeness", "ref_year"), F.struct("likeness", -F.col("ref_id"))).alias("b"))
+    known = left.join(blocks, ["brand", "year"], "left")
+    inside = known.filter("blocked").join(right, (F.col("brand") == F.col("ref_brand")) & (F.col("year") == F.col("ref_year")))
+    loose = _by_rare_tokens(known.filter("blocked is null"), right)
+    names = ["id", "ref_id", "year", "ref_year", "t", "r"]
+    pairs = inside.select(names).unionByName(loose.select(names)).withColumn("jaccard", likeness(F.col("t"), F.col("r")))
+    score = F.when(F.col("year") != F.col("ref_year"), F.col("jaccard") * float(OTHER_YEAR)).otherwise(F.col("jaccard"))
+    best = pairs.withColumn("likeness", score).groupBy("id").agg(F.max_by(F.struct("ref_id", "likeness", "ref_year"), F.struct("likeness", -F.col("ref_id"))).alias("b"))
     return best.filter(F.col("b.likeness") >= float(LEAST_LIKENESS)).select("id", F.col("b.ref_id").alias("ref_id"), F.round("b.likeness", 3).alias("likeness"))
 
 
+def _by_rare_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of left (t) and right (r) that may reach the least likeness, each once.
+
+    Of n tokens in one order for all, a pair that alike shares one of the first n - ceil(least * n) + 1 of either
+    side; the order is from the rarest in the table on, so common tokens seldom pair anything.
+    """
+    counts = right.select(F.explode("r").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+    def prefixes(df: DataFrame, key: str, words: str) -> DataFrame:
+        ranked = df.select(key, F.explode(words).alias("token")).join(counts, "token", "left")
+        own = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))).alias("w"))
+        most = F.size("w") - F.ceil(F.size("w") * float(LEAST_LIKENESS)).cast("int") + 1
+        return own.select(key, F.explode(F.slice(F.transform("w", lambda x: x["token"]), F.lit(1), most)).alias("token"))
+
+    met = prefixes(left, "id", "t").join(prefixes(right, "ref_id", "r"), "token").select("id", "ref_id").distinct()
+    return met.join(left, "id").join(right, "ref_id")
+
+
 def index_value(lots: DataFrame, index: DataFrame) -> DataFrame:
     """lots with value_m2, month and precision: the index's latest month for the place, the district's value in
     that month if there is one, else the city's; no city row, no value."""

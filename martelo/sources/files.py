@@ -23,10 +23,25 @@ ENVELOPES = ("items", "itens", "content", "data", "resultado")
 
 
 def vehicle_table(spark: SparkSession, path: str) -> DataFrame:
-    """A vehicle price mirror with '#' comment lines; brands upper-cased; the last row of a (code, year, month)."""
+    """A vehicle price mirror with '#' comment lines; brands upper-cased; the last row of a (code, year, month), by
+    file and place in it."""
     raw = spark.read.schema("codigo_fipe string, marca string, modelo string, ano_modelo int, combustivel string, valor decimal(14,2), mes_referencia string, demonstracao string").csv(path, header=True, comment="#", mode="PERMISSIVE")
     rows = raw.select(F.col("codigo_fipe").alias("ref_id"), F.upper(F.trim("marca")).alias("brand"), F.col("modelo").alias("model"), F.col("ano_modelo").alias("year"), F.col("combustivel").alias("fuel"), F.col("valor").alias("value"), F.col("mes_referencia").alias("month"), F.coalesce(F.lower(F.trim("demonstracao")).isin(*TRUE_WORDS), F.lit(False)).alias("demo"))
-    return rows.dropDuplicates(["ref_id", "year", "month"])
+    return last_rows(rows.withColumn("_n", F.monotonically_increasing_id()), ("ref_id", "year", "month"), "_n").drop("_n")
+
+
+def last_rows(rows: DataFrame, keys: tuple[str, ...], sequence: str) -> DataFrame:
+    """The last row of each key by the sequence; null keys are keys."""
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.col(sequence)).alias("_row")).select("_row.*")
+
+
+def upserted(stored: DataFrame, new: DataFrame, keys: tuple[str, ...], updates: tuple[str, ...]) -> DataFrame:
+    """Stored reference rows with new ones over them: a known key, null parts included, takes only the columns that
+    updates name; unknown keys come in whole. Loading a file twice changes nothing."""
+    mine, theirs = (df.select(*stored.columns, F.lit(n).alias("_side")) for n, df in enumerate((stored, new)))
+    rest = [c for c in stored.columns if c not in keys]
+    both = mine.unionByName(theirs).groupBy(*keys).agg(F.min_by(F.struct(*rest), "_side").alias("_old"), F.max_by(F.struct(*rest), "_side").alias("_new"))
+    return both.select(*keys, *(F.col(f"{'_new' if c in updates else '_old'}.{c}").alias(c) for c in rest)).select(stored.columns)
 
 
 def price_index(spark: SparkSession, path: str) -> DataFrame:

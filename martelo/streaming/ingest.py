@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,19 +47,26 @@ def deduplicated(publications: DataFrame, id_column: str = "external_id", time:
     return publications.withWatermark(time, within).dropDuplicatesWithinWatermark([id_column])
 
 
-def send_alerts(matches: DataFrame, sent_path: str, send: Callable[[DataFrame], None], schema: str = "alert_id bigint, lot_id bigint") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch body: sends what was not sent, and marks it only after sending succeeded (at least once)."""
+def send_alerts(sent_path: str, send: Callable[[DataFrame], None], schema: str = "alert_id bigint, lot_id bigint") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch body: sends what no earlier batch sent, and marks it only after sending succeeded (at least once).
+
+    A batch that comes again has the same marks as before: its own earlier marks don't count against it, and it writes
+    the same ones over them.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         try:
-            sent = spark.read.schema(schema).parquet(sent_path)
-        except Exception as error:  # noqa: BLE001  nothing was sent yet
-            if "PATH_NOT_FOUND" not in str(error):
+            sent = spark.read.schema(f"{schema}, batch bigint").parquet(sent_path).filter(F.col("batch") < number)
+        except AnalysisException as error:  # nothing was sent yet
+            if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            sent = spark.createDataFrame([], schema)
-        fresh = rows.join(sent, ["alert_id", "lot_id"], "left_anti")
-        send(fresh)
-        fresh.select("alert_id", "lot_id").write.mode("overwrite").parquet(f"{sent_path}/batch={number}")
+            sent = spark.createDataFrame([], f"{schema}, batch bigint")
+        fresh = rows.dropDuplicates(["alert_id", "lot_id"]).join(sent, ["alert_id", "lot_id"], "left_anti").persist()
+        try:
+            send(fresh)
+            fresh.select("alert_id", "lot_id").write.mode("overwrite").parquet(f"{sent_path}/batch={number}")
+        finally:
+            fresh.unpersist()
 
     return batch
