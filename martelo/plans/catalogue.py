@@ -363,10 +363,12 @@ def _analyses(spark, sf_dir):
     return market.appraisal_analysis(priced).unionByName(market.vehicle_analysis(priced, matches, _table(spark, sf_dir))).unionByName(market.index_analysis(indexed))
 
 
+#: The index's value times the area, in cents, half-even.
+AREA_SQL = HALF_EVEN.replace("(n)", "(CAST(value_m2 * 100 AS HUGEINT) * CASE WHEN lot_id % 2 = 0 THEN 685 ELSE 923 END)").replace(" d", " 10")
 ANALYSES_SQL = f""", {CURRENT_SQL}, {MATCH_SQL}, {INDEXED_SQL}, priced AS (SELECT v.*, CASE c.ordinal WHEN 1 THEN v.first_min ELSE v.second_min END AS minimum FROM valued v JOIN current_session c ON c.lot_id = v.lot_id),
 analyses AS (SELECT lot_id, 'LAUDO_JUDICIAL' AS source, appraisal AS reference, minimum AS compared, CAST(0.85 AS DOUBLE) AS confidence FROM priced WHERE appraisal > 0 AND minimum IS NOT NULL
 UNION ALL SELECT p.lot_id, 'FIPE', r.value, p.minimum, round_even(least(0.9::DOUBLE, 0.8::DOUBLE * round(m.likeness, 3) * CASE WHEN p.lot_id % 3 = 0 THEN 0.8::DOUBLE ELSE 1::DOUBLE END * CASE WHEN r.demo THEN 0.5::DOUBLE ELSE 1::DOUBLE END), 3) FROM priced p JOIN matched m ON m.id = p.lot_id JOIN ref r ON r.ref_id = m.ref_id WHERE p.asset = 'VEICULO' AND p.minimum IS NOT NULL
-UNION ALL SELECT lot_id, 'FIPEZAP', CAST(round_even(CAST(value_m2 AS DOUBLE) * CASE WHEN lot_id % 2 = 0 THEN 68.5::DOUBLE ELSE 92.3::DOUBLE END, 2) AS DECIMAL(14,2)), minimum, round_even(CASE precision WHEN 'BAIRRO' THEN 0.7::DOUBLE ELSE 0.55::DOUBLE END * CASE WHEN lot_id % 2 = 0 THEN 1::DOUBLE ELSE 0.8::DOUBLE END, 3) FROM priced WHERE asset = 'IMOVEL' AND minimum IS NOT NULL AND value_m2 IS NOT NULL)"""
+UNION ALL SELECT lot_id, 'FIPEZAP', CAST(CAST(({AREA_SQL}) AS DECIMAL(18,2)) * 0.01 AS DECIMAL(14,2)), minimum, round_even(CASE precision WHEN 'BAIRRO' THEN 0.7::DOUBLE ELSE 0.55::DOUBLE END * CASE WHEN lot_id % 2 = 0 THEN 1::DOUBLE ELSE 0.8::DOUBLE END, 3) FROM priced WHERE asset = 'IMOVEL' AND minimum IS NOT NULL AND value_m2 IS NOT NULL)"""
 
 
 @query(f"{ANALYSES_SQL} SELECT lot_id, source, CAST(reference AS DOUBLE) AS reference, CAST(compared AS DOUBLE) AS compared, {EXACT_SQL} AS discount, confidence FROM analyses", with_lots=True)
