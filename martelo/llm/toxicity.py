@@ -23,7 +23,6 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import held_out, map_rows, scratch, stored
@@ -39,6 +38,8 @@ EXPRESSIVE = 0.3
 FEATURES = ("whole", "strongest", "excess")
 #: Bytes of text that each class's counts are taken from at most, in whole rows (a documented bound of the fit).
 BYTES_PER_CLASS = 12_000_000
+#: Buckets of keys by hash that the bound on bytes is kept by.
+BUCKETS = 1024
 #: n-grams that a task remembers having sent already.
 REMEMBERED = 1_000_000
 #: Letters whose n-grams are looked up at once.
@@ -243,6 +244,23 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50
     return mean, deviation, w
 
 
+def _within(rows: DataFrame, most: int) -> DataFrame:
+    """The rows (key, text, y) of as many hash buckets of each class, in order, as hold at most so many bytes of text.
+
+    Only the buckets' sums reach the driver, so neither long texts nor repeated keys meet in one place.
+    """
+    bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")
+    sums = rows.groupBy("y", bucket.alias("bucket")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes")).collect()
+    within = F.lit(False)
+    for y in (0.0, 1.0):
+        sizes = np.zeros(BUCKETS, np.int64)
+        for r in sums:
+            if r["y"] == y:
+                sizes[r["bucket"]] = r["bytes"]
+        within = within | ((F.col("y") == y) & (bucket < int(np.searchsorted(np.cumsum(sizes), most, "right"))))
+    return rows.filter(within)
+
+
 def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = 0.5, rows_per_class: int = ROWS_PER_CLASS, bytes_per_class: int = BYTES_PER_CLASS) -> DataFrame:
     """One row for each row of docs: key, held_out, score (likelihood of label 1), predicted and the features.
 
@@ -256,9 +274,7 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     known = F.broadcast(training_rows(labels, label, key, rows_per_class))
     with scratch(spark):
         rows = stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known.withColumnRenamed(key, "key"), "key").select("key", "text", "y", "part", "weight"))
-        # at most 2 * rows_per_class rows, unless a key repeats
-        so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.partitionBy("y").orderBy(F.xxhash64("key"), "key").rowsBetween(W.unboundedPreceding, 0))
-        learned = rows.filter("part > 0").withColumn("so_far", so_far).filter(F.col("so_far") <= bytes_per_class)
+        learned = _within(rows.filter("part > 0"), bytes_per_class)
         counts = stored(_counts(learned), narrow=True)
         shared = shared_model(stored(_seen(docs, text)))
         model = counts.withColumn("end", _end("gram", ORDER - 1)).join(shared.select(F.col("gram").alias("end"), "p"), "end").select("gram", "one", "zero", "p").toPandas()
