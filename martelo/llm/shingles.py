@@ -31,7 +31,7 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    if len(_powers.get(base, ())) < n:
+    if base not in _powers or len(_powers[base]) < n:
         x = np.full(max(n, 1 << 16), base, U)
         x[0] = 1
         _powers[base] = np.cumprod(x, dtype=U)

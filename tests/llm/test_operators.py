@@ -553,6 +553,16 @@ def test_fingerprints(spark, texts):
         assert (r["near_edited"], r["near_next"]) == (minhash.likeness(prints[i], own), minhash.likeness(prints[i], prints[j]))
 
 
+def test_empty_text_comes_first_in_a_process(monkeypatch):
+    """The first texts that a worker sees may all be empty."""
+    for texts in ([None], [""], ["", None], ["!"]):
+        monkeypatch.setattr(shingles, "_powers", {})
+        docs, hashes, n = shingles.counted(texts)
+        assert len(docs) == len(hashes) == len(n) == sum(bool(t) for t in texts)
+        monkeypatch.setattr(shingles, "_powers", {})
+        assert len(quality.statistics_of(texts[0])) == len(quality.STATISTICS)
+
+
 def test_fingerprints_odd(odd, none):
     found = minhash.fingerprints(odd).collect()
     assert len(found) == 13 and len({r["fingerprint"] for r in found if r["doc_id"] in (5, 6)}) == 1
