@@ -69,7 +69,7 @@ def scratch(spark: SparkSession):
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete every table that this session has stored: for when the results that read them are written."""
+    """Delete every table and folder that this session has stored: for when the results that read them are written."""
     for path in list(_kept):
         _delete(spark, path)
 
@@ -91,6 +91,13 @@ def stored(df: DataFrame, narrow: bool = False, keep: bool = False) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder beside the stored tables, for files that results read; `clear` deletes it."""
+    path = f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"
+    _kept.add(path)
+    return path
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many more underscores as it takes to be no column of df."""
     taken = {c.lower() for c in df.columns}

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licences, minhash, neardup, packing, pii, quality, rollups, sharding, toxicity
+from . import decontamination, licences, minhash, neardup, packing, pii, quality, rollups, runs, sharding, toxicity, variants, warc
 from .common import scratch, shared_folder, stored, table
 
 
@@ -81,6 +81,18 @@ def op10_probminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "links", "likeness")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.described(table(spark, sf_dir, "documents").select("doc_id", "text"), change=runs.repeated)
+
+
 QUERIES = {
     "op1_rule_ensemble_quality": op1_rule_ensemble_quality,
     "op3_token_rollup": op3_token_rollup,
@@ -92,4 +104,7 @@ QUERIES = {
     "op8_licence_notices": op8_licence_notices,
     "op9_minhash_fingerprints": op9_minhash_fingerprints,
     "op10_probminhash_neardup": op10_probminhash_neardup,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_warc_bundles": op12_warc_bundles,
+    "op13_periodic_runs": op13_periodic_runs,
 }
