@@ -188,7 +188,7 @@ class Archive:
                                 yield from _told(records_in(frame), bundle, number)
 
         out = self.index.sparkSession.createDataFrame([], RECORD).schema
-        return pieces.repartition("bundle", "first").select("bundle", "first", "last").mapInArrow(run, out)
+        return _dealt(pieces, "bundle", "first").select("bundle", "first", "last").mapInArrow(run, out)
 
     def fetch(self, wanted: DataFrame) -> DataFrame:
         """The records of the identifiers in wanted.record_id, each read from its frame alone. Identifiers without
@@ -215,7 +215,7 @@ class Archive:
                 file.close()
 
         out = self.index.sparkSession.createDataFrame([], RECORD).schema
-        dealt = places.repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
+        dealt = _dealt(places, "bundle").sortWithinPartitions("bundle", "frame", "offset")
         return dealt.select("bundle", "frame", "offset", "length").mapInArrow(run, out)
 
     def sweep(self) -> int:
@@ -231,6 +231,11 @@ class Archive:
         return gone
 
 
+def _dealt(places: DataFrame, *by: str) -> DataFrame:
+    """Rows of a few bytes that each stand for much to read: a fixed number of tasks, which are not merged."""
+    return places.repartition(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 RECORD = "record_id string, key string, record_type string, refers_to string, url string, payload_digest string, payload_bytes long, payload binary, bundle string, frame long, offset long"
 
 
