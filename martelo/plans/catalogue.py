@@ -480,7 +480,42 @@ def alert_matches(spark, sf_dir):
     own = lots(spark, sf_dir)
     regions = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("alert_id"), F.col("r_name").alias("uf"))
     sent = own.filter("lot_id % 2 = 0").join(regions, "uf").select("alert_id", "lot_id")
-    return alerts.new_matches(_alerts(spark, sf_dir), own, sent).select(F.col("alert_id").cast("long").alias("alert_id"), "lot_id", F.col("place").cast("long").alias("place"))
+    return alerts.new_matches(_alerts(spark, sf_dir), own, sent, candidates=None).select(F.col("alert_id").cast("long").alias("alert_id"), "lot_id", F.col("place").cast("long").alias("place"))
+
+
+#: Saved searches of every criterion, one for each customer; sets are lists parted at commas.
+SAVED_SQL = """SELECT c_custkey AS alert_id, c_custkey % 6 <> 5 AS active,
+CASE c_custkey % 9 WHEN 0 THEN 'SUSPENSO,DESERTO' WHEN 1 THEN 'DESERTO' ELSE '' END AS status,
+CASE c_custkey % 4 WHEN 0 THEN 'ASIA' WHEN 1 THEN 'EUROPE,AFRICA,AMERICA' ELSE '' END AS ufs,
+CASE c_custkey % 3 WHEN 0 THEN 'IMOVEL' WHEN 1 THEN 'VEICULO,OUTRO' ELSE '' END AS assets,
+CASE WHEN c_custkey % 11 = 0 THEN 'IMOVEL,MOVEL' ELSE '' END AS natures, CASE WHEN c_custkey % 13 = 0 THEN 'RURAL' ELSE '' END AS zones, CASE WHEN c_custkey % 17 < 2 THEN 'ESTADUAL,FEDERAL' ELSE '' END AS spheres,
+CASE WHEN c_custkey % 7 = 0 THEN 'nation_3,nation_8,nation_11,nation_19,nation_22' ELSE '' END AS cities,
+CASE WHEN c_custkey % 8 = 2 THEN 'jardim sao 3,jardim sao 5' ELSE '' END AS districts,
+CASE WHEN c_custkey % 10 = 6 THEN concat(CAST(1 + c_custkey % 10 AS STRING), ',', CAST(c_custkey % 97 AS STRING), ',7') ELSE '' END AS auctioneers,
+CASE WHEN c_custkey % 5 < 2 THEN CAST(c_custkey % 40 * 500 AS DECIMAL(14,2)) END AS least_price, CASE WHEN c_custkey % 5 IN (1, 2) THEN CAST(c_custkey % 40 * 500 + 9000.50 AS DECIMAL(14,2)) END AS most_price,
+CASE WHEN c_custkey % 6 = 2 THEN CAST(c_custkey % 50 AS DOUBLE) END AS least_discount, CASE WHEN c_custkey % 6 < 2 THEN CAST(c_custkey % 90 AS DOUBLE) END AS least_score,
+c_custkey % 14 = 4 AS vacant_only, c_custkey % 15 = 6 AS without_liens,
+CASE c_custkey % 12 WHEN 3 THEN 'BRAND#1' WHEN 5 THEN ' Rod  brand#2 ' WHEN 7 THEN 'ed' WHEN 9 THEN 'jardim plate' END AS words, CASE WHEN c_custkey % 16 = 9 THEN 30 + c_custkey % 300 END AS days_ahead FROM {customer}"""
+IN_SET = "(a.{0} = '' OR list_contains(string_split(a.{0}, ','), {1}))"
+
+
+@query(f""", alerts AS ({in_duckdb(SAVED_SQL)}), own AS (SELECT * REPLACE (CASE WHEN lot_id % 13 <> 0 THEN uf END AS uf, CASE WHEN lot_id % 17 <> 0 THEN asset END AS asset), coalesce(second_min, first_min) AS price,
+  lower(translate(concat_ws(' ', title, description, city, district, brand, model), 'ã', 'a')) AS body, (SELECT min(s.at) FROM sessions s WHERE s.lot_id = l.lot_id AND s.at >= TIMESTAMP '1998-06-01 12:00:00') AS next_at FROM lots l)
+SELECT alert_id, lot_id, place FROM (SELECT alert_id, lot_id, row_number() OVER (PARTITION BY alert_id ORDER BY coalesce(score, -1) DESC, lot_id) AS place FROM (
+SELECT alert_id, lot_id, l.score, row_number() OVER (PARTITION BY alert_id ORDER BY coalesce(l.score, -1) DESC, lot_id) AS candidate FROM alerts a JOIN own l ON
+{" AND ".join(IN_SET.format(way, column) for way, column in (("ufs", "l.uf"), ("assets", "l.asset"), ("natures", "l.nature"), ("zones", "l.zone"), ("spheres", "l.sphere"), ("cities", "lower(l.city)"), ("districts", "lower(replace(l.district, 'ã', 'a'))"), ("auctioneers", "CAST(l.auctioneer_id AS VARCHAR)")))}
+AND (CASE a.status WHEN '' THEN l.status = 'ABERTO' ELSE list_contains(string_split(a.status, ','), l.status) END) AND coalesce(l.price >= least_price, least_price IS NULL) AND coalesce(l.price <= most_price, most_price IS NULL)
+AND coalesce(l.discount >= least_discount, least_discount IS NULL) AND coalesce(l.score >= least_score, least_score IS NULL) AND (NOT vacant_only OR occupied IS FALSE) AND (NOT without_liens OR coalesce(liens_text, '') = '')
+AND (words IS NULL OR list_sum(list_transform(string_split(trim(lower(words)), ' '), lambda w: CASE WHEN contains(body, w) THEN 0 ELSE 1 END)) = 0) AND (days_ahead IS NULL OR l.next_at <= TIMESTAMP '1998-06-01 12:00:00' + to_days(days_ahead))
+WHERE active) WHERE candidate <= 500 AND NOT (lot_id % 7 < 3 AND alert_id % 10 = lot_id % 10)) WHERE place <= 20""", with_lots=True)
+def alerts_of_every_criterion(spark, sf_dir):
+    """A saved search for each customer, some lots without state or kind, some sent before."""
+    own = lots(spark, sf_dir).withColumns({"uf": F.when(F.col("lot_id") % 13 != 0, F.col("uf")), "asset": F.when(F.col("lot_id") % 17 != 0, F.col("asset"))})
+    rows = stated(spark, sf_dir, SAVED_SQL)
+    saved = rows.withColumns({c: F.filter(F.split(c, ","), lambda v: v != "") for c in alerts.SETS})
+    sent = own.filter("lot_id % 7 < 3").select("lot_id", (F.col("lot_id") % 10).alias("last")).join(rows.filter("active").select("alert_id", (F.col("alert_id") % 10).alias("last")), "last").select("alert_id", "lot_id")
+    found = alerts.new_matches(saved, own, sent, events=sessions(spark, sf_dir), as_of=AS_OF)
+    return found.select("alert_id", "lot_id", F.col("place").cast("long").alias("place"))
 
 
 # ---- merging and identity ----

@@ -53,6 +53,9 @@ def test_stands_without_a_library(tmp_path):
 
 def test_errors_of_the_corpus_operators_show(tmp_path):
     tree = copied(tmp_path)
-    (tree / "martelo/llm/queries.py").write_text("import martelo.llm.nothing\n")
+    package = tree / "martelo/llm"
+    package.mkdir(exist_ok=True)
+    (package / "__init__.py").write_text("")
+    (package / "queries.py").write_text("import martelo.llm.nothing\n")
     with pytest.raises(subprocess.CalledProcessError):
         told(tree)
