@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse, present, text
 from ..operators import agenda, alerts, events, extract, facets, identity, market, outputs, score, search, terms
-from ..sources import dockets, documents, files, html, profiles, registry
+from ..sources import dockets, documents, files, html, keyed, profiles, registry
 from ..streaming import windows
 from .lots import AS_OF, in_duckdb, lots, sessions, stated
 from .registered import ORACLES, PLAIN, QUERIES, dbl, query, read
@@ -56,15 +56,15 @@ def search_days_ahead(spark, sf_dir):
     return search.matching(lots(spark, sf_dir), search.LotFilter(days_ahead=30), events=sessions(spark, sf_dir), as_of=AS_OF).select("lot_id")
 
 
-ZEROS_SQL = "SELECT * FROM lots WHERE status = 'DESERTO' AND contains(lower(title || ' ' || description), 'brand#11') AND (second_min = 0 OR discount = 0 OR discount IS NULL OR lot_id % 3 = 0)"
+ZEROS_SQL = "SELECT * FROM lots WHERE status = 'DESERTO'"
 
 
-@query(f"""SELECT 'discount' AS sorted_by, lot_id, place FROM (SELECT lot_id, row_number() OVER (ORDER BY coalesce(nullif(discount, 0), -1) DESC, lot_id) AS place FROM ({ZEROS_SQL})) WHERE place <= 100
-UNION ALL SELECT 'price', lot_id, place FROM (SELECT lot_id, row_number() OVER (ORDER BY coalesce(nullif(second_min, 0), nullif(first_min, 0), 1000000000000), lot_id) AS place FROM ({ZEROS_SQL})) WHERE place <= 100""", with_lots=True)
+@query(f"""SELECT 'discount' AS sorted_by, lot_id, place - 200 AS place FROM (SELECT lot_id, row_number() OVER (ORDER BY coalesce(nullif(discount, 0), -1) DESC, lot_id) AS place FROM ({ZEROS_SQL})) WHERE place BETWEEN 201 AND 300
+UNION ALL SELECT 'price', lot_id, place - 200 FROM (SELECT lot_id, row_number() OVER (ORDER BY coalesce(nullif(second_min, 0), nullif(first_min, 0), 1000000000000), lot_id) AS place FROM ({ZEROS_SQL})) WHERE place BETWEEN 201 AND 300""", with_lots=True)
 def zero_vs_null_sort(spark, sf_dir):
-    """A zero discount or price sorts with the missing ones; a page of a hundred by either."""
-    found = search.matching(lots(spark, sf_dir), search.LotFilter(status=("DESERTO",), words="brand#11")).filter("second_min = 0 or discount = 0 or discount is null or lot_id % 3 = 0")
-    pages = [search.placed(search.page(search.ordered(found, order), 1, 100), order).select(F.lit(order).alias("sorted_by"), "lot_id", "place") for order in ("discount", "price")]
+    """A zero discount or price sorts with the missing ones; the third page of a hundred by either."""
+    found = search.matching(lots(spark, sf_dir), search.LotFilter(status=("DESERTO",)))
+    pages = [search.placed(search.page(search.ordered(found, order), 3, 100), order).select(F.lit(order).alias("sorted_by"), "lot_id", "place") for order in ("discount", "price")]
     return pages[0].unionByName(pages[1])
 
 
@@ -542,6 +542,16 @@ def upsert_latest(spark, sf_dir):
     return identity.upsert(old, new, ["user_id", "event_type"], order="order")
 
 
+@query("SELECT user_id, event_type, arg_max(value, (event_id % 3, ts, event_id)) AS value FROM events GROUP BY user_id, event_type")
+def committed_upserts(spark, sf_dir):
+    """Three batches committed to a keyed table, the second one sent twice, and read back."""
+    rows = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.struct("ts", "event_id").alias("order"))
+    table = keyed.KeyedTable(spark, keyed.new_folder(spark, "keyed"), ["user_id", "event_type"], "user_id bigint, event_type string, value double", buckets=16)
+    for batch in (0, 1, 1, 2):
+        table.upsert(rows.filter(F.col("event_id") % 3 == batch), "order", "events-topic", batch)
+    return table.read()
+
+
 IDENTITY_SQL = "SELECT o_orderkey AS lot_id, o_orderkey % 3 <> 0 AS case_valid, CASE WHEN o_orderkey % 3 <> 0 THEN 'C' || CAST(o_custkey AS STRING) END AS case_number, CASE WHEN o_orderkey % 2 = 0 THEN '1' END AS lot_number, CASE o_orderkey % 4 WHEN 0 THEN 'IMOVEL' WHEN 1 THEN 'VEICULO' ELSE 'OUTRO' END AS asset, 'AL' AS uf, CASE WHEN o_orderkey % 4 = 0 THEN 'R ' || CAST(o_custkey % 400 AS STRING) END AS registry, CASE WHEN o_orderkey % 4 = 1 THEN 'P' || CAST(o_custkey % 300 AS STRING) END AS plate, 2010 + o_orderkey % 5 AS model_year, 'N' || CAST(o_orderkey AS STRING) AS natural_key FROM {orders}"
 KEYED_SQL = f"""WITH rows AS ({in_duckdb(IDENTITY_SQL)}), pairs AS (SELECT lot_id, 100 AS strength, 'case_lot' AS kind, case_number || '#' || coalesce(lot_number, 'unico') AS key FROM rows WHERE case_valid AND case_number IS NOT NULL
 UNION ALL SELECT lot_id, 90, 'registry', uf || '#' || lower(registry) FROM rows WHERE asset = 'IMOVEL' AND length(registry) >= 3 UNION ALL SELECT lot_id, 80, 'plate', plate || '#' || CAST(model_year AS VARCHAR) FROM rows WHERE asset = 'VEICULO' AND plate IS NOT NULL UNION ALL SELECT lot_id, 10, 'natural', natural_key FROM rows)"""

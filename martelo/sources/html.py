@@ -167,8 +167,12 @@ def known_tables(pages: DataFrame, headers: tuple[str, ...], least: int, key: st
     from ..functions.text import comparable
 
     rows = tables(pages, key, html)
-    plain = F.transform_keys("cells", lambda k, _: comparable(F.regexp_replace(k, "__href$", "\u0001")))
-    rows = rows.withColumn("cells", F.transform_keys(plain, lambda k, _: F.replace(k, F.lit("\u0001"), F.lit("__href"))))
+    # headers may differ by accents only: their cells join, and the first of their links stays
+    entries = F.transform(F.map_entries("cells"), lambda e: F.struct(F.replace(comparable(F.regexp_replace(e["key"], "__href$", "\u0001")), F.lit("\u0001"), F.lit("__href")).alias("key"), F.coalesce(e["value"], F.lit("")).alias("value")))
+    texts = lambda k: F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: e["value"])
+    joined = lambda k: F.when(k.endswith("__href"), F.get(texts(k), F.lit(0))).otherwise(F.trim(F.array_join(texts(k), " ")))
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    rows = rows.withColumn("cells", F.map_from_arrays(keys, F.transform(keys, joined)))
     names = F.array_join(F.filter(F.map_keys("cells"), lambda k: ~k.endswith("__href")), " ")
     hits = sum((F.contains(names, F.lit(h)).cast("int") for h in headers), F.lit(0))
     return rows.filter(hits >= least)

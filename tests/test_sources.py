@@ -113,3 +113,9 @@ def test_small_columns(spark):
     assert (r["c"], r["h"], r["m"], r["u"], r["s"], r["p"], r["r"]) == ("São Luís", "https://ok.com", "2026-09-01", "em analise", "ARREMATADO", "ab 1,50", "INATIVO")
     with pytest.raises(ValueError, match="lot_id"):
         validate(one, "alerts_sent")
+
+
+def test_headers_that_differ_by_accents_join(spark):
+    page = "<table><tr><th>Nome</th><th>Matrícula</th><th>Matricula</th><th>Situação</th></tr><tr><td>Ana <a href='/a'>x</a></td><td>12</td><td>AL</td><td>ativa</td></tr></table>"
+    found = html.known_tables(spark.createDataFrame([(1, page)], "page_id int, html string"), html.REGISTER_HEADERS, 2).collect()
+    assert [r.cells for r in found] == [{"nome": "Ana x", "nome__href": "/a", "matricula": "12 AL", "situacao": "ativa"}]
