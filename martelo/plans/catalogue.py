@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse, present, text
 from ..operators import agenda, alerts, events, extract, facets, identity, market, outputs, score, search, terms
-from ..sources import dockets, documents, files, html, keyed, profiles, registry
+from ..sources import dockets, documents, files, html, keyed, landed, profiles, registry
 from ..streaming import windows
 from .lots import AS_OF, in_duckdb, lots, sessions, stated
 from .registered import ORACLES, PLAIN, QUERIES, dbl, query, read
@@ -790,4 +790,27 @@ def gazette_envelopes(spark, sf_dir):
     return files.gazette(one.unionByName(two)).select("external_id", "text", "organ")
 
 
+#: Pages as a gazette's answers: four terms, thirty items of each on a day, five a page, but three on the fifth.
+ANSWERS_SQL = """SELECT page_id, url, page_id % 4 AS term, page_id // 120 AS day, (page_id % 120) // 4 // 5 + 1 AS page FROM pages WHERE (page_id % 120) // 4 NOT IN (23, 24)"""
+
+
+@query(f"""WITH items AS ({ANSWERS_SQL}), full_pages AS (SELECT term, day, page FROM items GROUP BY term, day, page HAVING count(*) = 5)
+SELECT CAST(page_id AS VARCHAR) AS external_id, url AS text, CAST(DATE '2024-01-01' + CAST(day AS INTEGER) AS VARCHAR) AS published_on, CASE WHEN page_id % 3 > 0 THEN 'C-' || page_id END AS case_number, CAST(page_id % 7 AS VARCHAR) AS organ, CASE WHEN page_id % 2 = 0 THEN 'TJAL' ELSE 'TRF5' END AS court, url || '#' || term AS url
+FROM items i WHERE day >= 1 AND (SELECT count(*) FROM full_pages f WHERE f.term = i.term AND f.day = i.day AND f.page < i.page) = i.page - 1""")
+def landed_gazette_pages(spark, sf_dir):
+    """Answers landed by term, day and page and read by the data source, up to the first page that is not full;
+    days before the second are never listed. All columns of the publications."""
+    i = F.col("page_id")
+    place = F.floor((i % 120) / 4)
+    rows = read(spark, sf_dir, "pages").filter(~place.isin(23, 24)).select(
+        F.concat(F.lit("termo "), (i % 4).cast("string")).alias("term"), F.date_add(F.lit("2024-01-01").cast("date"), F.floor(i / 120).cast("int")).alias("day"), (F.floor(place / 5) + 1).cast("int").alias("page"),
+        i.cast("string").alias("id"), F.col("url").alias("texto"), F.when(i % 3 > 0, F.concat(F.lit("C-"), i.cast("string"))).alias("processo"), (i % 7).cast("string").alias("nomeOrgao"), F.when(i % 2 == 0, "TJAL").otherwise("TRF5").alias("siglaTribunal"), F.concat(F.col("url"), F.lit("#"), (i % 4).cast("string")).alias("link"),
+    )
+    item = F.struct("id", "texto", F.col("day").cast("string").alias("data_disponibilizacao"), "processo", "nomeOrgao", "siglaTribunal", "link")
+    answers = rows.groupBy("term", "day", "page").agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("value"))  # a page is five items
+    path = keyed.new_folder(spark, "landed")
+    landed.land(answers, path)
+    return files.gazette(landed.pages(spark, path, page_size=5).filter(F.col("day") >= F.lit("2024-01-02").cast("date")))
+
+
 from . import records  # noqa: E402, F401  registers its queries
