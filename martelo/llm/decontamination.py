@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, scratch, slices, stored
 
 EDIT_EVERY = 12
-#: Items of fewer letters (as words) than this must stand unharmed, and at word borders.
+#: Items of fewer letters (as words) than this must stand at word borders, with as many edits as any.
 FUZZY_FROM = 40
 #: Length of the letter runs that a place is counted by before its distance is measured.
 RUN = 5
@@ -35,7 +35,7 @@ def plain(text: str | None) -> str:
 
 
 def edit_budget(item: str) -> int:
-    return len(item) // EDIT_EVERY if len(item) >= FUZZY_FROM else 0
+    return len(item) // EDIT_EVERY
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -77,12 +77,34 @@ class Myers:
         return (best, at) if at >= 0 else None
 
 
+def distance(a: str, b: str) -> int:
+    """Letters inserted, deleted or replaced between two short strings."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def between_borders(item: str, letters: str, low: int, high: int, most: int) -> tuple[int, int] | None:
+    """(edits, end) of the first best stretch of whole words within letters[low:high], if it takes at most `most`."""
+    best = None
+    starts = [i for i in range(max(0, low), min(high, len(letters))) if letters[i] != " " and (i == 0 or letters[i - 1] == " ")]
+    ends = [i for i in range(max(0, low) + 1, min(high, len(letters)) + 1) if letters[i - 1] != " " and (i == len(letters) or letters[i] == " ")]
+    for end in ends:
+        for start in starts:
+            if start < end and abs(end - start - len(item)) <= most and (d := distance(item, letters[start:end])) <= most and (best is None or d < best[0]):
+                best = d, end
+    return best
+
+
 def searcher(items: list[tuple[int, str]]) -> Callable[[str | None], list[tuple[int, int, int, int]]]:
     """A function from a text to (item id, edits, letters of the item, end in the plain text) of each item found."""
     seeds: dict[str, list[tuple[int, int]]] = {}
     budgets, matchers = [edit_budget(x) for _, x in items], [Myers(x) for _, x in items]
     for i, (_, item) in enumerate(items):
-        if len(item) < FUZZY_FROM:
+        if not budgets[i]:
             seeds.setdefault(f" {item} ", []).append((i, 1))
             continue
         for at, piece in pieces(item, budgets[i]):
@@ -109,9 +131,13 @@ def searcher(items: list[tuple[int, str]]) -> Callable[[str | None], list[tuple[
                     continue
                 tried[i] = start
                 item = items[i][1]
-                if len(item) < FUZZY_FROM:
+                if not k:  # the seed is the item between blanks, of which the first is no letter of the text
                     found[i] = 0, start + 2 + len(item)
                     continue
+                if len(item) < FUZZY_FROM:
+                    if hit := between_borders(item, letters, start - k, start + len(item) + k, min(k, found[i][0] - 1 if i in found else k)):
+                        found[i] = hit
+                    continue
                 if letters.startswith(item, max(0, start)) and start >= 0:
                     found[i] = 0, start + len(item)
                     continue
