@@ -41,7 +41,7 @@ NOTICES = (
     Notice("gpl-2", "gnu general public license version 2", "gnu 2"),
     Notice("mpl-2", "mozilla public license version 2", "mozilla 2"),
     Notice("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution"),
-    Notice("proprietary", "all rights reserved", "rights"),
+    Notice("proprietary", "all rights reserved", "reserved"),
 )
 
 SCHEMA = (
@@ -57,7 +57,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def edit_budget(words: str) -> int:
-    return len(words) // EDIT_EVERY if len(words) >= 2 * EDIT_EVERY else 0
+    return len(words) // EDIT_EVERY
 
 
 def pieces(words: str, k: int) -> list[tuple[int, str]]:
