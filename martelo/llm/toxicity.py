@@ -245,7 +245,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50
 
 
 def _within(rows: DataFrame, most: int) -> DataFrame:
-    """The rows (key, text, y) of as many hash buckets of each class, in order, as hold at most so many bytes of text.
+    """The rows (key, text, y) of hash buckets of each class that together hold at most so many bytes of text: in
+    order, each that still fits, so that one long text leaves out its own bucket only. Where none fits, the smallest.
 
     Only the buckets' sums reach the driver, so neither long texts nor repeated keys meet in one place.
     """
@@ -253,11 +254,14 @@ def _within(rows: DataFrame, most: int) -> DataFrame:
     sums = rows.groupBy("y", bucket.alias("bucket")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes")).collect()
     within = F.lit(False)
     for y in (0.0, 1.0):
-        sizes = np.zeros(BUCKETS, np.int64)
-        for r in sums:
-            if r["y"] == y:
-                sizes[r["bucket"]] = r["bytes"]
-        within = within | ((F.col("y") == y) & (bucket < int(np.searchsorted(np.cumsum(sizes), most, "right"))))
+        own, total, chosen = sorted((r["bucket"], r["bytes"]) for r in sums if r["y"] == y), 0, []
+        for number, size in own:
+            if total + size <= most:
+                total += size
+                chosen.append(number)
+        if not total and (large := [(size, number) for number, size in own if size]):
+            chosen.append(min(large)[1])
+        within = within | ((F.col("y") == y) & bucket.isin(chosen))
     return rows.filter(within)
 
 
@@ -265,7 +269,8 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """One row for each row of docs: key, held_out, score (likelihood of label 1), predicted and the features.
 
     Null and empty texts have no evidence and get the score of none; repeated rows repeat; without labelled rows
-    of both classes all scores are alike. Other columns are not carried. Each class is counted on at most
+    of both classes all scores are alike. Other columns are not carried. Of a labelled key that repeats one text is
+    learned from, that of the least hash. Each class is counted on at most
     rows_per_class labelled rows, of at most bytes_per_class bytes together, so that the model that driver and tasks
     hold is bounded (16 bytes for each n-gram and context); the shared counts are taken from all documents; the
     curve sees the true shares.
@@ -273,7 +278,9 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     known = F.broadcast(training_rows(labels, label, key, rows_per_class))
     with scratch(spark):
-        rows = stored(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known.withColumnRenamed(key, "key"), "key").select("key", "text", "y", "part", "weight"))
+        labelled = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(known.withColumnRenamed(key, "key"), "key")
+        first = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+        rows = stored(labelled.groupBy("key", "y", "part", "weight").agg(first).select("key", "text", "y", "part", "weight"))
         learned = _within(rows.filter("part > 0"), bytes_per_class)
         counts = stored(_counts(learned), narrow=True)
         shared = shared_model(stored(_seen(docs, text)))
