@@ -472,6 +472,30 @@ def test_short_items_stand_word_for_word(spark):
     assert sorted(r["doc_id"] for r in decontamination.clean(docs, benchmark).collect()) == [2, 4, 5]
 
 
+def test_short_items_take_edits_between_borders(spark):
+    """Items below the bound of whole words, against all stretches of whole words."""
+    r, items = random.Random(31), ["ten letter", "twelve lettr", "seven words", "who was the first one", "how many of them are left over now", "a question of nearly forty letters is it"]
+    rows = []
+    for n in range(90):
+        letters = list(items[n % 6])
+        for _ in range(r.randint(0, 4)):
+            at = r.randrange(len(letters))
+            letters[at : at + r.randint(0, 1)] = r.choice(["", "q", " "])
+        rows.append((n, r.choice(["", "und "]) + "".join(letters) + r.choice(["", "s", " end"])))
+    found = {(x["doc_id"], x["item_id"]): x["edits"] for x in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    wanted = {}
+    for n, text in rows:
+        words = decontamination.plain(text).split()
+        stretches = [" ".join(words[a:b]) for a in range(len(words)) for b in range(a + 1, len(words) + 1)]
+        for i, item in enumerate(items):
+            if len(item) < decontamination.FUZZY_FROM:
+                edits = min(decontamination.distance(item, s) for s in stretches)
+                if edits <= len(item) // decontamination.EDIT_EVERY:
+                    wanted[n, i] = edits
+    assert {k: v for k, v in found.items() if len(items[k[1]]) < decontamination.FUZZY_FROM} == wanted
+    assert any(wanted.values()) and decontamination.distance("kitten", "sitting") == 3
+
+
 def test_blocks_of_items_find_what_one_block_does(spark, documents):
     benchmark = spark.read.parquet(f"{SF_DIR}/benchmark.parquet")
     one = decontamination.contaminated(documents, benchmark)
@@ -775,3 +799,26 @@ def test_stages_on_odd_tables(spark, odd, none):
             made = stage(spark, docs, SF_DIR)
             assert made.columns == docs.columns and least <= made.count() <= docs.count(), name
     assert pipeline.pack(spark, none, SF_DIR).count() == 0 and pipeline.pack(spark, odd, SF_DIR).count() >= 13
+
+
+def test_a_notice_of_nineteen_letters_takes_an_edit():
+    search = licences.searcher(licences.NOTICES)
+    for text in ("all rigts reserved", "All rightss reserved.", "al rights reserved"):
+        assert search(text)[5] == "proprietary", text
+    assert search("all wrongs reserved")[5] == "" and search("all rights reversed")[5] == ""
+
+
+def test_long_and_repeated_labelled_texts_leave_the_others(spark):
+    """A labelled text beyond the bound of bytes leaves out its bucket only; a labelled key that repeats is one text."""
+    ordinary, toxic = [prose(900 + i, 40) for i in range(40)], ["vile awful " + prose(950 + i, 8) + " hateful scum" for i in range(40)]
+    rows = [(i, t) for i, t in enumerate(ordinary + toxic)]
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(80)] + [(100, 0), (101, 1)], "doc_id long, toxic int")
+    long = [(100, prose(3, 3000)), (101, "vile scum " * 9000)]
+    docs = spark.createDataFrame(rows + long + [(0, ordinary[0])] * 300 + [(1, f"{ordinary[1]} {i}") for i in range(300)], "doc_id long, text string")
+    bound = 16_000
+    assert all(len(t) > bound for _, t in long)
+    found = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, labels, bytes_per_class=bound).collect()}
+    assert len(set(found.values())) > 40
+    assert sum(found[i] < 0.5 for i in range(40)) > 35 and sum(found[i] > 0.5 for i in range(40, 80)) > 35
+    within = toxicity._within(spark.createDataFrame([(1, "x" * 50, 1.0), (2, "", 1.0), (3, "y" * 90, 0.0)], "key long, text string, y double"), 10)
+    assert {r["key"] for r in within.collect()} >= {1, 3}
