@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import events as calendar
@@ -12,6 +12,8 @@ from . import identity
 
 #: What a run counts.
 COUNTERS = ("found", "new", "updated", "unchanged", "errors", "reschedules", "publications", "with_auction")
+#: Fixed value: warnings that a run keeps as examples.
+EXAMPLES = 10
 
 
 def touched(stored: DataFrame, seen: DataFrame, as_of: str) -> DataFrame:
@@ -26,15 +28,22 @@ def touched(stored: DataFrame, seen: DataFrame, as_of: str) -> DataFrame:
 
 def statistics(rows: DataFrame) -> DataFrame:
     """Counters by source over rows (source, counter, n, warning): sums, so that runs and sources can be merged in any
-    order; warnings are counted, and ten of them kept as examples."""
+    order; warnings are counted, and the ten most frequent kept as examples, in order of their text."""
     sums = [F.coalesce(F.sum(F.when(F.col("counter") == c, F.col("n"))), F.lit(0)).alias(c) for c in COUNTERS]
-    return rows.groupBy("source").agg(*sums, F.count("warning").alias("warnings"))
+    counted = rows.groupBy("source").agg(*sums, F.count("warning").alias("warnings"))
+    often = rows.filter("warning is not null").groupBy("source", "warning").agg(F.count(F.lit(1)).alias("times"))
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.col("times").desc(), "warning"))
+    first = often.withColumn("rank", rank).filter(F.col("rank") <= EXAMPLES).groupBy("source").agg(F.array_sort(F.collect_list("warning")).alias("examples"))
+    none = F.array().cast("array<string>")
+    return counted.join(first.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").withColumn("examples", F.coalesce("examples", none))
 
 
 def merged_statistics(*parts: DataFrame) -> DataFrame:
-    """The sum of several runs' statistics, by source."""
+    """The sum of several runs' statistics, by source; of their examples the first ten by text."""
     every = reduce(DataFrame.unionByName, parts)
-    return every.groupBy("source").agg(*(F.sum(c).alias(c) for c in (*COUNTERS, "warnings")))
+    # ten a part: a source has as many as it has runs to merge
+    examples = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("examples")))), 1, EXAMPLES)
+    return every.groupBy("source").agg(*(F.sum(c).alias(c) for c in (*COUNTERS, "warnings")), examples.alias("examples"))
 
 
 def run(stored: DataFrame, incoming: DataFrame, old_events: DataFrame, sessions: DataFrame, fill: tuple[str, ...], as_of: str) -> dict[str, DataFrame]:

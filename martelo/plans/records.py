@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parse
-from ..operators import agenda, cycle, events, identity, normalise, publications, terms, views
+from ..operators import agenda, cycle, events, identity, metrics, normalise, publications, terms, views
+from ..sources import keyed
 from .lots import AS_OF, lots, sessions
 from .registered import query, read
 
@@ -280,6 +281,17 @@ def touched_lots(spark, sf_dir):
     return cycle.touched(own, seen, AS_OF)
 
 
+@query("""SELECT coalesce(CASE WHEN event_type <> 'error' THEN event_type END, '(others)') AS source, CAST(coalesce(sum(event_id % 5) FILTER (event_id % 3 = 0), 0) AS BIGINT) AS found, CAST(coalesce(sum(event_id % 5) FILTER (event_id % 3 = 1), 0) AS BIGINT) AS new, CAST(coalesce(sum(event_id % 5) FILTER (event_id % 3 = 2), 0) AS BIGINT) AS errors,
+count(*) FILTER (event_id % 3 = 2) AS warnings, coalesce(string_agg(DISTINCT CASE WHEN event_id % 3 = 2 THEN 'HTTP ' || (500 + event_id % 4) END, ',' ORDER BY CASE WHEN event_id % 3 = 2 THEN 'HTTP ' || (500 + event_id % 4) END), '') AS examples FROM events GROUP BY 1""")
+def observed_run(spark, sf_dir):
+    """What a run counts, told by the write of its rows."""
+    i = F.col("event_id")
+    rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.when(i % 3 == 0, "found").when(i % 3 == 1, "new").otherwise("errors").alias("counter"), (i % 5).alias("n"), F.when(i % 3 == 2, F.concat(F.lit("HTTP "), (500 + i % 4).cast("string"))).alias("warning"))
+    known = [r[0] for r in rows.select("source").distinct().filter("source <> 'error'").collect()]
+    told = metrics.observed(rows, sorted(known), lambda df: df.write.parquet(keyed.new_folder(spark, "runs")))
+    return told.select("source", "found", "new", "errors", "warnings", F.array_join("examples", ",").alias("examples"))
+
+
 @query("""SELECT event_type AS source, 2 * count(*) FILTER (event_id % 3 = 0) AS found, 2 * count(*) FILTER (event_id % 3 = 1) AS new, 2 * count(*) FILTER (event_id % 3 = 2) AS errors, 2 * count(*) FILTER (event_id % 3 = 2) AS warnings FROM events GROUP BY event_type""")
 def run_statistics(spark, sf_dir):
     """Counters of a run, and two runs merged."""
