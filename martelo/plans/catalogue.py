@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parse, present, text
-from ..operators import agenda, alerts, events, extract, facets, identity, market, outputs, score, search, terms
+from ..operators import agenda, alerts, events, extract, facets, identity, market, outputs, reading, score, search, terms
 from ..sources import dockets, documents, files, html, keyed, landed, profiles, registry
 from ..streaming import windows
 from .lots import AS_OF, in_duckdb, lots, sessions, stated
@@ -640,6 +640,29 @@ def fuse_rule_model(spark, sf_dir):
     return extract.fuse(rows, model).select("doc_id", "confidence", "method")
 
 
+@query("""SELECT doc_id, name, number, text, "at", flag, confidence, warning FROM (SELECT o_orderkey AS doc_id, o_orderkey % 7 AS k, o_orderkey AS i, o_totalprice FROM orders), LATERAL (SELECT
+CASE k WHEN 0 THEN 'valor_avaliacao' WHEN 1 THEN 'comissao_leiloeiro' WHEN 2 THEN 'data_praca_1' WHEN 3 THEN 'ocupado' WHEN 4 THEN 'vara' WHEN 5 THEN 'cor' ELSE 'comarca' END AS name,
+CASE WHEN k = 0 THEN i END AS n0, CASE WHEN k = 1 AND i % 11 > 0 THEN i % 11 END AS n1, CASE WHEN k = 2 THEN TIMESTAMP '2026-11-01 03:00:00' + to_days(CAST(i % 28 AS INTEGER)) END AS "at", CASE WHEN k = 3 AND i % 3 < 2 THEN i % 3 = 0 END AS flag,
+CASE WHEN k = 4 THEN i || 'a vara' WHEN k = 6 THEN NULL END AS text) AS v, LATERAL (SELECT CAST(coalesce(n0, n1) AS DOUBLE) AS number,
+CASE WHEN k = 5 THEN 'cor: no field of the list' WHEN k = 6 THEN 'comarca: the quote is not in the document' WHEN k = 1 AND n1 IS NULL OR k = 3 AND flag IS NULL THEN name || ': a value of another kind' END AS warning), LATERAL (SELECT CASE WHEN warning IS NULL THEN least(0.6, (i % 10) / 10.0)::DOUBLE END AS confidence)""")
+def model_reports(spark, sf_dir):
+    """What a model reported of each order's text, of every kind of value, and why some of it is not taken."""
+    i = F.col("o_orderkey")
+    k = i % 7
+    pick = lambda *values: F.element_at(F.array(*values), (k + 1).cast("int"))
+    name = pick(*map(F.lit, ("valor_avaliacao", "comissao_leiloeiro", "data_praca_1", "ocupado", "vara", "cor", "comarca")))
+    no = i.cast("string")
+    value = pick(
+        F.concat(F.lit("R$ "), F.replace(F.format_number(i, 0), F.lit(","), F.lit(".")), F.lit(",00")), F.when(i % 11 > 0, F.concat((i % 11).cast("string"), F.lit(",00 %"))).otherwise("alta"),
+        F.concat((i % 28 + 1).cast("string"), F.lit("/11/2026")), F.element_at(F.array(F.lit("Sim"), F.lit("não"), F.lit("talvez")), (i % 3 + 1).cast("int")), F.concat(no, F.lit("a vara ")), F.lit("azul"), F.lit("Recife"),
+    )
+    orders = read(spark, sf_dir, "orders").withColumns({"doc_id": i, "name": name, "value": value})
+    documents = orders.select("doc_id", F.concat(F.lit("Edital nº "), no, F.lit(": o bem é descrito como "), "value").alias("text"))
+    quote = F.when(k == 6, F.lit("trecho que não está em lugar nenhum")).otherwise(F.concat(F.lit("O BEM  é descrito como "), "value"))
+    told = reading.reported(orders.select("doc_id", "name", "value", (i % 10 / 10).alias("confidence"), quote.alias("quote")), documents)
+    return told.select("doc_id", "name", *dbl("number"), "text", "at", "flag", "confidence", "warning")
+
+
 # ---- pages ----
 
 
