@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parse, present, text
-from ..operators import agenda, alerts, events, extract, facets, identity, market, outputs, reading, score, search, terms
+from ..operators import agenda, alerts, events, extract, facets, identity, market, outputs, postings, reading, score, search, terms
 from ..sources import dockets, documents, files, html, keyed, landed, profiles, registry
 from ..streaming import windows
 from .lots import AS_OF, in_duckdb, lots, sessions, stated
@@ -76,6 +76,14 @@ def search_by_next_event(spark, sf_dir):
     return search.page(search.ordered(found, "event"), 1, 50).select("lot_id", "next_at")
 
 
+@query("""SELECT lot_id FROM (SELECT lot_id, lower(translate(concat_ws(' ', title, description, city, district, brand, model), 'ã', 'a')) AS body FROM lots) WHERE contains(body, 'rod') AND contains(body, 'brand#2') AND contains(body, 'sao') AND contains(body, '5')""", with_lots=True)
+def search_by_postings(spark, sf_dir):
+    """lots by their words, from an index of three-letter pieces; neither lots nor bodies are read again."""
+    path = keyed.new_folder(spark, "postings")
+    postings.build(lots(spark, sf_dir), path)
+    return postings.found(spark, path, "Rod  BRAND#2 são 5")
+
+
 # ---- facets and counts ----
 
 
