@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parse, present, text
 from ..operators import agenda, alerts, events, extract, facets, identity, market, outputs, postings, reading, score, search, terms
-from ..sources import dockets, documents, files, html, keyed, landed, profiles, registry
+from ..sources import dockets, documents, files, html, keyed, landed, policy, profiles, registry
 from ..streaming import windows
 from .lots import AS_OF, in_duckdb, lots, sessions, stated
 from .registered import ORACLES, PLAIN, QUERIES, dbl, query, read
@@ -821,6 +821,16 @@ def gazette_envelopes(spark, sf_dir):
     return files.gazette(one.unionByName(two)).select("external_id", "text", "organ")
 
 
+@query("""SELECT event_id, host, make_timestamp(epoch_us(TIMESTAMP '1970-01-01') + max(asked - i * delay) OVER (PARTITION BY host ORDER BY i) + i * delay) AS starts_at FROM (
+SELECT event_id, host, epoch_us(ts) AS asked, row_number() OVER (PARTITION BY host ORDER BY ts, address) - 1 AS i, CASE host WHEN 'h0' THEN 3600000000 WHEN 'h1' THEN 900250000 ELSE 1500000 END AS delay FROM (SELECT event_id, ts, 'h' || user_id % 5 AS host, lpad(CAST(event_id AS VARCHAR), 12, '0') AS address FROM events))""")
+def fetch_schedule(spark, sf_dir):
+    """The earliest moment of each address in a queue, by its host's delay."""
+    queue = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("h"), (F.col("user_id") % 5).cast("string")).alias("host"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("address"), F.col("ts").alias("requested_at"))
+    delay = F.when(F.col("host") == "h0", 3600.0).when(F.col("host") == "h1", 900.25).when(F.col("host") == "h2", 0.5)
+    hosts = queue.select("host").distinct().withColumn("crawl_delay", delay)
+    return policy.schedule(queue, hosts).select("event_id", "host", "starts_at")
+
+
 #: Pages as a gazette's answers: four terms, thirty items of each on a day, five a page, but three on the fifth.
 ANSWERS_SQL = """SELECT page_id, url, page_id % 4 AS term, page_id // 120 AS day, (page_id % 120) // 4 // 5 + 1 AS page FROM pages WHERE (page_id % 120) // 4 NOT IN (23, 24)"""
 
