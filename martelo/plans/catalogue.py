@@ -854,4 +854,4 @@ def landed_gazette_pages(spark, sf_dir):
     return files.gazette(landed.pages(spark, path, page_size=5).filter(F.col("day") >= F.lit("2024-01-02").cast("date")))
 
 
-from . import records  # noqa: E402, F401  registers its queries
+from . import records, screens  # noqa: E402, F401  register their queries
