@@ -53,7 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", keep_good), ("near_dup", drop_near_copies), ("benchmark", drop_leaks), ("pii", redact_pii), ("packing", pack)]
-#: SQL can't express trees, Poisson arrivals or tokenizers; tests/llm compares run() with plain Python instead.
+#: SQL can't express trees, Poisson arrivals or tokenizers; tests/llm tests the stages one by one instead.
 ORACLE_SQL = None
 
 
