@@ -10,6 +10,9 @@ from ..functions.text import brazilian_money, ics_escaped
 #: iCalendar status by event status, minutes of an event by kind.
 ICS_STATUS = {"REMARCADO": "CONFIRMED", "REALIZADO": "CONFIRMED", "SUSPENSO": "TENTATIVE", "CANCELADO": "CANCELLED"}
 SESSION_MINUTES, OTHER_MINUTES = 120, 30
+#: What an entry says of an estimated date, and of itself.
+ESTIMATE = "ATENÇÃO: data estimada, não declarada no edital. Confirme na fonte."
+DISCLAIMER = "Informações extraídas automaticamente do edital oficial. Consulte o documento original e um advogado antes de participar do leilão."
 
 
 def geojson(lots: DataFrame, limit: int = 2000) -> DataFrame:
@@ -45,8 +48,24 @@ def folded(line: Column) -> Column:
     return fold(line)
 
 
-def ics_event(events: DataFrame, as_of: str, domain: str = "martelo.example") -> DataFrame:
-    """(lot_id, kind, vevent): one iCalendar event each, lines unfolded; events without a date are left out.
+def description(events: DataFrame) -> Column:
+    """What an entry says of its lot: title, least bid of the session, appraisal, case, whether the date is an estimate
+    or was moved, the disclaimer, and the source. Columns that events lacks, nulls and zero prices say nothing.
+
+    Of estimated, moved_from (the last date before, where it was another), case_number, appraisal, source_url."""
+    have = lambda n, kind: (F.col(n) if n in events.columns else F.lit(None)).cast(kind)
+    money = lambda n: F.nullif(have(n, "decimal(14,2)"), F.lit(0).cast("decimal(14,2)"))
+    say = lambda text, value: F.concat(F.lit(text), value)
+    least = F.when(F.col("kind") == "PRACA_SEGUNDA", money("second_min")).otherwise(money("first_min"))
+    return F.concat_ws(
+        "\n", "title", say("Lance mínimo: R$ ", least.cast("string")), say("Avaliação: R$ ", money("appraisal").cast("string")), say("Processo: ", F.nullif(have("case_number", "string"), F.lit(""))),
+        F.when(have("estimated", "boolean"), ESTIMATE), F.concat(F.lit("Remarcado: era "), F.date_format(have("moved_from", "timestamp_ntz"), "dd/MM/yyyy HH:mm"), F.lit(" UTC.")), F.lit(DISCLAIMER), say("Fonte: ", F.nullif(have("source_url", "string"), F.lit(""))),
+    )
+
+
+def ics_event(events: DataFrame, as_of: str, domain: str = "martelo.example", full: bool = False) -> DataFrame:
+    """(lot_id, kind, vevent): one iCalendar event each, lines unfolded; events without a date are left out. full: with
+    DESCRIPTION, and GEO and URL where events has latitude, longitude and source_url.
 
     SEQUENCE counts the changes on record, so that calendars update an event instead of adding one.
     """
@@ -59,6 +78,10 @@ def ics_event(events: DataFrame, as_of: str, domain: str = "martelo.example") ->
         "\r\n",
     )
     place = F.nullif(F.concat_ws(", ", "address", "district", "city", "uf"), F.lit(""))
+    have = lambda n: F.col(n) if n in events.columns else F.lit(None)
+    url = F.nullif(have("source_url").cast("string"), F.lit(""))
+    said = F.concat(F.lit("DESCRIPTION:"), ics_escaped(description(events)))
+    where = F.concat(F.lit("GEO:"), have("latitude").cast("string"), F.lit(";"), have("longitude").cast("string"))
     lines = [
         F.lit("BEGIN:VEVENT"),
         F.concat(F.lit("UID:lote-"), F.col("lot_id").cast("string"), F.lit("-"), F.lower("kind"), F.lit(f"@{domain}")),
@@ -68,7 +91,9 @@ def ics_event(events: DataFrame, as_of: str, domain: str = "martelo.example") ->
         F.concat(F.lit("SEQUENCE:"), F.col("changes").cast("string")),
         F.concat(F.lit("STATUS:"), status),
         F.concat(F.lit("SUMMARY:"), ics_escaped(F.col("title"))),
-        F.concat(F.lit("LOCATION:"), ics_escaped(place)),
+        *([said] if full else []),
+        F.when(place.isNotNull(), F.concat(F.lit("LOCATION:"), ics_escaped(place))),
+        *([where, F.when(url.isNotNull(), F.concat(F.lit("URL:"), ics_escaped(url)))] if full else []),
         F.concat(F.lit("CATEGORIES:"), ics_escaped(F.col("asset"))),
         F.nullif(alarms, F.lit("")),
         F.lit("END:VEVENT"),

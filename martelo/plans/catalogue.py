@@ -802,6 +802,16 @@ def ics_rows(spark, sf_dir):
     return outputs.ics_event(_events(spark, sf_dir).join(own, "lot_id"), AS_OF)
 
 
+@query(f""", {EVENTS_SQL} SELECT lot_id, kind, concat_ws(chr(10), title, 'Lance mínimo: R$ ' || CAST(nullif(CASE kind WHEN 'PRACA_SEGUNDA' THEN second_min ELSE first_min END, 0) AS VARCHAR), 'Avaliação: R$ ' || CAST(nullif(appraisal, 0) AS VARCHAR), CASE WHEN lot_id % 3 = 0 THEN 'Processo: C-' || lot_id END,
+CASE WHEN kind = 'PRAZO_HABILITACAO' THEN '{outputs.ESTIMATE}' END, CASE WHEN lot_id % 5 = 0 THEN 'Remarcado: era ' || strftime(at - INTERVAL 1 DAY, '%d/%m/%Y %H:%M') || ' UTC.' END, '{outputs.DISCLAIMER}', CASE WHEN lot_id % 2 = 0 THEN 'Fonte: http://x/' || lot_id END) AS description FROM wanted w JOIN lots l USING (lot_id)""", with_lots=True)
+def calendar_descriptions(spark, sf_dir):
+    """O1: what the entry of each event of each lot says."""
+    k = F.col("lot_id")
+    own = lots(spark, sf_dir).withColumns({"case_number": F.when(k % 3 == 0, F.concat(F.lit("C-"), k.cast("string"))), "source_url": F.when(k % 2 == 0, F.concat(F.lit("http://x/"), k.cast("string")))})
+    rows = _events(spark, sf_dir).join(own, "lot_id").withColumns({"estimated": F.col("kind") == "PRAZO_HABILITACAO", "moved_from": F.when(k % 5 == 0, F.col("at") - F.expr("INTERVAL 1 DAY"))})
+    return rows.select("lot_id", "kind", outputs.description(rows).alias("description"))
+
+
 @query("SELECT CASE WHEN nature = 'x' THEN '' ELSE '- ' || title || ' — ' || city || ': R$ ' || translate(format('{:,.2f}', CAST(first_min AS DOUBLE)), ',.', '.,') || CASE WHEN discount > 0 THEN ' (' || CAST(CAST(discount AS BIGINT) AS VARCHAR) || '% abaixo)' ELSE '' END END AS line, lot_id FROM lots", with_lots=True)
 def digest_lines(spark, sf_dir):
     """O5."""
