@@ -9,28 +9,89 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _accents() -> tuple[str, str]:
-    """Latin letters with marks, and the plain letter of each; ordinal signs count as letters."""
-    pairs = {"º": "o", "ª": "a"}
-    for code in range(0xC0, 0x180):
-        base = unicodedata.normalize("NFKD", chr(code))
-        plain = "".join(c for c in base if not unicodedata.combining(c))
-        if plain != chr(code) and len(plain) == 1 and plain.isascii():
-            pairs[chr(code)] = plain
-    return "".join(pairs), "".join(pairs.values())
+def decomposed(text: str) -> str:
+    """Compatibility decomposition without marks, in plain Python."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
 
 
-ACCENTED, UNACCENTED = _accents()
+def plain(text: str) -> str:
+    """`comparable` in full, in plain Python: for what a table function reads from pages."""
+    return " ".join(decomposed(text).lower().split())
+
+
+def _letters(codes: range) -> tuple[str, str, str, str]:
+    """Letters with the one letter that their decomposition leaves; marks, of which nothing is left; and a class of
+    those of which several are left."""
+    one, marks, several = {}, [], []
+    for c in map(chr, codes):
+        if "\ud800" <= c <= "\udfff" or (left := decomposed(c)) == c:
+            continue
+        if len(left) == 1:
+            one[c] = left
+        else:
+            (several if left else marks).append(c)
+    return "".join(one), "".join(one.values()), "".join(marks), "".join(several)
+
+
+#: Latin letters with marks and ordinal signs, with the plain letter of each.
+ACCENTED, UNACCENTED = _letters(range(0xAA, 0x180))[:2]
+#: The same of the whole basic plane, its marks, and the letters that become several.
+LETTERS, PLAIN_LETTERS, MARKS, SEVERAL = _letters(range(0x80, 0x10000))
 
 
 def unaccented(c: Column) -> Column:
-    """Same length as before, so that offsets hold."""
-    return F.translate(c, ACCENTED, UNACCENTED)
+    """Letters without marks. Same length as before, so that offsets hold: marks on their own and letters that become
+    several stay (see `decomposed_column`)."""
+    return F.translate(c, LETTERS, PLAIN_LETTERS)
+
+
+def _hard() -> str:
+    """A class of the letters that a translation can't decompose, as ranges."""
+    runs: list[list[int]] = []
+    for code in map(ord, sorted(SEVERAL + MARKS)):
+        if runs and runs[-1][1] == code - 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"\\x{{{a:04x}}}-\\x{{{b:04x}}}" for a, b in runs) + "\\x{10000}-\\x{10ffff}]"
+
+
+def decomposed_column(c: Column) -> Column:
+    """A struct of the text decomposed in full, without marks, and `starts`: for each letter of it the place (from 0)
+    of the letter it comes from, so that a place found in it is told of the original; null where places are the same.
+
+    Only texts with marks, ligatures or letters beyond the basic plane are sent to Python; null gives a null text.
+    Marks are put in canonical order first, but as all go, places stay in order.
+    """
+    from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+    made = StructType([StructField("plain", StringType()), StructField("starts", ArrayType(IntegerType()))])
+
+    @F.pandas_udf(made)
+    def slow(texts):
+        import pandas as pd
+
+        def one(text):
+            if text is None:
+                return None, None
+            pieces = [decomposed(x) for x in text]
+            return "".join(pieces), [i for i, p in enumerate(pieces) for _ in p]
+
+        return pd.DataFrame([one(t) for t in texts], columns=["plain", "starts"])
+
+    hard = c.rlike(_hard())
+    found = slow(F.when(hard, c))
+    return F.struct(F.when(hard, found["plain"]).otherwise(unaccented(c)).alias("plain"), F.when(hard, found["starts"]).alias("starts"))
+
+
+def original_place(decomposed: Column, place: Column) -> Column:
+    """The place in the original of a place (from 0) in `decomposed`, a struct of decomposed_column."""
+    return F.when(decomposed["starts"].isNull(), place).otherwise(F.get(decomposed["starts"], place))
 
 
 def comparable(c: Column) -> Column:
-    """Lower case, no accents, single blanks, trimmed; null gives ''."""
-    return F.coalesce(F.trim(F.regexp_replace(F.lower(unaccented(c)), r"[\s ]+", " ")), F.lit(""))
+    """Lower case, no accents or marks, single blanks, trimmed; null gives ''. Letters that become several stay."""
+    return F.coalesce(F.trim(F.regexp_replace(F.lower(F.translate(c, LETTERS + MARKS, PLAIN_LETTERS)), r"[\s ]+", " ")), F.lit(""))
 
 
 def tidy(c: Column) -> Column:

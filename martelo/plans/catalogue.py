@@ -137,6 +137,14 @@ def text_norm(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", c.alias("plain"), F.length(c).cast("long").alias("n"))
 
 
+@query(f"SELECT doc_id, translate(text, '{text.ACCENTED}', '{text.UNACCENTED}') || 'fim fi' AS plain, length(text) + 5 AS place FROM documents")
+def text_in_full(spark, sf_dir):
+    """Texts decomposed in full, a ligature and marks after each, and where its last two letters come from."""
+    c = F.concat(F.col("text"), F.lit("fi\u0301m \ufb01"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", text.decomposed_column(c).alias("d"))
+    return rows.select("doc_id", "d.plain", text.original_place(F.col("d"), F.length("d.plain") - 1).cast("long").alias("place"))
+
+
 @query(f"SELECT doc_id FROM documents WHERE contains({PLAIN.format('text')}, 'and') AND contains({PLAIN.format('text')}, 'the') AND contains({PLAIN.format('text')}, 'ation')")
 def text_terms_and(spark, sf_dir):
     return read(spark, sf_dir, "documents").filter(text.holds_all(text.comparable(F.col("text")), ["and", "the", "ation"])).select("doc_id")
@@ -680,6 +688,27 @@ def html_links(spark, sf_dir):
     return html.links(read(spark, sf_dir, "pages"))
 
 
+@query("""WITH found AS (SELECT page_id, url, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS l FROM pages)),
+every AS (SELECT page_id, i, regexp_extract(t, 'href="([^"]*)"', 1) AS href, trim(regexp_extract(t, '>([^<]*)<', 1)) AS label, regexp_extract(url, '^(https?://[^/]*)', 1) AS host FROM found),
+seen AS (SELECT page_id, CASE WHEN starts_with(href, '/') THEN host || href ELSE href END AS href, arg_min(label, i) AS label, min(i) AS i FROM every WHERE href <> '' AND NOT regexp_matches(href, '^(javascript:|mailto:|#)') GROUP BY ALL)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS n, href, label FROM (SELECT page_id, href, arg_min(label, i) AS label, min(i) AS i FROM seen GROUP BY page_id, href)""")
+def absolute_links(spark, sf_dir):
+    """Links to other pages, absolute, each once on a page."""
+    return html.page_links(read(spark, sf_dir, "pages"))
+
+
+@query("""SELECT s_suppkey AS page_id, CAST(n AS INTEGER) AS n, CASE n WHEN 0 THEN 'coluna_1=fora|nome=' || s_name || '|nome__href=https://exemplo.invalid/p/' || s_suppkey WHEN 1 THEN 'matricula=12 AL|nome=x' || s_suppkey ELSE 'coluna_2=mais|matricula=|nome=ultimo' END AS cells FROM supplier, (VALUES (0), (1), (2)) AS t(n)""")
+def table_cells(spark, sf_dir):
+    """Cells of tables in a layout table; headers that differ by accents join, cells beyond them have a name,
+    empty rows go."""
+    k = F.col("s_suppkey").cast("string")
+    inner = F.concat(F.lit("<table><tr><th>Nome</th><th>Matrícula</th><th></th></tr></table><table><tr><th> NOME </th></tr><tr><td><a href='/p/"), k, F.lit("'>"), F.col("s_name"), F.lit("</a></td><td>fora</td></tr></table><table><tr><th>Nome</th><th>Matrícula</th><th>Matricula</th></tr><tr><td>x"), k, F.lit("</td><td>12</td><td>AL</td></tr><tr><td></td><td> </td><td></td></tr></table><table><tr><th>Nome</th><th>Matricula</th></tr><tr><td>ultimo</td><td></td><td>mais</td></tr></table>"))
+    page = F.concat(F.lit("<table><tbody><tr><td>Menu</td></tr><tr><td>"), inner, F.lit("</td></tr></tbody></table>"))
+    pages = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"), F.lit("https://exemplo.invalid/lista/").alias("url"), page.alias("html"))
+    told = F.array_join(F.array_sort(F.transform(F.map_entries("cells"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), "|")
+    return html.tables(pages, url="url").select("page_id", "n", told.alias("cells"))
+
+
 def _listing(spark, sf_dir):
     """Listing pages of four cards and a menu, one for each customer, as most platforms write them."""
     k = F.col("c_custkey").cast("string")
@@ -728,7 +757,7 @@ def register_auctioneers(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 2 = 0 THEN 'Maceió' END AS comarca, CASE WHEN o_orderkey % 2 = 0 THEN '2ª Vara' END AS chamber, CASE WHEN o_orderkey % 2 = 0 THEN 'Edital 7' ELSE 'Edital de leilão 10/11/2026' END AS title, TIMESTAMP '2026-11-10 03:00:00' AS first_at,
-CASE WHEN o_orderkey % 2 = 0 THEN '/e/' || o_orderkey || '.pdf' ELSE 'x' || o_orderkey || '.pdf' END AS document FROM orders""")
+'https://exemplo.invalid/' || CASE WHEN o_orderkey % 2 = 0 THEN 'e/' || o_orderkey ELSE 'x' || o_orderkey END || '.pdf' AS document FROM orders""")
 def court_notice_pages(spark, sf_dir):
     """courts' tables by known headers, or else links to notices."""
     k = F.col("o_orderkey").cast("string")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from html.parser import HTMLParser
 from typing import Any
+from urllib.parse import urljoin
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import plain
+
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
-#: At least so many siblings of one tag and class make a list of cards.
-LEAST_CARDS = 3
+#: Elements that may be cards; at least so many of one tag and class on a page make a list of them.
+CARD_TAGS, LEAST_CARDS = ("li", "article", "div", "section"), 3
+#: Beginnings of links that lead to no page.
+NO_PAGE = ("javascript:", "mailto:", "#")
 
 
 class Node:
@@ -19,22 +25,24 @@ class Node:
     def __init__(self, tag: str, attributes: dict, parent: Node | None) -> None:
         self.tag, self.attributes, self.parent, self.children, self.text = tag, attributes, parent, [], []
 
-    def words(self) -> str:
+    def words(self, without: tuple[str, ...] = ("script", "style")) -> str:
         """The text below, without scripts and styles, in single blanks. Pages may nest to any depth."""
         pieces, waiting = [], [self]
         while waiting:
             piece = waiting.pop()
             if not isinstance(piece, Node):
                 pieces.append(piece)
-            elif piece is self or piece.tag not in ("script", "style"):
+            elif piece is self or piece.tag not in without:
                 waiting.extend(reversed(piece.text))
         return " ".join(" ".join(pieces).split())
 
-    def below(self):
-        """Every node below, in the order of the page."""
+    def below(self, without: tuple[str, ...] = ()):
+        """Every node below, in the order of the page, without what stands in those of some tags."""
         waiting = list(reversed(self.children))
         while waiting:
             node = waiting.pop()
+            if node.tag in without:
+                continue
             yield node
             waiting.extend(reversed(node.children))
 
@@ -70,36 +78,68 @@ def links_of(html: str | None) -> list[tuple[str, str]]:
     return [(a.attributes.get("href") or "", a.words()) for a in Tree(html or "").root.find("a") if a.attributes.get("href")]
 
 
-def table_rows_of(html: str | None) -> list[dict[str, str]]:
-    """Rows of every table that has a header, by header; same headers join; a link's target as '<header>__href'."""
+def absolute(base: str | None, href: str) -> str:
+    """The link seen from its page; as it stands where either is no address."""
+    try:
+        return urljoin(base or "", href.strip())
+    except ValueError:
+        return href.strip()
+
+
+def page_links_of(html: str | None, base: str | None) -> list[tuple[str, str]]:
+    """Absolute links to pages with the label of their first place, each once."""
+    found: dict[str, str] = {}
+    for href, label in links_of(html):
+        if href.strip() and not href.strip().lower().startswith(NO_PAGE):
+            found.setdefault(absolute(base, href), label)
+    return list(found.items())
+
+
+def table_rows_of(html: str | None, base: str | None = None) -> list[dict[str, str]]:
+    """Filled rows of every table by its first row's cells in their comparison form. Same headers join, a cell beyond
+    them is 'coluna_<place>', the first link's target is '<header>__href'. Tables inside a cell tell their own rows."""
     rows = []
     for t in Tree(html or "").root.find("table"):
-        head: list[str] = []
-        for tr in t.find("tr"):
+        head: list[str] | None = None
+        for tr in (n for n in t.below(("table",)) if n.tag == "tr"):
             cells = [c for c in tr.children if c.tag in ("td", "th")]
-            if not head:
-                head = [c.words().lower() for c in cells]
+            if not cells:
+                continue
+            texts = [c.words(("script", "style", "table")) for c in cells]
+            if head is None:
+                head = [plain(x) for x in texts]
                 continue
             row: dict[str, str] = {}
-            for name, cell in zip(head, cells, strict=False):
-                row[name] = f"{row[name]} {cell.words()}".strip() if name in row else cell.words()
-                if href := next((a.attributes.get("href") for a in cell.find("a") if a.attributes.get("href")), None):
-                    row[f"{name}__href"] = href
-            rows.append(row)
+            for i, (cell, said) in enumerate(zip(cells, texts, strict=True)):
+                name = head[i] if i < len(head) else f"coluna_{i}"
+                row[name] = f"{row[name]} {said}".strip() if name in row else said
+                if href := next((h for a in cell.below(("table",)) if a.tag == "a" and (h := a.attributes.get("href"))), None):
+                    row.setdefault(f"{name}__href", absolute(base, href))
+            if any(row.values()):
+                rows.append(row)
     return rows
 
 
 def card_nodes(root: Node) -> list[Node]:
-    """The largest group of siblings with one tag and class, three or more; the first of equals."""
-    best: list[Node] = []
-    for node in (root, *root.below()):
-        groups: dict[tuple[str, str], list[Node]] = {}
-        for c in node.children:
-            groups.setdefault((c.tag, c.attributes.get("class") or ""), []).append(c)
-        for kind, members in groups.items():
-            if kind[1] and len(members) >= LEAST_CARDS and len(members) > len(best):
-                best = members
-    return best
+    """The most elements of one tag and set of classes on the page, wherever they stand, three or more; of equally
+    many those with most text, then the first. A single pass measures the text of all elements."""
+    groups: dict[tuple[str, str], list[Node]] = defaultdict(list)
+    nodes = list(root.below())
+    for node in nodes:
+        if node.tag in CARD_TAGS and (classes := (node.attributes.get("class") or "").split()):
+            groups[node.tag, " ".join(sorted(classes))].append(node)
+    most = max(map(len, groups.values()), default=0)
+    if most < LEAST_CARDS:
+        return []
+    largest = [g for g in groups.values() if len(g) == most]
+    if len(largest) == 1:
+        return largest[0]
+    size: dict[int, int] = defaultdict(int)  # letters of each element with a blank after each word
+    for node in reversed(nodes):
+        size[id(node)] += sum(len(w) + 1 for piece in node.text if isinstance(piece, str) for w in piece.split())
+        if node.parent is not None and node.tag not in ("script", "style"):
+            size[id(node.parent)] += size[id(node)]
+    return max(largest, key=lambda g: sum(max(size[id(n)] - 1, 0) for n in g))
 
 
 def cards_of(html: str | None) -> list[str]:
@@ -142,19 +182,26 @@ def mapped(pages: DataFrame, columns: list[str], schema: str, rows) -> DataFrame
 
 
 def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """Every anchor with a target, as written."""
     return mapped(pages, [key, html], "n int, href string, label string", links_of)
 
 
-def tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    return mapped(pages, [key, html], "n int, cells map<string,string>", lambda t: [(list(r.items()),) for r in table_rows_of(t)])
+def page_links(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
+    """Links to other pages, absolute, each once on a page; n counts those that stay."""
+    return mapped(pages, [key, html, url], "n int, href string, label string", page_links_of)
+
+
+def tables(pages: DataFrame, key: str = "page_id", html: str = "html", url: str | None = None) -> DataFrame:
+    """Rows of tables as maps; links are absolute where url names the column of the page's address."""
+    return mapped(pages, [key, html, *([url] if url else [])], "n int, cells map<string,string>", lambda *page: [(list(r.items()),) for r in table_rows_of(*page)])
 
 
 def cards(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     return mapped(pages, [key, html], "n int, text string", lambda t: [(x,) for x in cards_of(t)])
 
 
-def pdf_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    return links(pages, key, html).filter(F.lower("href").rlike(r"\.pdf(\?|#|$)"))
+def pdf_links(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
+    return page_links(pages, key, html, url).filter(F.lower("href").rlike(r"\.pdf(\?|#|$)"))
 
 
 #: Words of the headers that a register's and a court's tables are known by.
@@ -162,17 +209,9 @@ REGISTER_HEADERS = ("nome", "leiloeiro", "matricula", "registro", "situacao", "c
 NOTICE_HEADERS = ("processo", "comarca", "edital", "data", "leilao", "vara", "leiloeiro")
 
 
-def known_tables(pages: DataFrame, headers: tuple[str, ...], least: int, key: str = "page_id", html: str = "html") -> DataFrame:
-    """Rows of tables whose headers hold at least `least` of the words, without accents; header names likewise."""
-    from ..functions.text import comparable
-
-    rows = tables(pages, key, html)
-    # headers may differ by accents only: their cells join, and the first of their links stays
-    entries = F.transform(F.map_entries("cells"), lambda e: F.struct(F.replace(comparable(F.regexp_replace(e["key"], "__href$", "\u0001")), F.lit("\u0001"), F.lit("__href")).alias("key"), F.coalesce(e["value"], F.lit("")).alias("value")))
-    texts = lambda k: F.transform(F.filter(entries, lambda e: e["key"] == k), lambda e: e["value"])
-    joined = lambda k: F.when(k.endswith("__href"), F.get(texts(k), F.lit(0))).otherwise(F.trim(F.array_join(texts(k), " ")))
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    rows = rows.withColumn("cells", F.map_from_arrays(keys, F.transform(keys, joined)))
+def known_tables(pages: DataFrame, headers: tuple[str, ...], least: int, key: str = "page_id", html: str = "html", url: str | None = None) -> DataFrame:
+    """Rows of tables whose headers hold at least `least` of the words."""
+    rows = tables(pages, key, html, url)
     names = F.array_join(F.filter(F.map_keys("cells"), lambda k: ~k.endswith("__href")), " ")
     hits = sum((F.contains(names, F.lit(h)).cast("int") for h in headers), F.lit(0))
     return rows.filter(hits >= least)
@@ -218,7 +257,7 @@ def register_rows(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     own = [
         tidy(F.coalesce(F.nullif(F.col("head"), F.lit("")), F.substring_index("text", " | ", 1))).alias("name"),
         F.nullif(F.regexp_extract(low, r"(?i)(?:matricula|registro|jucea?l?|jucese|jucepe)\s*:?\s*(?:n[o.]?\s*)?([\w/-]+)", 1), F.lit("")).alias("licence"),
-        register_status(F.col("text")).alias("status"), F.array().cast("array<string>").alias("districts"), first_email(F.col("text")).alias("email"), first_phone(F.col("text")).alias("phone"), first_site(F.col("hrefs")).alias("site"),
+        register_status(F.col("text")).alias("status"), F.array().cast("array<string>").alias("districts"), first_email(F.col("text")).alias("email"), first_phone(F.col("text")).alias("phone"), F.coalesce(first_site(F.col("hrefs")), F.nullif(F.regexp_extract("text", r"(https?://[^\s,;)\"']+)", 1), F.lit(""))).alias("site"),
     ]
     carded = found.filter(F.length("text") >= 10).select(key, "n", *own).filter(good)
     every = listed.unionByName(carded)
@@ -245,11 +284,11 @@ def court_notices(pages: DataFrame, key: str = "page_id", html: str = "html", ur
 
     body = F.array_join(F.map_values(F.map_filter("cells", lambda k, _: ~k.endswith("__href"))), " ")
     columns = [case_number(body).alias("case_number"), by_label("comarca", "circunscricao", "foro", "municipio").alias("comarca"), by_label("vara", "juizo", "unidade").alias("chamber"), by_label("leiloeiro", "responsavel").alias("auctioneer"), F.substring(by_label("edital", "leilao", "titulo", "objeto", "descricao"), 1, 300).alias("title"), moment(F.coalesce(by_label("data", "praca", "sessao", "realizacao"), body)).alias("at"), first_href().alias("document")]
-    listed = known_tables(pages, NOTICE_HEADERS, 2, key, html).filter(F.length(body) >= 8).select(key, "n", *columns)
+    listed = known_tables(pages, NOTICE_HEADERS, 2, key, html, url).filter(F.length(body) >= 8).select(key, "n", *columns)
     listed = listed.filter("case_number is not null or title is not null or comarca is not null")
     rest = pages.join(listed.select(key).distinct(), key, "left_anti")
     label = F.coalesce(tidy(F.col("label")), F.substring_index("href", "/", -1))
     none = F.lit(None).cast("string")
-    linked = pdf_links(rest, key, html).filter(F.concat_ws(" ", label, "href").rlike(r"(?i)edital|leil[aã]o|hasta|praça|praca"))
+    linked = pdf_links(rest, key, html, url).filter(F.concat_ws(" ", label, "href").rlike(r"(?i)edital|leil[aã]o|hasta|praça|praca"))
     linked = linked.select(key, "n", case_number(F.concat_ws(" ", label, "href")).alias("case_number"), none.alias("comarca"), none.alias("chamber"), none.alias("auctioneer"), F.substring(label, 1, 300).alias("title"), moment(label).alias("at"), F.col("href").alias("document"))
     return listed.unionByName(linked)

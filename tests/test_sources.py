@@ -119,3 +119,37 @@ def test_headers_that_differ_by_accents_join(spark):
     page = "<table><tr><th>Nome</th><th>Matrícula</th><th>Matricula</th><th>Situação</th></tr><tr><td>Ana <a href='/a'>x</a></td><td>12</td><td>AL</td><td>ativa</td></tr></table>"
     found = html.known_tables(spark.createDataFrame([(1, page)], "page_id int, html string"), html.REGISTER_HEADERS, 2).collect()
     assert [r.cells for r in found] == [{"nome": "Ana x", "nome__href": "/a", "matricula": "12 AL", "situacao": "ativa"}]
+
+
+def test_page_trees(spark):
+    page = "<a href=' #x'>s</a><a href='javascript:f()'>j</a><a href='b.pdf?v=1'>B</a><a href='/p/b.pdf?v=1'>again</a><a href='http://[bad'>bad</a><a href='MAILTO:a@b.c'>m</a><a name='n'>n</a>"
+    assert html.page_links_of(page, "https://h.invalid/p/q") == [("https://h.invalid/p/b.pdf?v=1", "B"), ("http://[bad", "bad")]
+    assert html.page_links_of(page, None) == [("b.pdf?v=1", "B"), ("/p/b.pdf?v=1", "again"), ("http://[bad", "bad")] and html.page_links_of(None, "https://h.invalid/") == []
+    # a page's cards stand under several parents, their classes in any order; equal groups differ by text
+    spread = "<section><div class='lot big'>a</div></section><section><div class='big lot'>b</div><p><div class='lot big'>c</div></p></section><ul><li class='m'>1</li><li class='m'>2</li></ul>"
+    assert html.cards_of(spread) == ["a", "b", "c"]
+    tie = "".join(f"<li class='m'>{i}</li>" for i in range(3)) + "".join(f"<div class='c'>card {i}<script>{'x' * 99}</script></div>" for i in range(3))
+    assert html.cards_of(tie) == ["card 0", "card 1", "card 2"] and html.cards_of(tie.replace("card", "")) == ["0", "1", "2"]
+    assert html.cards_of("<span class='c'>1</span>" * 5) == html.cards_of("") == html.cards_of(None) == []
+    nested = "<table><tr><td>Nome</td><td><table><tr><th>Vara</th></tr><tr><td>2ª</td></tr></table></td></tr><tr><td>Ana</td></tr></table>"
+    assert html.table_rows_of(nested) == [{"nome": "Ana"}, {"vara": "2ª"}] and html.table_rows_of("<table></table>") == []
+    odd = spark.createDataFrame([(1, None, None), (2, "", "u")], "page_id int, html string, url string")
+    assert html.page_links(odd).count() == html.tables(odd, url="url").count() == html.cards(odd).count() == 0
+
+
+def test_decomposition_of_the_whole_plane(spark):
+    import unicodedata
+
+    every = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(every[i : i + 97]) for i in range(0, len(every), 97)] + every[::7] + ["", "n\u0303ao", "\U0001d400x", "\ufb01\ufb01\u0301a"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string").repartition(4)
+    found = rows.select("i", text.decomposed_column(text.F.col("t")).alias("d"), text.comparable(text.F.col("t")).alias("c")).collect()
+    full = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    for i, d, c in found:
+        if i < 0:
+            assert d.plain is None and c == ""
+            continue
+        assert d.plain == full(texts[i])
+        starts = range(len(texts[i])) if d.starts is None else d.starts
+        assert len(starts) == len(d.plain) and all(d.plain[p] in full(texts[i][s]) for p, s in enumerate(starts))
+    assert {texts[i]: c for i, _, c in found if i >= 0}["n\u0303ao"] == "nao"
