@@ -14,7 +14,13 @@ REGISTER_STATUS = (
     *((w, "ATIVO") for w in ("ativ", "em exercicio", "em atividade", "regular", "habilitad")),
 )
 #: Fixed values, first match first: words of a listing's status.
-LOT_STATUS = (("suspens", "SUSPENSO"), ("cancelad", "CANCELADO"), ("arrematad", "ARREMATADO"), ("desert", "DESERTO"), ("encerrad", "ENCERRADO"))
+LOT_STATUS = (
+    *((w, "ARREMATADO") for w in ("arremat", "vendido", "adjudicad")),
+    *((w, "SUSPENSO") for w in ("suspens", "sobrestad")),
+    *((w, "DESERTO") for w in ("deserto", "sem lance", "negativo")),
+    *((w, "CANCELADO") for w in ("cancelad", "revogad", "anulad")),
+    *((w, "ENCERRADO") for w in ("encerrad", "finalizad")),
+)
 
 
 def first_word(c: Column, table, otherwise: str) -> Column:

@@ -98,6 +98,68 @@ def merge(old: DataFrame, new: DataFrame, key: str, fill: Sequence[str], append:
     return both.select(*made, F.array_compact(F.array(*changed)).alias("changed"))
 
 
+def rules_case(source: Column) -> Column:
+    """Whether a source may replace a stored case, district and chamber: a court or an official gazette."""
+    rank = F.lit(0)
+    for name, n in SOURCE_RANK.items():
+        rank = F.when(source == name, n).otherwise(rank)
+    return rank >= COURT_RANK
+
+
+def merge_auctioneers(old: DataFrame, new: DataFrame, as_of: str) -> DataFrame:
+    """Auctioneers with what registers and courts tell of them merged in; `created` marks those that were not there.
+
+    old: auctioneer_id, name, register, licence, uf, status, districts, credentials, site, email, phone, checked_at.
+    new: name, register, licence, uf, status, districts, source, site, email, phone, in any number of rows for one;
+    `sequence` orders them. A row belongs to who bears its name, or its licence in its register. Blanks take the first
+    filled value; a known status takes the place of any; districts append; a court's source (tj...) is a credential of
+    that court. Those found nowhere are one by name and get ids after the largest, in the names' order; the row that brings
+    one in gives no credential, later rows do. Rows without a name go.
+    """
+    ranked = match_auctioneers(new.filter(F.col("name").isNotNull()), old)
+    name = comparable(F.col("name"))
+    first = lambda c: F.min_by(F.nullif(F.col(c), F.lit("")), F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), F.col("sequence"))).alias(c)
+    known_status = F.when(F.col("status") != "DESCONHECIDO", F.col("sequence"))
+    lists = F.array_sort(F.collect_list(F.struct("sequence", F.coalesce("districts", F.array().cast("array<string>")).alias("d"))))
+    court = F.when(F.col("source").startswith("tj"), F.upper(F.substring_index("source", "-", 1)))
+    told = ranked.groupBy("auctioneer_id", F.when(F.col("auctioneer_id").isNull(), name).alias("_name")).agg(
+        F.min_by("name", "sequence").alias("name"), *(first(c) for c in ("register", "licence", "uf", "site", "email", "phone")),
+        F.max_by(F.when(known_status.isNotNull(), F.col("status")), known_status).alias("status"),
+        F.array_distinct(F.flatten(F.transform(lists, lambda x: x["d"]))).alias("districts"),
+        F.collect_set(F.when(court.isNotNull(), F.struct("sequence", court.alias("court")))).alias("courts"), F.min("sequence").alias("_start"),
+    )
+    moment = F.lit(as_of).cast("timestamp_ntz")
+    o, n = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"n.{c}"))
+    empty = F.array().cast("array<string>")
+    held = F.coalesce(o("credentials"), F.create_map().cast("map<string,boolean>"))
+    fresh = F.array_sort(F.array_distinct(F.coalesce(F.transform(n("courts"), lambda x: x["court"]), empty)))
+    every = F.array_union(F.map_keys(held), fresh)
+    credentials = F.map_from_arrays(every, F.transform(every, lambda k: F.array_contains(fresh, k) | F.coalesce(F.try_element_at(held, k), F.lit(False))))
+    both = old.alias("o").join(told.filter("auctioneer_id is not null").alias("n"), "auctioneer_id", "left")
+    fill = {c: F.coalesce(F.nullif(o(c), F.lit("")), n(c)) for c in ("register", "licence", "site", "email", "phone")}
+    # a list that a row lacks appends nothing
+    districts = F.array_distinct(F.concat(F.coalesce(o("districts"), empty), F.coalesce(n("districts"), empty)))
+    kept = {**fill, "status": F.coalesce(n("status"), o("status")), "districts": districts, "credentials": credentials, "checked_at": F.when(n("name").isNotNull(), moment).otherwise(o("checked_at"))}
+    merged = both.select(*(kept.get(c, F.col("auctioneer_id") if c == "auctioneer_id" else o(c)).alias(c) for c in old.columns), F.lit(False).alias("created"))
+    later = F.array_sort(F.array_distinct(F.transform(F.filter("courts", lambda x: x["sequence"] > F.col("_start")), lambda x: x["court"])))
+    born = told.filter("auctioneer_id is null").join(old.agg(F.coalesce(F.max("auctioneer_id"), F.lit(0)).alias("_top")))
+    numbered = _numbered(born, "_name")
+    made = {"auctioneer_id": F.col("_top") + F.col("_n"), "status": F.coalesce("status", F.lit("DESCONHECIDO")), "credentials": F.map_from_arrays(later, F.transform(later, lambda _: F.lit(True))), "checked_at": moment}
+    return merged.unionByName(numbered.select(*(made.get(c, F.col(c)).cast(dict(old.dtypes)[c]).alias(c) for c in old.columns), F.lit(True).alias("created")))
+
+
+def _numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows with _n, from 1 in the order of a column of distinct texts. Rows are numbered within blocks of equal first two
+    letters; a running sum over the blocks, which are few, gives each its start, so no task holds all rows."""
+    from pyspark.sql import Window
+
+    block = F.substring(order, 1, 2)
+    sizes = rows.groupBy(block.alias("_block")).agg(F.count(F.lit(1)).alias("_size"))
+    starts = sizes.withColumn("_before", F.sum("_size").over(Window.orderBy("_block")) - F.col("_size")).drop("_size")
+    inside = rows.withColumns({"_block": block}).withColumn("_at", F.row_number().over(Window.partitionBy("_block").orderBy(order)))
+    return inside.join(starts, "_block").withColumn("_n", F.col("_before") + F.col("_at")).drop("_block", "_at", "_before")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
     """Old rows with new ones over them by key, null keys equal to null; of several new ones the last by `order`."""
     names = old.columns

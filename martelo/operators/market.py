@@ -13,6 +13,15 @@ NOISE_WORDS = ("flex", "4p", "5p", "2p", "aut", "mec", "16v", "12v", "8v", "v",
 LEAST_LIKENESS, OTHER_YEAR = "0.34", "0.6"
 #: Sources that tell of a market.
 MARKET_SOURCES = ("FIPE", "FIPEZAP", "COMPARAVEIS")
+#: What an analysis says of itself, in this order.
+OLD_APPRAISAL = "O valor de avaliação vem do laudo judicial e pode estar defasado em relação ao mercado — confira a data do laudo no edital."
+SESSION_PASSED = "A praça usada como base já ocorreu; o lote pode estar encerrado."
+NORMAL_USE = "A tabela FIPE é referência para veículo em estado normal de uso. Veículo de leilão costuma ter deságio adicional."
+ASKED_PRICES = "O FipeZap mede preço de ANÚNCIO por m², não preço de venda fechado."
+TOTAL_AREA = "Usada a área total por falta de área privativa no edital; o índice é calculado sobre área útil, então a referência tende a ficar superestimada."
+#: Likeness below which a vehicle's model is told to be a guess.
+SURE_LIKENESS = 0.6
+DEMO_VALUE, DEMO_INDEX = "ATENÇÃO: valor de referência de DEMONSTRAÇÃO. Carregue a tabela real antes de usar em decisão.", "ATENÇÃO: índice de DEMONSTRAÇÃO. Carregue o boletim real antes de usar em decisão."
 
 
 def money2(c: Column) -> Column:
@@ -89,35 +98,64 @@ def index_value(lots: DataFrame, index: DataFrame) -> DataFrame:
     return found.select(*lots.columns, F.coalesce("_d", "_c").alias("value_m2"), F.coalesce("_dm", "_cm").alias("month"), precision.alias("precision"))
 
 
+def _have(df: DataFrame, name: str, kind: str) -> Column:
+    return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
+
+
+def _warnings(*said: Column) -> Column:
+    return F.array_compact(F.array(*said)).alias("warnings")
+
+
+def _compared(df: DataFrame) -> Column:
+    """The session whose minimum was compared, where lots tell its ordinal."""
+    return F.coalesce(F.concat(F.lit(" Comparado ao lance mínimo da "), _have(df, "ordinal", "string"), F.lit("ª praça.")), F.lit(" Comparado ao lance mínimo."))
+
+
 def appraisal_analysis(lots: DataFrame) -> DataFrame:
-    """lots carry minimum (of the current session) and appraisal. Lots without either have no analysis."""
+    """lots carry minimum (of the current session) and appraisal, and may carry that session's ordinal and `passed`.
+    Lots without minimum or appraisal have no analysis. Every analysis tells its warnings and its method."""
     known = lots.filter("appraisal > 0 and minimum is not null")
-    return known.select("lot_id", F.lit("LAUDO_JUDICIAL").alias("source"), F.col("appraisal").alias("reference"), F.col("minimum").alias("compared"), discount(F.col("appraisal"), F.col("minimum")).alias("discount"), F.lit("0.850").cast("decimal(5,3)").alias("confidence"))
+    passed = F.when(_have(known, "passed", "boolean"), SESSION_PASSED)
+    method = F.concat(F.lit("Desconto sobre a avaliação judicial: lance mínimo"), F.coalesce(F.concat(F.lit(" da "), _have(known, "ordinal", "string"), F.lit("ª praça")), F.lit("")), F.lit(" ("), money2(F.col("minimum")).cast("string"), F.lit(") comparado ao valor de avaliação ("), money2(F.col("appraisal")).cast("string"), F.lit(") constante do edital."))
+    return known.select("lot_id", F.lit("LAUDO_JUDICIAL").alias("source"), F.col("appraisal").alias("reference"), F.col("minimum").alias("compared"), discount(F.col("appraisal"), F.col("minimum")).alias("discount"), F.lit("0.850").cast("decimal(5,3)").alias("confidence"), _warnings(F.lit(OLD_APPRAISAL), passed), method.alias("method"))
 
 
 def vehicle_analysis(lots: DataFrame, matches: DataFrame, table: DataFrame) -> DataFrame:
-    """matches: match_models' result for these lots. Stated damage and demonstration rows lower the confidence."""
-    found = lots.filter("asset = 'VEICULO' and minimum is not null").join(matches.withColumnRenamed("id", "lot_id"), "lot_id").join(table.select("ref_id", F.col("value").alias("reference"), "demo"), "ref_id")
+    """matches: match_models' result for these lots. Stated damage and demonstration rows lower the confidence. The
+    table may tell the month of its values."""
+    row = table.select("ref_id", F.col("value").alias("reference"), "demo", F.concat_ws(" ", "brand", "model", F.col("year").cast("string")).alias("_named"), F.col("model").alias("_model"), _have(table, "month", "string").alias("_month"))
+    found = lots.filter("asset = 'VEICULO' and minimum is not null").join(matches.withColumnRenamed("id", "lot_id"), "lot_id").join(row, "ref_id")
     d = lambda x: F.lit(x).cast("decimal(3,2)")
     hurt = F.when(F.coalesce(F.size("damage"), F.lit(0)) > 0, d("0.80")).otherwise(d("1.00"))
     sure = d("0.80") * F.col("likeness").cast("decimal(5,3)") * hurt * F.when(F.col("demo"), d("0.50")).otherwise(d("1.00"))
-    return found.select("lot_id", F.lit("FIPE").alias("source"), "reference", F.col("minimum").alias("compared"), discount(F.col("reference"), F.col("minimum")).alias("discount"), F.bround(F.least(sure, F.lit("0.900").cast("decimal(10,7)")), 3).cast("decimal(5,3)").alias("confidence"))
+    guess = F.concat(F.lit("O modelo do edital foi casado por aproximação com “"), F.col("_model"), F.lit("” (similaridade "), F.col("likeness").cast("string"), F.lit("). Confira se é o mesmo veículo."))
+    worse = F.concat(F.lit("O edital aponta "), F.replace(F.array_join("damage", ", "), F.lit("_"), F.lit(" ")), F.lit(" — isso reduz o valor real abaixo da FIPE."))
+    said = _warnings(F.when(F.col("demo"), DEMO_VALUE), F.lit(NORMAL_USE), F.when(F.col("likeness") < SURE_LIKENESS, guess), F.when(F.size("damage") > 0, worse))
+    method = F.concat(F.lit("FIPE "), F.col("ref_id").cast("string"), F.lit(" — "), F.col("_named"), F.coalesce(F.concat(F.lit(", referência "), F.col("_month")), F.lit("")), F.lit("."), _compared(found))
+    return found.select("lot_id", F.lit("FIPE").alias("source"), "reference", F.col("minimum").alias("compared"), discount(F.col("reference"), F.col("minimum")).alias("discount"), F.bround(F.least(sure, F.lit("0.900").cast("decimal(10,7)")), 3).cast("decimal(5,3)").alias("confidence"), said, method.alias("method"))
 
 
 def index_analysis(lots: DataFrame) -> DataFrame:
-    """lots carry value_m2 and precision. The private area counts; the total area in its place lowers confidence."""
+    """lots carry value_m2 and precision, and may carry demo (of the index). The private area counts; the total area
+    in its place lowers confidence, a demonstration row halves it."""
     area = F.coalesce(F.nullif("private_area", F.lit(0)), "total_area")
     known = lots.filter((F.col("asset") == "IMOVEL") & F.col("minimum").isNotNull() & F.col("value_m2").isNotNull() & (area > 0))
     d = lambda x: F.lit(x).cast("decimal(3,2)")
     reference = money2(F.col("value_m2") * area)
-    sure = F.when(F.col("precision") == "BAIRRO", d("0.70")).otherwise(d("0.55")) * F.when(F.col("private_area").isNull(), d("0.80")).otherwise(d("1.00"))
-    return known.select("lot_id", F.lit("FIPEZAP").alias("source"), reference.alias("reference"), F.col("minimum").alias("compared"), discount(reference, F.col("minimum")).alias("discount"), F.bround(sure, 3).cast("decimal(5,3)").alias("confidence"))
+    demo = F.coalesce(_have(known, "demo", "boolean"), F.lit(False))
+    sure = F.when(F.col("precision") == "BAIRRO", d("0.70")).otherwise(d("0.55")) * F.when(F.col("private_area").isNull(), d("0.80")).otherwise(d("1.00")) * F.when(demo, d("0.50")).otherwise(d("1.00"))
+    place = F.concat(F.when(F.col("precision") == "BAIRRO", F.concat(F.col("district"), F.lit(", "))).otherwise(""), F.coalesce("city", F.lit("")), F.coalesce(F.concat(F.lit("/"), F.col("uf")), F.lit("")), F.coalesce(F.concat(F.lit(" — índice de "), _have(known, "month", "string")), F.lit("")))
+    whole_city = F.concat(F.lit("Não há índice para o bairro "), F.nullif("district", F.lit("")), F.lit("; usada a média da cidade."))
+    said = _warnings(F.when(demo, DEMO_INDEX), F.lit(ASKED_PRICES), F.when(F.col("private_area").isNull(), TOTAL_AREA), F.when(F.col("precision") == "CIDADE", whole_city))
+    method = F.concat(area.cast("string"), F.lit(" m² × R$ "), F.col("value_m2").cast("string"), F.lit("/m² (FipeZap, "), place, F.lit(", precisão "), F.lower("precision"), F.lit(") = R$ "), reference.cast("string"), F.lit("."), _compared(known))
+    return known.select("lot_id", F.lit("FIPEZAP").alias("source"), reference.alias("reference"), F.col("minimum").alias("compared"), discount(reference, F.col("minimum")).alias("discount"), F.bround(sure, 3).cast("decimal(5,3)").alias("confidence"), said, method.alias("method"))
 
 
 def best_analysis(analyses: DataFrame) -> DataFrame:
-    """One analysis for each lot: a market source first, then confidence, then discount; then the source's name."""
+    """One analysis for each lot: a market source first, then confidence, then discount; then the source's name.
+    Warnings and method come along where analyses have them."""
     order = F.struct(F.col("source").isin(*MARKET_SOURCES), "confidence", F.coalesce("discount", F.lit(0).cast("decimal(12,2)")), "source")
-    best = analyses.groupBy("lot_id").agg(F.max_by(F.struct("source", "reference", "compared", "discount", "confidence"), order).alias("b"))
+    best = analyses.groupBy("lot_id").agg(F.max_by(F.struct("source", "reference", "compared", "discount", "confidence", *(c for c in ("warnings", "method") if c in analyses.columns)), order).alias("b"))
     return best.select("lot_id", "b.*")
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parse import LOCAL_HOURS
 from ..functions.text import brazilian_money, ics_escaped
+from .agenda import SESSIONS
 
 #: iCalendar status by event status, minutes of an event by kind.
 ICS_STATUS = {"REMARCADO": "CONFIRMED", "REALIZADO": "CONFIRMED", "SUSPENSO": "TENTATIVE", "CANCELADO": "CANCELLED"}
@@ -113,3 +115,60 @@ def digest_line(title: Column, city: Column, minimum: Column, discount: Column)
     """One lot in a message's plain text."""
     cut = F.when(discount > 0, F.concat(F.lit(" ("), F.translate(discount.cast("string"), ".", ","), F.lit("% abaixo)"))).otherwise("")
     return F.concat(F.lit("- "), title, F.lit(" — "), F.coalesce(city, F.lit("local não informado")), F.lit(": "), brazilian_money(minimum), cut)
+
+
+def html_escaped(c: Column) -> Column:
+    for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
+def said_session(at: Column) -> Column:
+    """A session's local day and time in words."""
+    return F.coalesce(F.date_format(at - F.expr(f"INTERVAL {LOCAL_HOURS} HOURS"), "dd/MM/yyyy 'às' HH'h'mm"), F.lit("sem data de praça"))
+
+
+def digests(alerts: DataFrame, matches: DataFrame, lots: DataFrame, events: DataFrame, base_url: str, analyses: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+    """(alert_id, n, body, html): the message of each alert that has matches (alert_id, lot_id, place), its lots in
+    their order, as plain text and as HTML. An alert's matches are few: alerts choose their best lots.
+
+    alerts: alert_id, name. lots: lot_id, title, district, city, uf, first_min, second_min, appraisal. events: a lot's
+    earliest session is told, never a deadline. analyses: a lot's best one (discount, source); scores: score, band.
+    Nulls and zero prices are told as unknown; texts are escaped in HTML. Matches of unknown lots go.
+    """
+    first = events.filter(F.col("kind").isin(*SESSIONS)).groupBy("lot_id").agg(F.min("at").alias("_at"))
+    rows = matches.select("alert_id", "lot_id", "place").join(lots, "lot_id").join(first, "lot_id", "left")
+    none = lambda kind: F.lit(None).cast(kind)
+    if analyses is not None:
+        rows = rows.join(analyses.select("lot_id", F.col("discount").alias("_discount"), F.col("source").alias("_source")), "lot_id", "left")
+    else:
+        rows = rows.withColumns({"_discount": none("decimal(12,2)"), "_source": none("string")})
+    if scores is not None:
+        rows = rows.join(scores.select("lot_id", F.col("score").alias("_score"), F.col("band").alias("_band")), "lot_id", "left")
+    else:
+        rows = rows.withColumns({"_score": none("double"), "_band": none("string")})
+    title = F.coalesce("title", F.lit("(sem título)"))
+    filled = [F.nullif(F.col(c), F.lit("")) for c in ("district", "city", "uf")]
+    place = F.coalesce(F.nullif(F.concat_ws(", ", *filled), F.lit("")), F.lit("local não informado"))
+    zero = F.lit(0).cast("decimal(14,2)")
+    least = brazilian_money(F.coalesce(F.nullif("second_min", zero), F.nullif("first_min", zero)))
+    appraisal, session = brazilian_money(F.nullif("appraisal", zero)), said_session(F.col("_at"))
+    link = F.concat(F.lit(f"{base_url}/lote/"), F.col("lot_id").cast("string"))
+    below = F.when(F.col("_discount") > 0, F.concat(F.col("_discount").cast("string"), F.lit("% abaixo da referência de "), F.col("_source"))).otherwise("sem desconto estimado")
+    points = F.coalesce(F.concat(F.lit(" · "), F.bround("_score", 0).cast("int").cast("string"), F.lit("/100")), F.lit(""))
+    band = F.concat(F.lit("Oportunidade "), F.initcap(F.lower(F.coalesce("_band", F.lit("INDEFINIDA")))), points)
+    text = F.concat_ws("\n", F.concat(F.lit("- "), title), F.concat(F.lit("  "), place), F.concat(F.lit("  Lance mínimo: "), least, F.lit(" | Avaliação: "), appraisal), F.concat(F.lit("  Próxima praça: "), session), F.concat(F.lit("  "), link), F.lit(""))
+    item = F.concat(
+        F.lit("<li><a href=\""), html_escaped(link), F.lit("\">"), html_escaped(title), F.lit("</a><p>"), html_escaped(place), F.lit("</p><p>Lance mínimo: <b>"), least, F.lit("</b> · Avaliação: "), appraisal,
+        F.lit("</p><p>"), html_escaped(below), F.lit("</p><p>Próxima praça: "), session, F.lit("</p><p>"), html_escaped(band), F.lit("</p></li>"),
+    )
+    told = rows.groupBy("alert_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("place", "lot_id", text.alias("text"), item.alias("item")))).alias("_lots"))
+    name, n = F.coalesce("name", F.lit("")), F.col("n").cast("string")
+    manage = f"{base_url}/alertas"
+    body = F.concat_ws("\n", F.concat(n, F.lit(" novo(s) lote(s) para o alerta \""), name, F.lit("\"")), F.lit(""), F.array_join(F.transform("_lots", lambda x: x["text"]), "\n"), F.lit(DISCLAIMER), F.lit(""), F.lit(f"Gerenciar alertas: {manage}"))
+    heading = F.concat(n, F.when(F.col("n") == 1, " novo lote").otherwise(" novos lotes"), F.lit(" para “"), html_escaped(name), F.lit("”"))
+    page = F.concat(
+        F.lit("<!doctype html><html lang=\"pt-br\"><meta charset=\"utf-8\"><body><h1>"), heading, F.lit("</h1><ul>"), F.array_join(F.transform("_lots", lambda x: x["item"]), ""), F.lit(f"</ul><p>{DISCLAIMER}</p><p>Você recebe esta mensagem porque salvou o filtro “"),
+        html_escaped(name), F.lit("”. <a href=\""), html_escaped(F.lit(manage)), F.lit("\">Gerenciar alertas</a></p></body></html>"),
+    )
+    return told.join(alerts.select("alert_id", "name"), "alert_id").select("alert_id", "n", body.alias("body"), page.alias("html"))

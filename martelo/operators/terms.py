@@ -182,6 +182,18 @@ def auction_movements(movements: Column) -> Column:
     return F.exists(movements, lambda m: comparable(m).rlike(r"leil|hasta|\bpraca\b|arremat|alienacao judicial"))
 
 
+#: Words that vote for a kind of asset, each once.
+ASSET_WORDS = {
+    "IMOVEL": ("imovel", "apartamento", "casa", "terreno", "lote de terreno", "sala comercial", "galpao", "fazenda", "sitio", "chacara", "predio", "loja", "kitnet", "flat", "area rural", "gleba", "vaga de garagem"),
+    "VEICULO": ("veiculo", "automovel", "carro", "moto", "motocicleta", "caminhao", "onibus", "reboque", "trator", "camionete", "utilitario", "van", "pick-up", "picape"),
+}
+
+
+def asset_vote(*texts: Column) -> Column:
+    """The kind of asset that a listing's texts speak of; property of equals, OUTRO without any word."""
+    return keyword_vote(F.concat_ws(" ", *texts), ASSET_WORDS, "OUTRO")
+
+
 def keyword_vote(text: Column, banks: dict[str, tuple[str, ...]], otherwise: str) -> Column:
     """The kind with the most keywords in the text; the first of equals; otherwise if none occurs."""
     low = comparable(text)

@@ -371,7 +371,7 @@ EXACT_SQL = EXACT_SQL.replace("WITH_SIGN(CAST(reference * 100 AS BIGINT) - CAST(
 
 def _analyses(spark, sf_dir):
     own = lots(spark, sf_dir)
-    current = agenda.current_session(own, sessions(spark, sf_dir), AS_OF).select("lot_id", "minimum")
+    current = agenda.current_session(own, sessions(spark, sf_dir), AS_OF).select("lot_id", "minimum", "ordinal", "passed")
     priced = own.join(current, "lot_id").withColumns({"damage": F.when(F.col("lot_id") % 3 == 0, F.array(F.lit("sucata"))), "private_area": F.when(F.col("lot_id") % 2 == 0, F.lit("68.50").cast("decimal(12,2)")), "total_area": F.lit("92.30").cast("decimal(12,2)")})
     v = priced.filter("asset = 'VEICULO'").select(F.col("lot_id").alias("id"), "brand", "model", F.col("model_year").alias("year"))
     matches = market.match_models(v, _table(spark, sf_dir))
@@ -399,6 +399,19 @@ def best_by_tuple(spark, sf_dir):
     return market.best_analysis(_analyses(spark, sf_dir)).select("lot_id", "source", *dbl("reference", "compared", "discount", "confidence"))
 
 
+@query(f"""{ANALYSES_SQL}, told AS (SELECT a.lot_id, a.source, c.ordinal, c.passed, p.asset, p.district, p.city, p.uf, p.month, p.precision, p.value_m2, a.reference, p.minimum, m.likeness, r.*, q.p_name || ' ' || q.p_type AS fitted FROM analyses a JOIN priced p ON p.lot_id = a.lot_id JOIN current_session c ON c.lot_id = a.lot_id
+LEFT JOIN matched m ON m.id = a.lot_id AND a.source = 'FIPE' LEFT JOIN ref r ON r.ref_id = m.ref_id LEFT JOIN part q ON q.p_partkey = m.ref_id)
+SELECT lot_id, source, CASE source WHEN 'LAUDO_JUDICIAL' THEN concat_ws('|', '{market.OLD_APPRAISAL}', CASE WHEN passed THEN '{market.SESSION_PASSED}' END)
+WHEN 'FIPE' THEN concat_ws('|', CASE WHEN demo THEN '{market.DEMO_VALUE}' END, '{market.NORMAL_USE}', CASE WHEN round(likeness, 3) < 0.6 THEN 'O modelo do edital foi casado por aproximação com “' || fitted || '” (similaridade ' || CAST(round(likeness, 3) AS VARCHAR) || '). Confira se é o mesmo veículo.' END, CASE WHEN lot_id % 3 = 0 THEN 'O edital aponta sucata — isso reduz o valor real abaixo da FIPE.' END)
+ELSE concat_ws('|', '{market.ASKED_PRICES}', CASE WHEN lot_id % 2 = 1 THEN '{market.TOTAL_AREA}' END, CASE WHEN precision = 'CIDADE' AND district <> '' THEN 'Não há índice para o bairro ' || district || '; usada a média da cidade.' END) END AS warnings,
+CASE source WHEN 'LAUDO_JUDICIAL' THEN 'Desconto sobre a avaliação judicial: lance mínimo da ' || ordinal || 'ª praça (' || CAST(minimum AS VARCHAR) || ') comparado ao valor de avaliação (' || CAST(reference AS VARCHAR) || ') constante do edital.'
+WHEN 'FIPE' THEN 'FIPE ' || ref_id || ' — ' || brand || ' ' || fitted || ' ' || "year" || '. Comparado ao lance mínimo da ' || ordinal || 'ª praça.'
+ELSE CASE WHEN lot_id % 2 = 0 THEN '68.50' ELSE '92.30' END || ' m² × R$ ' || CAST(value_m2 AS VARCHAR) || '/m² (FipeZap, ' || CASE WHEN precision = 'BAIRRO' THEN district || ', ' ELSE '' END || city || '/' || uf || ' — índice de ' || month || ', precisão ' || lower(precision) || ') = R$ ' || CAST(reference AS VARCHAR) || '. Comparado ao lance mínimo da ' || ordinal || 'ª praça.' END AS method FROM told""", with_lots=True)
+def analysis_notes(spark, sf_dir):
+    """M1 to M3: what each analysis says of itself, warnings in order, and how it was reckoned."""
+    return _analyses(spark, sf_dir).select("lot_id", "source", F.array_join("warnings", "|").alias("warnings"), "method")
+
+
 @query(f"SELECT lot_id, CAST(appraisal AS DOUBLE) AS reference, CASE WHEN abs(d * 100 - floor(d * 100) - 0.5) < 1e-9 THEN round_even(d, 2) ELSE round(d, 2) END AS discount FROM (SELECT lot_id, appraisal, CASE WHEN appraisal <= 0 THEN 0 ELSE CAST((appraisal - first_min) * 100 AS DOUBLE) / CAST(appraisal AS DOUBLE) END AS d FROM lots)", with_lots=True)
 def discount_pct(spark, sf_dir):
     """Per cent below the appraisal, half-even."""
@@ -549,6 +562,46 @@ def merge_policy(spark, sf_dir):
     return merged.select("p_partkey", "title", "nature0", F.size("changed").alias("changes"), F.array_join("liens", ",").alias("liens"), F.array_join("changed", ",").alias("changed"))
 
 
+@query("""WITH old AS (SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 3 = 0 THEN 's' || s_suppkey || '/10' END AS licence, CASE WHEN s_suppkey % 4 = 0 THEN 'ATIVO' ELSE 'DESCONHECIDO' END AS status, s_suppkey % 2 = 0 AS seat FROM supplier),
+told AS (SELECT s_suppkey % 5 AS r, * FROM supplier)
+SELECT id AS auctioneer_id, o.name, coalesce(o.licence, 'n' || id) AS licence, CASE WHEN r = 1 THEN 'SUSPENSO' ELSE o.status END AS status, CASE WHEN r = 4 THEN CASE WHEN seat THEN 'Maceió' ELSE '' END WHEN seat THEN 'Maceió,Penedo' ELSE 'Penedo,Maceió' END AS districts,
+concat_ws(',', CASE WHEN r = 2 THEN 'TJAL=true' END, 'TJBA=false', CASE WHEN r <> 4 THEN 'TJSE=true' END) AS credentials, FALSE AS created FROM old o JOIN told t ON t.s_suppkey = o.id WHERE r <> 4
+UNION ALL SELECT id, o.name, o.licence, o.status, CASE WHEN seat THEN 'Maceió' ELSE '' END, 'TJBA=false', FALSE FROM old o WHERE id % 5 = 4
+UNION ALL SELECT (SELECT max(s_suppkey) FROM supplier) + row_number() OVER (ORDER BY s_name), 'Novo ' || s_name, NULL, 'ATIVO', 'Penedo,Maceió', 'TJSE=true', TRUE FROM supplier WHERE s_suppkey % 5 = 4""")
+def merged_auctioneers(spark, sf_dir):
+    """Registers and courts tell of auctioneers; what is stored is filled, never erased; new ones get ids."""
+    base = read(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey").cast("long")
+    none = F.lit(None).cast("string")
+    seat = F.when(k % 2 == 0, F.array(F.lit("Maceió"))).otherwise(F.array().cast("array<string>"))
+    contacts = [none.alias(c) for c in ("site", "email", "phone")]
+    old = base.select(k.alias("auctioneer_id"), F.col("s_name").alias("name"), F.lit("JUCEAL").alias("register"), F.when(k % 3 == 0, F.concat(F.lit("s"), k.cast("string"), F.lit("/10"))).alias("licence"), F.lit("AL").alias("uf"), F.when(k % 4 == 0, "ATIVO").otherwise("DESCONHECIDO").alias("status"), seat.alias("districts"), F.create_map(F.lit("TJBA"), F.lit(False)).alias("credentials"), *contacts, F.lit(None).cast("timestamp_ntz").alias("checked_at"))
+    fresh = k % 5 == 4
+    name = F.when(fresh, F.concat(F.lit("Novo "), F.col("s_name"))).otherwise(F.upper("s_name"))
+    row = lambda n, source, status, licence, districts: F.struct(F.lit(n).alias("sequence"), F.lit(source).alias("source"), status.alias("status"), licence.alias("licence"), F.array(*map(F.lit, districts)).alias("districts"))
+    first = row(1, "jucea", F.when(fresh, "ATIVO").otherwise("DESCONHECIDO"), F.when(~fresh, F.concat(F.lit("n"), k.cast("string"))), ["Penedo"])
+    second = row(2, "tjse-corregedoria", F.when(k % 5 == 1, "SUSPENSO").otherwise("DESCONHECIDO"), none, ["Maceió", "Penedo"])
+    third = F.when(k % 5 == 2, row(3, "tjal-x", F.lit("DESCONHECIDO"), none, []))
+    new = base.select(name.alias("name"), F.lit("JUCEAL").alias("register"), F.lit("AL").alias("uf"), *contacts, F.inline(F.array_compact(F.array(first, second, third))))
+    made = identity.merge_auctioneers(old, new, AS_OF)
+    told = F.array_join(F.array_sort(F.transform(F.map_entries("credentials"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",")
+    return made.select("auctioneer_id", "name", "licence", "status", F.array_join("districts", ",").alias("districts"), told.alias("credentials"), "created")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 IN (0, 4) THEN 'IMOVEL' WHEN p_size % 5 IN (1, 3) THEN 'VEICULO' ELSE 'OUTRO' END AS asset, CASE p_size % 4 WHEN 0 THEN 'ARREMATADO' WHEN 1 THEN 'SUSPENSO' WHEN 2 THEN 'DESERTO' ELSE 'ABERTO' END AS status,
+CASE p_size % 3 WHEN 0 THEN 'FEDERAL' WHEN 1 THEN 'ESTADUAL' ELSE 'DESCONHECIDA' END AS sphere, p_size % 3 <> 0 AND p_size % 6 < 3 OR p_size % 3 = 0 AND p_size % 6 >= 3 AS placed, p_size % 2 = 0 AS ruling FROM part""")
+def listing_words(spark, sf_dir):
+    """Votes of words for a kind and a status; a state that its court serves; sources that rule a case."""
+    k = F.col("p_size")
+    pick = lambda n, *said: F.element_at(F.array(*map(F.lit, said)), k % n + 1)
+    asset = terms.asset_vote(F.col("p_name"), pick(5, "Apartamento com vaga de garagem e moto", "CARRO e reboque, na loja", "nada", "Caminhão", "Sítio com trator"))
+    status = present.lot_status(pick(4, "Vendido, suspensão negada", "Sobrestado", "1ª sem lance", "recebe ofertas"))
+    court = pick(3, "TRF5", "TJBA", "TJXX")
+    uf = F.when(k % 3 == 0, F.when(k % 6 >= 3, "pe").otherwise("BA")).otherwise(F.when(k % 6 < 3, "ba").otherwise("SP"))
+    source = F.when(k % 2 == 0, "DIARIO_OFICIAL").otherwise("DATAJUD")
+    return read(spark, sf_dir, "part").select("p_partkey", asset.alias("asset"), status.alias("status"), parse.sphere(court).alias("sphere"), parse.place_is_valid(uf, court).alias("placed"), identity.rules_case(source).alias("ruling"))
+
+
 @query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id, event_type")
 def upsert_latest(spark, sf_dir):
     """D3: the last value of a key wins over what is stored."""
@@ -848,6 +901,23 @@ def digest_lines(spark, sf_dir):
     return lots(spark, sf_dir).select(line.alias("line"), "lot_id")
 
 
+@query("""SELECT c.a AS alert_id, count(*) AS n, count(*) || ' novo(s) lote(s) para o alerta "' || any_value(c.name) || '"' || chr(10) || chr(10) || string_agg(c.item, chr(10) ORDER BY c.lot_id) || chr(10) || '""" + outputs.DISCLAIMER + """' || chr(10) || chr(10) || 'Gerenciar alertas: https://m.invalid/alertas' AS body,
+'<!doctype html><html lang="pt-br"><meta charset="utf-8"><body><h1>' || count(*) || CASE count(*) WHEN 1 THEN ' novo lote' ELSE ' novos lotes' END || ' para “' || any_value(c.safe) || '”</h1><ul>' || string_agg(c.li, '' ORDER BY c.lot_id) || '</ul><p>""" + outputs.DISCLAIMER + """</p><p>Você recebe esta mensagem porque salvou o filtro “' || any_value(c.safe) || '”. <a href="https://m.invalid/alertas">Gerenciar alertas</a></p></body></html>' AS html
+FROM (SELECT customer_id AS a, lot_id, '<' || customer_id || '> & "b"' AS name, '&lt;' || customer_id || '&gt; &amp; &quot;b&quot;' AS safe,
+'- ' || title || chr(10) || '  ' || place || chr(10) || '  Lance mínimo: ' || least || ' | Avaliação: ' || worth || chr(10) || '  Próxima praça: ' || session || chr(10) || '  https://m.invalid/lote/' || lot_id || chr(10) AS item,
+'<li><a href="https://m.invalid/lote/' || lot_id || '">' || title || '</a><p>' || place || '</p><p>Lance mínimo: <b>' || least || '</b> · Avaliação: ' || worth || '</p><p>' || CASE WHEN discount > 0 THEN CAST(CAST(discount AS DECIMAL(12,2)) AS VARCHAR) || '% abaixo da referência de FIPE' ELSE 'sem desconto estimado' END || '</p><p>Próxima praça: ' || session || '</p><p>Oportunidade ' || CASE WHEN score >= 60 THEN 'Alta' ELSE 'Indefinida' END || coalesce(' · ' || CAST(score AS INTEGER) || '/100', '') || '</p></li>' AS li
+FROM (SELECT l.*, concat_ws(', ', district, city, uf) AS place, 'R$ ' || translate(format('{:,.2f}', CAST(coalesce(nullif(second_min, 0), nullif(first_min, 0)) AS DOUBLE)), ',.', '.,') AS least, 'R$ ' || translate(format('{:,.2f}', CAST(appraisal AS DOUBLE)), ',.', '.,') AS worth,
+coalesce(strftime(s.first_at - INTERVAL 3 HOUR, '%d/%m/%Y às %Hh%M'), 'sem data de praça') AS session FROM lots l LEFT JOIN (SELECT lot_id, min(at) AS first_at FROM sessions GROUP BY lot_id) s ON s.lot_id = l.lot_id)) c GROUP BY c.a""", with_lots=True)
+def digest_messages(spark, sf_dir):
+    """Each buyer's lots as one message, in text and in HTML."""
+    own = lots(spark, sf_dir)
+    named = own.select(F.col("customer_id").alias("alert_id")).distinct().withColumn("name", F.concat(F.lit("<"), F.col("alert_id").cast("string"), F.lit('> & "b"')))
+    matches = own.select(F.col("customer_id").alias("alert_id"), "lot_id", F.col("lot_id").alias("place"))
+    scores = own.select("lot_id", "score", F.when(F.col("score") >= 60, "ALTA").alias("band"))
+    analyses = own.select("lot_id", F.col("discount").cast("decimal(12,2)").alias("discount"), F.lit("FIPE").alias("source"))
+    return outputs.digests(named, matches, own.drop("score", "discount"), _events(spark, sf_dir), "https://m.invalid", analyses, scores)
+
+
 # ---- sources ----
 
 
