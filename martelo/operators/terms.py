@@ -124,19 +124,28 @@ def labels(found: Column) -> Column:
     return F.transform(found, lambda x: x["label"])
 
 
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df plus columns that are made once for a row. They come out of an outer generator, as a plain column is copied
+    into every filter and expression that speaks of it, and a pattern's text with it."""
+    return df.select("*", F.inline_outer(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def detect(df: DataFrame, text: str = "text", keep_from: str = KEEP_FROM) -> DataFrame:
     """df plus `notice`: (score, labels, noise, in_court, review), null where the text is no auction notice.
 
     A gate on word stems spares every other text the banks.
     """
-    low = F.lower(unaccented(F.col(text)))
-    strong, medium, noise = (signals(low, bank) for bank in (STRONG, MEDIUM, NOISE))
+    low = F.col("__terms_low")
+    gate = (F.length(F.trim(F.col(text))) >= 40) & low.rlike(GATE)
+    banks = {"__terms_strong": STRONG, "__terms_medium": MEDIUM, "__terms_noise": NOISE}
+    strong, medium, noise = map(F.col, banks)
     court = low.rlike(COURT_WORDS)
     raw = F.least(dec(CAP), total(strong) + total(medium)) - total(noise) - F.when(court, dec("0")).otherwise(dec(NO_COURT))
     score = F.greatest(dec("0"), F.least(dec(CAP), raw)).cast("decimal(4,3)")
     notice = F.struct(score.alias("score"), F.concat(labels(strong), labels(medium)).alias("labels"), labels(noise).alias("noise"), court.alias("in_court"), ((score < dec(REVIEW_BELOW)) | ~court | (F.size(noise) > 0)).alias("review"))
-    gated = F.when((F.length(F.trim(F.col(text))) >= 40) & low.rlike(GATE), notice)
-    return df.withColumn("notice", gated).withColumn("notice", F.when(F.col("notice.score") >= dec(keep_from), F.col("notice")))
+    found = once(once(df, {"__terms_low": F.lower(unaccented(F.col(text)))}), {name: F.when(gate, signals(low, bank)) for name, bank in banks.items()})
+    gated = found.withColumn("notice", F.when(strong.isNotNull(), notice)).drop("__terms_low", *banks)
+    return gated.withColumn("notice", F.when(F.col("notice.score") >= dec(keep_from), F.col("notice")))
 
 
 def decide(a: Column, b: Column) -> Column:
@@ -157,15 +166,19 @@ def decide(a: Column, b: Column) -> Column:
 
 def classify(df: DataFrame, text: str = "text", declared: str | None = None) -> DataFrame:
     """df plus nature, nature_score, zone, zone_score and zone_tie. A type stated by the source is one signal of 0.90."""
-    low = F.lower(unaccented(F.coalesce(F.col(text), F.lit(""))))
-    land, goods = signals(low, LAND), signals(low, GOODS)
+    low = F.col("__terms_low")
+    banks = {"__terms_land": LAND, "__terms_goods": GOODS}
+    land, goods = map(F.col, banks)
     if declared:
         own = F.struct(dec("0.90").alias("weight"), F.lit("tipo declarado pela fonte").alias("label"))
         land = F.when(F.col(declared) == "IMOVEL", F.concat(F.array(own), land)).otherwise(land)
         goods = F.when(F.col(declared) == "VEICULO", F.concat(F.array(own), goods)).otherwise(goods)
-    out = df.withColumn("_nature", decide(land, goods))
+    found = once(once(df, {"__terms_low": F.lower(unaccented(F.coalesce(F.col(text), F.lit(""))))}), {name: signals(low, bank) for name, bank in banks.items()})
+    out = found.withColumns({"__terms_land": land, "__terms_goods": goods}).withColumn("_nature", decide(*map(F.col, banks)))
     nature = F.when(F.col("_nature.won"), "IMOVEL").when(~F.col("_nature.won"), "MOVEL").otherwise("INDEFINIDA")
-    out = out.withColumn("_zone", F.when(nature == "IMOVEL", decide(signals(low, RURAL), signals(low, URBAN))))
+    zones = {"__terms_rural": RURAL, "__terms_urban": URBAN}
+    out = once(out, {name: F.when(F.col("_nature.won"), signals(low, bank)) for name, bank in zones.items()})
+    out = out.withColumn("_zone", F.when(F.col("_nature.won"), decide(*map(F.col, zones)))).drop("__terms_low", *banks, *zones)
     zone = F.when(F.col("_zone.won"), "RURAL").when(~F.col("_zone.won"), "URBANA").otherwise("INDEFINIDA")
     return out.withColumns({"nature": nature, "nature_score": F.col("_nature.score"), "zone": zone, "zone_score": F.coalesce(F.col("_zone.score"), dec("0")).cast("decimal(4,3)"), "zone_tie": F.coalesce(F.col("_zone.tie"), F.lit(False))}).drop("_nature", "_zone")
 
