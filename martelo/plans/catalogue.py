@@ -701,6 +701,37 @@ def extract_fields(spark, sf_dir):
     return found.select("lot_id", *dbl("appraisal", "first_min"), "first_at", *dbl("fee"), "occupied", "liens", *dbl("total_area", "private_area"), "damage")
 
 
+def _long_notices(spark, sf_dir):
+    """Notices that tell of court, auctioneer, both sessions, registry, debts and payment."""
+    k = F.col("lot_id")
+    number = parse.written_case((k % 10_000_000).cast("string"), F.year("collected_at").cast("string"), F.lit("8"), F.lit("2"), F.lit("1"))
+    day = lambda n: F.date_format(F.col("collected_at") + F.make_dt_interval(days=F.lit(n)), "dd/MM/yyyy")
+    either = lambda n, a, b: F.when(k % n == 0, a).otherwise(b)
+    body = F.concat(
+        F.lit("Juízo da "), (k % 9 + 1).cast("string"), F.lit("ª Vara Cível da Comarca de "), either(2, "Penedo", "União dos Palmares"), F.lit(", processo nº "), number, F.lit(". O leiloeiro público oficial "), either(3, "João Alves Neto", "Maria de Sá"), F.lit(", JUCEAL sob nº "), (k % 90 + 10).cast("string"),
+        F.lit("/2010, venderá em 1ª praça: "), day(20), F.lit(" às 09h15, por "), text.brazilian_money(F.col("first_min")), F.lit(". 2ª praça: "), day(34), F.lit(" às 10h00, por "), text.brazilian_money(F.col("appraisal")), F.lit(". Não será aceito lance inferior a "), (50 + k % 20).cast("string"), F.lit("% da avaliação. "),
+        either(5, "", F.concat(F.lit("Imóvel objeto da matrícula nº 12."), (k % 900 + 100).cast("string"), F.lit(" do cartório de Imóveis de Penedo. "))), either(4, F.concat(F.lit("Há IPTU em aberto de R$ 1."), (k % 900 + 100).cast("string"), F.lit(",56. ")), ""),
+        either(2, "Os débitos sub-rogam-se no preço. ", "O arrematante assume os débitos. "), either(7, "Pagamento à vista.", "Pagamento à vista ou parcelado."),
+    )
+    return lots(spark, sf_dir).select("lot_id", body.alias("text"))
+
+
+@query("""SELECT lot_id, lpad(CAST(lot_id % 10000000 AS VARCHAR), 7, '0') AS case_start, (lot_id % 9 + 1) || 'ª Vara Cível' AS chamber, CASE lot_id % 2 WHEN 0 THEN 'Penedo' ELSE 'União dos Palmares' END AS comarca, CASE lot_id % 3 WHEN 0 THEN 'João Alves Neto' ELSE 'Maria de Sá' END AS auctioneer, (lot_id % 90 + 10) || '/2010' AS licence,
+CAST(collected_at AS TIMESTAMP) + INTERVAL 20 DAY + INTERVAL 12 HOUR + INTERVAL 15 MINUTE AS first_at, CAST(collected_at AS TIMESTAMP) + INTERVAL 34 DAY + INTERVAL 13 HOUR AS second_at, CAST(first_min AS DOUBLE) AS first_least, CAST(appraisal AS DOUBLE) AS second_least, CAST(50 + lot_id % 20 AS DOUBLE) AS share,
+CASE WHEN lot_id % 5 <> 0 THEN '12.' || (lot_id % 900 + 100) END AS registry, CASE WHEN lot_id % 5 <> 0 THEN 'cartório de Imóveis de Penedo' END AS office, CAST(CASE WHEN lot_id % 4 = 0 THEN 1000.56 + lot_id % 900 + 100 END AS DOUBLE) AS iptu, CASE WHEN lot_id % 4 = 0 THEN 'iptu' END AS debts, CASE WHEN lot_id % 2 = 0 THEN TRUE END AS from_price, CASE WHEN lot_id % 2 = 1 THEN TRUE END AS buyer_pays,
+CASE WHEN lot_id % 7 = 0 THEN 'a_vista' ELSE 'a_vista, parcelado' END AS payment, CAST(CASE WHEN lot_id % 4 = 0 THEN 0.65 ELSE 0.92 END AS DOUBLE) AS least_sure FROM (SELECT * REPLACE (CAST(lot_id AS BIGINT) AS lot_id) FROM lots)""", with_lots=True)
+def extract_other_fields(spark, sf_dir):
+    """The other facts of every notice, and how sure the money and the court are."""
+    names = (
+        ("numero_processo", "text", "case_number"), ("vara", "text", "chamber"), ("comarca", "text", "comarca"), ("leiloeiro_nome", "text", "auctioneer"), ("leiloeiro_matricula", "text", "licence"), ("data_praca_1", "at", "first_at"), ("data_praca_2", "at", "second_at"),
+        ("valor_minimo_praca_1", "number", "first_least"), ("valor_minimo_praca_2", "number", "second_least"), ("percentual_minimo_segunda_praca", "number", "share"), ("matricula_imovel", "text", "registry"), ("cartorio", "text", "office"), ("debito_iptu", "number", "iptu"), ("debitos_mencionados", "text", "debts"),
+        ("edital_invoca_sub_rogacao_no_preco", "flag", "from_price"), ("edital_atribui_debitos_ao_arrematante", "flag", "buyer_pays"), ("formas_pagamento", "text", "payment"),
+    )
+    sure = F.min(F.when(F.col("name").isin("debito_iptu", "vara", "comarca", "valor_minimo_praca_2"), F.col("confidence"))).alias("least_sure")
+    found = extract.extract(_long_notices(spark, sf_dir), "lot_id").groupBy("lot_id").agg(*(F.max(F.when(F.col("name") == name, F.col(kind))).alias(alias) for name, kind, alias in names), sure)
+    return found.select("lot_id", F.substring("case_number", 1, 7).alias("case_start"), "chamber", "comarca", "auctioneer", "licence", "first_at", "second_at", *dbl("first_least", "second_least", "share"), "registry", "office", *dbl("iptu"), "debts", "from_price", "buyer_pays", "payment", "least_sure")
+
+
 @query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 0.92 WHEN o_orderkey % 3 = 1 THEN 0.97 ELSE 0.6 END::DOUBLE AS confidence, CASE o_orderkey % 3 WHEN 0 THEN 'REGRA' WHEN 1 THEN 'REGRA_E_LLM' ELSE 'REGRA' END AS method FROM orders""")
 def fuse_rule_model(spark, sf_dir):
     """Rule and model findings agree, disagree or stand alone."""
