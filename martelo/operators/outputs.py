@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.parse import LOCAL_HOURS
 from ..functions.text import brazilian_money, ics_escaped
 from .agenda import SESSIONS
+from .alerts import MOST_LOTS
 
 #: iCalendar status by event status, minutes of an event by kind.
 ICS_STATUS = {"REMARCADO": "CONFIRMED", "REALIZADO": "CONFIRMED", "SUSPENSO": "TENTATIVE", "CANCELADO": "CANCELLED"}
@@ -128,16 +129,17 @@ def said_session(at: Column) -> Column:
     return F.coalesce(F.date_format(at - F.expr(f"INTERVAL {LOCAL_HOURS} HOURS"), "dd/MM/yyyy 'às' HH'h'mm"), F.lit("sem data de praça"))
 
 
-def digests(alerts: DataFrame, matches: DataFrame, lots: DataFrame, events: DataFrame, base_url: str, analyses: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
+def digests(alerts: DataFrame, matches: DataFrame, lots: DataFrame, events: DataFrame, base_url: str, analyses: DataFrame | None = None, scores: DataFrame | None = None, most: int = MOST_LOTS) -> DataFrame:
     """(alert_id, n, body, html): the message of each alert that has matches (alert_id, lot_id, place), its lots in
-    their order, as plain text and as HTML. An alert's matches are few: alerts choose their best lots.
+    their order, as plain text and as HTML. place is a lot's rank in its alert, from 1 (see alerts.new_matches); a
+    message tells of the first `most`, which bounds its size, and n counts those.
 
     alerts: alert_id, name. lots: lot_id, title, district, city, uf, first_min, second_min, appraisal. events: a lot's
     earliest session is told, never a deadline. analyses: a lot's best one (discount, source); scores: score, band.
     Nulls and zero prices are told as unknown; texts are escaped in HTML. Matches of unknown lots go.
     """
     first = events.filter(F.col("kind").isin(*SESSIONS)).groupBy("lot_id").agg(F.min("at").alias("_at"))
-    rows = matches.select("alert_id", "lot_id", "place").join(lots, "lot_id").join(first, "lot_id", "left")
+    rows = matches.filter(F.col("place") <= most).select("alert_id", "lot_id", "place").join(lots, "lot_id").join(first, "lot_id", "left")
     none = lambda kind: F.lit(None).cast(kind)
     if analyses is not None:
         rows = rows.join(analyses.select("lot_id", F.col("discount").alias("_discount"), F.col("source").alias("_source")), "lot_id", "left")

@@ -5,6 +5,7 @@ A query applies operators to whole tables. Limits occur only where a page, an ag
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import parse, present, text
@@ -937,13 +938,14 @@ def digest_lines(spark, sf_dir):
 FROM (SELECT customer_id AS a, lot_id, '<' || customer_id || '> & "b"' AS name, '&lt;' || customer_id || '&gt; &amp; &quot;b&quot;' AS safe,
 '- ' || title || chr(10) || '  ' || place || chr(10) || '  Lance mínimo: ' || least || ' | Avaliação: ' || worth || chr(10) || '  Próxima praça: ' || session || chr(10) || '  https://m.invalid/lote/' || lot_id || chr(10) AS item,
 '<li><a href="https://m.invalid/lote/' || lot_id || '">' || title || '</a><p>' || place || '</p><p>Lance mínimo: <b>' || least || '</b> · Avaliação: ' || worth || '</p><p>' || CASE WHEN discount > 0 THEN CAST(CAST(discount AS DECIMAL(12,2)) AS VARCHAR) || '% abaixo da referência de FIPE' ELSE 'sem desconto estimado' END || '</p><p>Próxima praça: ' || session || '</p><p>Oportunidade ' || CASE WHEN score >= 60 THEN 'Alta' ELSE 'Indefinida' END || coalesce(' · ' || CAST(score AS INTEGER) || '/100', '') || '</p></li>' AS li
-FROM (SELECT l.*, concat_ws(', ', district, city, uf) AS place, 'R$ ' || translate(format('{:,.2f}', CAST(coalesce(nullif(second_min, 0), nullif(first_min, 0)) AS DOUBLE)), ',.', '.,') AS least, 'R$ ' || translate(format('{:,.2f}', CAST(appraisal AS DOUBLE)), ',.', '.,') AS worth,
-coalesce(strftime(s.first_at - INTERVAL 3 HOUR, '%d/%m/%Y às %Hh%M'), 'sem data de praça') AS session FROM lots l LEFT JOIN (SELECT lot_id, min(at) AS first_at FROM sessions GROUP BY lot_id) s ON s.lot_id = l.lot_id)) c GROUP BY c.a""", with_lots=True)
+FROM (SELECT l.*, concat_ws(', ', district, city, uf) AS place, row_number() OVER (PARTITION BY customer_id ORDER BY l.lot_id) AS rank, 'R$ ' || translate(format('{:,.2f}', CAST(coalesce(nullif(second_min, 0), nullif(first_min, 0)) AS DOUBLE)), ',.', '.,') AS least, 'R$ ' || translate(format('{:,.2f}', CAST(appraisal AS DOUBLE)), ',.', '.,') AS worth,
+coalesce(strftime(s.first_at - INTERVAL 3 HOUR, '%d/%m/%Y às %Hh%M'), 'sem data de praça') AS session FROM lots l LEFT JOIN (SELECT lot_id, min(at) AS first_at FROM sessions GROUP BY lot_id) s ON s.lot_id = l.lot_id) WHERE rank <= 20) c GROUP BY c.a""", with_lots=True)
 def digest_messages(spark, sf_dir):
-    """Each buyer's lots as one message, in text and in HTML."""
+    """Each buyer's first lots as one message, in text and in HTML."""
     own = lots(spark, sf_dir)
     named = own.select(F.col("customer_id").alias("alert_id")).distinct().withColumn("name", F.concat(F.lit("<"), F.col("alert_id").cast("string"), F.lit('> & "b"')))
-    matches = own.select(F.col("customer_id").alias("alert_id"), "lot_id", F.col("lot_id").alias("place"))
+    place = F.row_number().over(Window.partitionBy("customer_id").orderBy("lot_id"))
+    matches = own.select(F.col("customer_id").alias("alert_id"), "lot_id", place.alias("place"))
     scores = own.select("lot_id", "score", F.when(F.col("score") >= 60, "ALTA").alias("band"))
     analyses = own.select("lot_id", F.col("discount").cast("decimal(12,2)").alias("discount"), F.lit("FIPE").alias("source"))
     return outputs.digests(named, matches, own.drop("score", "discount"), _events(spark, sf_dir), "https://m.invalid", analyses, scores)
