@@ -153,3 +153,10 @@ def test_decomposition_of_the_whole_plane(spark):
         starts = range(len(texts[i])) if d.starts is None else d.starts
         assert len(starts) == len(d.plain) and all(d.plain[p] in full(texts[i][s]) for p, s in enumerate(starts))
     assert {texts[i]: c for i, _, c in found if i >= 0}["n\u0303ao"] == "nao"
+
+
+def test_listing_pages_are_spread(spark):
+    from martelo.plans import catalogue
+
+    pages = catalogue._listing(spark, "/root/testdata/sf0.001")
+    assert pages.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
